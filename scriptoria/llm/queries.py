@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module of each problem's queries; every function p<N>_... in it is one.
-MODULES = ("term_counts", "distinctive", "cooccurrence")
+MODULES = ("set_pairs", "distinctive", "term_counts", "cooccurrence", "print_forms")
 
 
 def queries() -> dict:
