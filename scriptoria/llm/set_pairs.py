@@ -4,7 +4,8 @@
 2. Each class gets `bands` x `rows` minwise values; the values of a band are one bucket key. At a similarity of
    0.70 the 40 bands of 4 miss a pair with a probability of 2e-5, at 0.75 of 2e-7.
 3. Band rows meet by bucket key and are sorted, so a task streams its buckets whatever their size. A bucket of up
-   to `CAP` classes gives its candidate pairs. A larger one gives none: its members go on in chunks of `CAP`, and
+   to `CAP` classes gives its candidate pairs, less those whose sketches (56 bits, carried along) prove that they
+   share too little. A larger one gives none: its members go on in chunks of `CAP`, and
    each pair of chunks is verified as one sparse product in a task of its own (`tiles`), so a bucket that holds a
    third of all classes is spread over the cluster and only true pairs are ever written.
 4. Candidates are made distinct and verified on the sets themselves.
@@ -50,35 +51,55 @@ def bucket_keys(flat: np.ndarray, start: np.ndarray, bands: int, rows: int) -> n
     return out.view(np.int64)
 
 
+def sketches(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The set size in the top 8 bits (255: that or more) and below it a bit for every item's hash modulo 56."""
+    bits = np.uint64(1) << ((flat.astype(np.uint64) >> np.uint64(7)) % np.uint64(56))
+    size = np.minimum(np.diff(np.r_[start, len(flat)]), 255).astype(np.uint64)
+    return (np.bitwise_or.reduceat(bits, start) | size << np.uint64(56)).view(np.int64)
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two sketched sets can be that similar: a bit of one only is at least one item of one only."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    m, n = ((z >> np.uint64(56)).astype(np.int64) for z in (x, y))
+    low = np.uint64((1 << 56) - 1)
+    both = np.minimum(m - np.bitwise_count(x & ~y & low), n - np.bitwise_count(y & ~x & low))
+    return (both >= threshold * (m + n - both) - 1e-9) | (m == 255) | (n == 255)
+
+
 def _band_batches(bands: int, rows: int):
-    schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64())])
+    schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("sketch", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sets = b.column(1)
                 at = sets.offsets.to_numpy()
-                keys = bucket_keys(sets.flatten().to_numpy(zero_copy_only=False), at[:-1] - at[0], bands, rows)
-                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], schema=schema)
+                flat, start = sets.flatten().to_numpy(zero_copy_only=False), at[:-1] - at[0]
+                keys = bucket_keys(flat, start, bands, rows)
+                ids, bits = np.repeat(b.column(0).to_numpy(zero_copy_only=False), bands), np.repeat(sketches(flat, start), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(bits)], schema=schema)
 
     return run
 
 
-def _bucket_batches(cap: int):
-    """Sorted (bucket, id) to pairs (a, b, null, null), or chunk members (id, null, bucket, chunk) of a bucket above the cap."""
+def _bucket_batches(cap: int, threshold: float):
+    """Sorted (bucket, id, sketch) to pairs (a, b, null, null), or chunk members (id, null, bucket, chunk) of a bucket above the cap."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("chunk", pa.int64())])
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        keep = may_reach(a[:, 1].copy(), b[:, 1].copy(), threshold)
+        a, b = a[keep, 0], b[keep, 0]
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], schema=schema)
 
-    def members(bucket: int, ids: np.ndarray, before: int) -> pa.RecordBatch:
+    def members(bucket: int, held: np.ndarray, before: int) -> pa.RecordBatch:
+        ids = held[:, 0]
         n = len(ids)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket)), pa.array((before + np.arange(n)) // cap)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, held, gone = None, np.zeros(0, np.int64), 0  # the last bucket may go on in the next batch
+        open_key, held, gone = None, np.zeros((0, 2), np.int64), 0  # the last bucket may go on in the next batch
 
         def close() -> Iterator[pa.RecordBatch]:
             if gone:
@@ -88,14 +109,15 @@ def _bucket_batches(cap: int):
                 yield pairs(held[i], held[j])
 
         for b in batches:
-            key, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            ids = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1)
             if not len(key):
                 continue
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[edge, len(key)])
             first, last = 0, len(edge)
             if open_key is not None and key[0] == open_key:
-                held = np.r_[held, ids[: size[0]]]
+                held = np.concatenate([held, ids[: size[0]]])
                 first = 1
             if first < last and open_key is not None:
                 yield from close()
@@ -105,7 +127,7 @@ def _bucket_batches(cap: int):
                 for k in np.unique(n[(n > 1) & (n <= cap)]):  # buckets of one size at once
                     block = ids[inner[n == k][:, None] + np.arange(k)]
                     i, j = np.triu_indices(k, 1)
-                    yield pairs(block[:, i].ravel(), block[:, j].ravel())
+                    yield pairs(block[:, i].reshape(-1, 2), block[:, j].reshape(-1, 2))
                 for e, k in zip(inner[n > cap], n[n > cap]):
                     yield members(key[e], ids[e : e + k], 0)
                 open_key, held, gone = key[edge[-1]], ids[edge[-1] :], 0
@@ -172,9 +194,8 @@ def similar_sets(sets: DataFrame, threshold: dict[str, float], bands: int = BAND
 
     `sets` is (field, id, items): distinct non-empty sets of 64-bit hashes that differ between fields.
     """
-    rowed = sets.select("id", "items").mapInArrow(_band_batches(bands, rows), "bucket long, id long")
-    met = rowed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_batches(cap), "a long, b long, bucket long, chunk long")
-    # partly distinct before it is written: near-equal sets meet in many bands
+    rowed = sets.select("id", "items").mapInArrow(_band_batches(bands, rows), "bucket long, id long, sketch long")
+    met = rowed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_batches(cap, min(threshold.values())), "a long, b long, bucket long, chunk long")
     met = cut(met, "candidates")
     found = met.filter("b IS NOT NULL").select("a", "b").distinct()
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"), "field")
