@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module of each problem's queries; every function p<N>_... in it is one.
-MODULES = ("set_pairs", "distinctive", "term_counts", "cooccurrence", "print_forms", "vector_clusters", "vector_neighbours")
+MODULES = ("set_pairs", "distinctive", "term_counts", "cooccurrence", "print_forms", "vector_clusters", "vector_neighbours", "token_ids", "leaks", "text_quality")
 
 
 def queries() -> dict:
