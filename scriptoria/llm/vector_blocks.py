@@ -7,7 +7,7 @@ one of the two visits the other's cell, being within radius + threshold angle of
 outliers. So nothing is lost, wherever the centres lie; a poor sample only makes more outliers, which are
 compared with each other in full, block by block.
 
-Each cell's members are cut into chunks of about `BLOCK`; a task's group holds two chunks, whatever the cell's size.
+Each cell's members are cut into chunks of about `BLOCK` (the outliers, of `FAR_BLOCK`); a task's group holds two chunks, whatever the cell's size.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that centres are chosen from, and centres at most.
 SAMPLE, CENTRES = 8192, 2048
-#: Vectors of a chunk.
-BLOCK = 4096
+#: Vectors of a chunk of a cell; of the outliers, which are compared in full but seldom linked.
+BLOCK, FAR_BLOCK = 16384, 65536
 OUTLIERS = -1
 
 
@@ -57,6 +57,14 @@ def unpacked(a: pa.Array, dtype: str = "<f4") -> np.ndarray:
     return np.frombuffer(a.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype).reshape(n, -1)
 
 
+def unit32(m: np.ndarray) -> np.ndarray:
+    """`unit` in float32, a few rows at a time."""
+    out = np.empty(m.shape, np.float32)
+    for i in range(0, len(m), 8192):
+        out[i : i + 8192] = unit(m[i : i + 8192])
+    return out
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     """Rows of length 1 in float64, whatever their scale."""
     m = m.astype(np.float64)
@@ -67,7 +75,7 @@ def unit(m: np.ndarray) -> np.ndarray:
 def centres(vectors: DataFrame, radius: float) -> np.ndarray:
     """At most CENTRES unit vectors, no two within `radius` (radians), from a sample of SAMPLE vectors in hash order."""
     got = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow().column(0)
-    m = unit(unpacked(got)).astype(np.float32)
+    m = unit32(unpacked(got))
     if len(got) == 0:
         return np.zeros((0, 1), np.float32)
     near = np.concatenate([m[i : i + 1024] @ m.T >= math.cos(radius) for i in range(0, len(m), 1024)])
@@ -94,7 +102,7 @@ def placed(vectors: DataFrame, centre: np.ndarray, radius: float, angle: float)
         for b in batches:
             if not b.num_rows:
                 continue
-            m = unit(unpacked(b.column(1))).astype(np.float32)
+            m = unit32(unpacked(b.column(1)))
             if len(centre):
                 c = m @ centre.T
                 home = c.argmax(1)
@@ -110,7 +118,7 @@ def placed(vectors: DataFrame, centre: np.ndarray, radius: float, angle: float)
     return vectors.mapInArrow(run, "id long, vec binary, home int, visits array<int>")
 
 
-def tiled(at: DataFrame, block: int = BLOCK) -> DataFrame:
+def tiled(at: DataFrame, block: int = BLOCK, far_block: int = FAR_BLOCK) -> DataFrame:
     """(cell, i, j, side, id, ...): each vector once in every pair of chunks it takes part in.
 
     Members of a cell are chunks 0..g-1; visitors of a cell are chunks of their own, compared with members only. side 1
@@ -119,7 +127,7 @@ def tiled(at: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     home = {r[0]: r[1] for r in at.groupBy("home").count().collect()}
     away = {r[0]: r[1] for r in at.select(F.explode("visits").alias("c")).groupBy("c").count().collect()}
-    g = {c: max(1, -(-n // block)) for c, n in home.items()}
+    g = {c: max(1, -(-n // (far_block if c == OUTLIERS else block))) for c, n in home.items()}
     v = {c: max(1, -(-n // block)) for c, n in away.items()}
     pick = lambda d, c: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), c) if d else F.lit(1)
     rest = [c for c in at.columns if c not in ("home", "visits")]

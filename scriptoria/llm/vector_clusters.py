@@ -53,7 +53,7 @@ def _degrees(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         left, right, same = _sides(t)
         raw = vector_blocks.unpacked(t.column("vec"))
-        m = vector_blocks.unit(raw).astype(np.float32)
+        m = vector_blocks.unit32(raw)
         n = np.zeros(len(m), np.int64)
         for x in range(0, len(left), PIECE):
             for y in range(x if same else 0, len(right), PIECE):
@@ -89,7 +89,7 @@ def _pointers(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         left, right, same = _sides(t)
         raw = vector_blocks.unpacked(t.column("vec"))
-        m, ids, dens = vector_blocks.unit(raw).astype(np.float32), t.column("id").to_numpy(), t.column("density").to_numpy()
+        m, ids, dens = vector_blocks.unit32(raw), t.column("id").to_numpy(), t.column("density").to_numpy()
         # the densest first, ties by id: denser is simply before
         order = np.lexsort((ids, -dens))
         place = np.empty(len(ids), np.int64)

@@ -24,7 +24,7 @@ from scriptoria.llm import vector_blocks
 from scriptoria.llm.vector_clusters import PIECE, _sides, _vectors
 from scriptoria.plans.lineage import cut
 
-BLOCK = 8192
+BLOCK, FAR_BLOCK = 8192, 32768
 
 
 def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def neighbours(df: DataFrame, key: str, values: str, k: int, floor: float | None
         at = raw.select("id", "vec", F.lit(vector_blocks.OUTLIERS).alias("home"), F.array().cast("array<int>").alias("visits"))
     at = cut(at, "placed")
     code = coded(at if asks is None else at.withColumn("asks", asks))
-    tiles = vector_blocks.tiled(code, BLOCK)
+    tiles = vector_blocks.tiled(code, BLOCK, FAR_BLOCK)
     pairs = tiles.groupBy("cell", "i", "j").applyInArrow(_survivors(k, floor), "a long, b long")
     # a query's neighbours come from many tiles: each pair once
     pairs = cut(pairs.distinct(), "survivors")
