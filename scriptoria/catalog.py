@@ -1,13 +1,875 @@
-"""All queries of the core and their SQL, by name."""
+"""All queries of the core and their SQL, by name. The ids after the double underscore are those of the operator inventory."""
 
 from __future__ import annotations
 
-FLAGSHIP = "r12_probe_delta"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from scriptoria.functions import text as T
+from scriptoria.functions.stats import log_odds
+from scriptoria.operators import assoc, cluster, evaluation, figures, groups, inference, pairs, people, postings, probe, ranking, rankstats, resample, sampling, segment, vectors
+from scriptoria.plans.lineage import cut
+from scriptoria.sources import corpus, files
+from scriptoria.sources.tables import table
+from scriptoria.streaming import counts
+
+FLAGSHIP = "probe_delta__R12"
+# The seed words of the lexicon.
+SEEDS = ["escritura", "escribir", "escrito", "escrita", "ausencia", "ausente", "afuera", "dehors", "errancia", "errar", "muerte", "olvido", "silencio", "soledad", "imposible"]
+# The issues in order of appearance.
+ISSUES = ["issue_1", "issue_2", "issue_3", "issue_4-5", "issue_6"]
+#: Pairs per class and runs of a null in the queries here.
+N, RUNS = 20_000, 20
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _query(name: str, sql: str | None = None, *ctes: str):
+    def add(f):
+        _Q[name] = f
+        if sql:
+            seen = _needs(ctes)
+            _SQL[name] = (("WITH " + ",\n".join(f"{k} AS ({_CTE[k]})" for k in seen) + "\n") if seen else "") + sql
+        return f
+
+    return add
+
+
+def _needs(ctes) -> list[str]:
+    out: list[str] = []
+
+    def visit(k: str) -> None:
+        if k not in out:
+            for x in _CTE:
+                if x != k and f" {x} " in f" {_CTE[k]} ".replace(")", " ").replace(",", " ").replace("\n", " "):
+                    visit(x)
+            out.append(k)
+
+    for k in ctes:
+        visit(k)
+    return out
+
+
+_B = r"[\p{Z}\t\n\r]"
+_ID = lambda x: rf"nullif(regexp_replace(regexp_replace({x}, '^{_B}*#*{_B}*', ''), '{_B}+$', ''), '')"
+_TERMS = lambda ws: rf"(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(ws)})($|[^\p{{L}}\p{{N}}_])"
+_DOT = "list_dot_product"
+_CTE = {
+    "rec": rf"""SELECT DISTINCT row_id, para_id, regexp_replace(lower(regexp_replace(issue, '^{_B}+|{_B}+$', '', 'g')), ' +', '_', 'g') AS issue, div_id, div_type, text_id, contributor, text,
+        list_filter(list_transform(coalesce(persons, []), lambda x: {_ID("x")}), lambda x: x IS NOT NULL) AS persons, ana_gold, has_note FROM paragraphs""",
+    "par": "SELECT * FROM rec WHERE length(text) >= 50",
+    "lay": rf"""SELECT row_id, list_filter(list_transform(coalesce(lemmas, []), lambda x: trim(regexp_replace(strip_accents(lower(x)), '{_B}+', ' ', 'g'))), lambda x: x IS NOT NULL AND x <> '') AS lemmas FROM concept_layer""",
+    "lp": "SELECT DISTINCT row_id, unnest(lemmas) AS item FROM lay",
+    "pp": "SELECT DISTINCT row_id, unnest(persons) AS person FROM par",
+    "tot": "SELECT count(*) AS n FROM concept_layer",
+    "vec": "SELECT vec_id, row_id, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS vec FROM (SELECT vec_id, row_id, embeddings::DOUBLE[] AS e FROM para_vectors WHERE len(embeddings) = 64) WHERE NOT list_contains(list_transform(e, lambda v: isnan(v)), true) AND list_dot_product(e, e) > 0",
+    "cited": "SELECT person, row_number() OVER (ORDER BY count(*) DESC, person) AS k FROM pp GROUP BY person",
+    "circle": "SELECT person FROM cited WHERE k <= 7",
+    "centre": "SELECT person FROM cited WHERE k = 8",
+    "grp": f"""SELECT *, NOT (in_a OR in_b OR in_c) AS in_d, in_a AND NOT named AS in_a_s, in_b AND NOT named AS in_b_s FROM (
+        SELECT row_id, regexp_matches(text, '{_TERMS(SEEDS)}') AS in_a, row_id IN (SELECT row_id FROM pp SEMI JOIN circle USING (person)) AS in_b,
+        row_id IN (SELECT row_id FROM pp SEMI JOIN centre USING (person)) AS in_c,
+        coalesce(regexp_matches(text, (SELECT '(?i)(^|[^\\p{{L}}\\p{{N}}_])(' || regexp_extract(person, '[^_]+$') || ')($|[^\\p{{L}}\\p{{N}}_])' FROM centre)), false) AS named FROM par)""",
+    "gv": "SELECT g.*, v.vec FROM grp g JOIN vec v USING (row_id)",
+    "bag": "SELECT row_id, item, count(*) AS uses FROM (SELECT row_id, unnest(lemmas) AS item FROM lay) GROUP BY ALL",
+    "lf": "SELECT item, n_item FROM (SELECT item, count(*) AS n_item FROM lp GROUP BY ALL) WHERE n_item >= 10",
+    "pf": "SELECT person, n_group FROM (SELECT person, count(*) AS n_group FROM pp GROUP BY ALL) WHERE n_group >= 5",
+    "tfs": """SELECT item, max(n_rows) AS n_rows, round(sum(w / norm), 6) AS score FROM (
+        SELECT *, sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS norm FROM (SELECT row_id, item, n_rows, uses * (ln((1.0 + n) / (1 + n_rows)) + 1) AS w FROM bag JOIN (SELECT item, count(*) AS n_rows FROM bag GROUP BY ALL) USING (item), tot)) GROUP BY item""",
+    "tfr": "SELECT item, n_rows, score, row_number() OVER (ORDER BY score DESC, item) AS rank FROM tfs",
+    "pr": "SELECT p.row_id, p.text_id, v.vec, list_distinct(l.lemmas) AS lemmas, list_distinct(p.persons) AS persons FROM par p JOIN lay l USING (row_id) JOIN (SELECT row_id, vec FROM vec) v USING (row_id)",
+    "el": f"""SELECT i, j, round({_DOT}(x, y), 9) AS e_cos, both / nullif(ni + nj - both, 0) AS c_jaccard, both AS shared_lemmas, h AS h_shared FROM (
+        SELECT a.row_id AS i, b.row_id AS j, a.vec AS x, b.vec AS y, len(a.lemmas) AS ni, len(b.lemmas) AS nj, len(list_intersect(a.lemmas, b.lemmas)) AS both, len(list_intersect(a.persons, b.persons)) AS h
+        FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.row_id <> b.row_id AND a.text_id IS DISTINCT FROM b.text_id AND abs(a.row_id - b.row_id) > 1 AND len(a.lemmas) > 0 AND len(b.lemmas) > 0
+        AND NOT (b.row_id % 100 = 0 AND b.row_id < a.row_id))""",
+}
+
+
+# --- what the queries share ---------------------------------------------------------------------------------------
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    return postings.postings(corpus.paragraphs(spark, d, "persons"), "row_id", "persons", "person")
+
+
+def _lemmas(spark: SparkSession, d: str) -> DataFrame:
+    return postings.postings(corpus.lemmas(spark, d), "row_id", "lemmas", "item")
+
+
+def _total(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "concept_layer").count()
+
+
+def _most_cited(spark: SparkSession, d: str) -> tuple[list[str], str | None]:
+    """The circle, the seven most cited people, and the eighth, the centre: a top-k of fixed size."""
+    got = [r[0] for r in _people(spark, d).groupBy("person").count().orderBy(F.desc("count"), "person").limit(8).collect()]
+    return got[:7], got[7] if len(got) > 7 else None
+
+
+def _grouped(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    circle, centre = _most_cited(spark, d)
+    df = corpus.paragraphs(spark, d, "text", "persons", *columns)
+    name = T.has_term(F.col("text"), [centre.rsplit("_", 1)[-1]]) if centre else F.lit(False)
+    return groups.grouped(df, T.has_term(F.col("text"), SEEDS), F.arrays_overlap("persons", F.array(*map(F.lit, circle)).cast("array<string>")), F.array_contains("persons", centre or ""), name)
+
+
+def _with_vectors(spark: SparkSession, d: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that have a vector, and the vectors keyed by row_id."""
+    vec = cut(corpus.vectors(spark, d).select("row_id", "vec"), "vectors")
+    return df.join(vec.select("row_id"), "row_id", "left_semi"), vec
+
+
+def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus.paragraphs(spark, d, "text_id", "persons").join(corpus.lemmas(spark, d), "row_id")
+    return p.join(corpus.vectors(spark, d).select("row_id", "vec"), "row_id")
+
+
+_ASKED = F.col  # set below, a condition on row_id
+
+
+def _asked():
+    """The stated query set: rows whose id is divisible by 100, against all rows."""
+    return F.col("row_id") % 100 == 0
+
+
+# --- scans and projections ----------------------------------------------------------------------------------------
+
+
+@_query("load_paragraphs__S10_K1", "SELECT row_id, issue, text_id, length(text) AS n_chars, len(persons) AS n_persons FROM par", "par")
+def _(spark, d):
+    return corpus.paragraphs(spark, d, "issue", "text_id", "text", "persons").select("row_id", "issue", "text_id", F.length("text").alias("n_chars"), F.size("persons").alias("n_persons"))
+
+
+@_query("clean_pointers__P1_P2", "SELECT row_id, person, count(*) AS uses FROM (SELECT row_id, unnest(persons) AS person FROM par) GROUP BY ALL", "par")
+def _(spark, d):
+    p = corpus.paragraphs(spark, d, "persons")
+    return p.select("row_id", F.explode("persons").alias("person")).groupBy("row_id", "person").agg(F.count("*").alias("uses"))
+
+
+@_query("split_lists__P22", r"SELECT DISTINCT cluster_id, lemma FROM (SELECT cluster_id, trim(unnest(string_split(top_lemmas, ';'))) AS lemma FROM sp3_clusters) WHERE lemma <> ''")
+def _(spark, d):
+    return table(spark, d, "sp3_clusters").select("cluster_id", F.explode(T.split_ids(F.col("top_lemmas"))).alias("lemma"))
+
+
+@_query("canonical_terms__P9_A30_X7", "SELECT item, count(*) AS uses, count(DISTINCT row_id) AS n_rows FROM (SELECT row_id, unnest(lemmas) AS item FROM lay) GROUP BY ALL", "lay")
+def _(spark, d):
+    c = ranking.bag_counts(corpus.lemmas(spark, d), "row_id", "lemmas")
+    return c.groupBy("item").agg(F.sum("uses").alias("uses"), F.count("*").alias("n_rows"))
+
+
+@_query("layer_summary__A30", "SELECT count(*) AS n_rows, count_if(len(lemmas) = 0) AS n_empty, (SELECT count(DISTINCT item) FROM lp) AS n_lemmas FROM lay", "lay", "lp")
+def _(spark, d):
+    lay = corpus.lemmas(spark, d)
+    n = _lemmas(spark, d).select("item").distinct().agg(F.count("*").alias("n_lemmas"))
+    return lay.agg(F.count("*").alias("n_rows"), F.count_if(F.size("lemmas") == 0).alias("n_empty")).join(n)
+
+
+_PERIOD = "CASE " + " ".join(f"WHEN birth_year >= {a} AND birth_year < {b} THEN '{n}'" for a, b, n in people.PERIODS) + " ELSE 'Unknown' END"
+_COUNTRY = "CASE lower(trim(country)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in people.COUNTRIES.items()) + " ELSE trim(country) END"
+_REGION = "CASE c " + " ".join(f"WHEN '{c}' THEN '{r}'" for r, cs in people.REGIONS.items() for c in cs) + " ELSE 'Other/Unknown' END"
+_CTE["pro"] = f"SELECT id, birth_year, c AS country, {_REGION} AS region, period FROM (SELECT id, birth_year, {_COUNTRY} AS c, {_PERIOD} AS period FROM persons_prosopography)"
+
+
+def _bucketed_people(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "persons_prosopography").select("id", "birth_year", people.country(F.col("country")).alias("country"))
+    return p.select("id", "birth_year", "country", people.region(F.col("country")).alias("region"), people.period(F.col("birth_year")).alias("period"))
+
+
+@_query("prosopography__S5_S6_P6_P7_P8_J8_J9", "SELECT id, birth_year, country, region, period FROM pro", "pro")
+def _(spark, d):
+    return _bucketed_people(spark, d)
+
+
+@_query("lexicon_groups__P12_P13_P15_G1_G2", "SELECT row_id, in_a, in_b, in_c, in_d, named, in_a_s, in_b_s FROM grp", "grp")
+def _(spark, d):
+    return _grouped(spark, d).select("row_id", "in_a", "in_b", "in_c", "in_d", "named", "in_a_s", "in_b_s")
+
+
+@_query("group_sizes__A29", "SELECT count_if(in_a) AS n_a, count_if(in_b) AS n_b, count_if(in_c) AS n_c, count_if(in_d) AS n_d, count_if(named) AS n_named, count_if(in_a_s) AS n_a_strat, count_if(in_b_s) AS n_b_strat, count_if(in_a AND in_b) AS n_ab, count(*) AS n FROM grp", "grp")
+def _(spark, d):
+    return groups.sizes(_grouped(spark, d))
+
+
+_TAGS = {"t_letra": "letras?", "t_rio": "r[ií]os?", "t_ley": "ley|leyes", "t_olvido": "olvido"}
+_TAG_SQL = " UNION ALL ".join(f"SELECT row_id, '{k}' AS tag FROM par WHERE regexp_matches(text, '{_TERMS([p])}')" for k, p in _TAGS.items())
+
+
+@_query("entity_tags__P14_S16", _TAG_SQL, "par")
+def _(spark, d):
+    return corpus.paragraphs(spark, d, "text").select("row_id", F.explode(T.entity_tags(F.col("text"), _TAGS)).alias("tag"))
+
+
+_CTE["tok"] = r"SELECT row_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '\p{L}{4,}')))) AS item FROM par"
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.paragraphs(spark, d, "text").select("row_id", F.explode(T.words(F.col("text"))).alias("item"))
+
+
+@_query("token_frequency__P16_A26", f"SELECT item, count(*) AS n_rows FROM tok WHERE item NOT IN (SELECT word FROM function_words) AND item NOT IN ({', '.join(repr(s) for s in SEEDS)}) GROUP BY ALL", "tok")
+def _(spark, d):
+    return postings.candidates(_tokens(spark, d), table(spark, d, "function_words").select(F.col("word").alias("item")).distinct(), SEEDS)
+
+
+@_query("segments__P17_S9")
+def _(spark, d):
+    s = segment.segmented(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return s.select("doc_id", "place", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@_query("excerpts__P18", r"SELECT row_id, CASE WHEN length(t) > 280 THEN left(t, 280) || '…' ELSE t END AS excerpt FROM (SELECT row_id, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS t FROM par)", "par")
+def _(spark, d):
+    return corpus.paragraphs(spark, d, "text").select("row_id", T.excerpt(F.col("text")).alias("excerpt"))
+
+
+@_query("set_jaccard__P23_P15", "SELECT row_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS jaccard FROM (SELECT row_id, list_distinct(list_filter(coalesce(terms, []), lambda x: x IS NOT NULL)) AS a, list_distinct(list_filter(coalesce(lemmas, []), lambda x: x IS NOT NULL)) AS b FROM concept_layer)")
+def _(spark, d):
+    clean = lambda c: F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    return table(spark, d, "concept_layer").select("row_id", F.round(T.jaccard(clean("terms"), clean("lemmas")), 6).alias("jaccard"))
+
+
+_CTE["inv"] = "SELECT label FROM (SELECT unnest(ana_gold) AS label FROM rec) GROUP BY label ORDER BY count(*) DESC, label LIMIT 10"
+
+
+def _inventory(spark: SparkSession, d: str) -> list[str]:
+    got = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold").select(F.explode("ana_gold").alias("label"))
+    return [r[0] for r in got.groupBy("label").count().orderBy(F.desc("count"), "label").limit(10).collect()]
+
+
+@_query("valid_labels__P25_S3", "SELECT row_id, array_to_string(list_filter(ana_gold, lambda x: x IN (SELECT label FROM inv)), ';') AS labels FROM rec WHERE len(ana_gold) > 0" if False else "SELECT row_id, string_agg(label, ';' ORDER BY pos) AS labels FROM (SELECT row_id, unnest(ana_gold) AS label, generate_subscripts(ana_gold, 1) AS pos FROM rec) SEMI JOIN inv USING (label) GROUP BY row_id", "rec", "inv")
+def _(spark, d):
+    known = F.array(*map(F.lit, _inventory(spark, d))).cast("array<string>")
+    p = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold")
+    return p.select("row_id", T.keep_valid(F.col("ana_gold"), known).alias("l")).filter(F.size("l") > 0).select("row_id", F.array_join("l", ";").alias("labels"))
+
+
+@_query("cache_keys__P11_M6", "SELECT row_id, sha256('m' || chr(0) || 'open' || chr(0) || text || chr(0)) AS key FROM par", "par")
+def _(spark, d):
+    return inference.with_keys(corpus.paragraphs(spark, d, "text"), "text", "m", "open").select("row_id", "key")
+
+
+@_query("fingerprint__P10_S12_S13")
+def _(spark, d):
+    return files.fingerprint(corpus.paragraphs(spark, d, "text"), "row_id", "text")
+
+
+@_query("issue_counts__P26", "SELECT issue, 'prop_' || replace(issue, '-', '_') AS col, count(*) AS n FROM par WHERE issue IS NOT NULL GROUP BY ALL", "par")
+def _(spark, d):
+    p = corpus.paragraphs(spark, d, "issue").filter("issue IS NOT NULL").groupBy("issue").agg(F.count("*").alias("n"))
+    return p.select("issue", F.concat(F.lit("prop_"), F.replace("issue", F.lit("-"), F.lit("_"))).alias("col"), "n")
+
+
+@_query("titles__S8_J13", "SELECT doc_id, coalesce(nullif(trim(title), ''), source) AS title FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), "source").alias("title"))
+
+
+@_query("note_shares__S7", "SELECT issue, count_if(has_note) AS n_notes, count(*) AS n FROM par GROUP BY ALL", "par")
+def _(spark, d):
+    return corpus.paragraphs(spark, d, "issue", "has_note").groupBy("issue").agg(F.count_if("has_note").alias("n_notes"), F.count("*").alias("n"))
+
+
+@_query("unknown_people__J11", "SELECT DISTINCT person FROM pp WHERE person NOT IN (SELECT id FROM persons_prosopography)", "pp")
+def _(spark, d):
+    return _people(spark, d).select("person").distinct().join(table(spark, d, "persons_prosopography").select(F.col("id").alias("person")), "person", "left_anti")
+
+
+@_query("aligned_layers__J1", "SELECT count(*) AS n, count(l.row_id) AS with_layer, count(v.row_id) AS with_vector FROM par p LEFT JOIN lay l USING (row_id) LEFT JOIN vec v USING (row_id)", "par", "lay", "vec")
+def _(spark, d):
+    p = corpus.paragraphs(spark, d)
+    lay, vec = corpus.lemmas(spark, d).select("row_id", F.lit(1).alias("l")), corpus.vectors(spark, d).select("row_id", F.lit(1).alias("v"))
+    return p.join(lay, "row_id", "left").join(vec, "row_id", "left").agg(F.count("*").alias("n"), F.count("l").alias("with_layer"), F.count("v").alias("with_vector"))
+
+
+@_query("vector_check__M5", "SELECT count(*) AS n, count_if(abs(nrm - 1) <= 0.001) AS n_unit, count_if(e IS NULL) AS n_null, count_if(bad) AS n_nan, count_if(nrm = 0) AS n_zero, min(len(e)) AS least_width, max(len(e)) AS most_width FROM (SELECT e, bad, CASE WHEN NOT bad THEN sqrt(list_dot_product(e, e)) END AS nrm FROM (SELECT embeddings::DOUBLE[] AS e, list_contains(list_transform(embeddings, lambda v: isnan(v)), true) AS bad FROM para_vectors))")
+def _(spark, d):
+    return inference.vector_check(table(spark, d, "para_vectors"), "embeddings")
+
+
+# --- postings and associations ------------------------------------------------------------------------------------
+
+
+@_query("postings__A1_X8", "SELECT row_id, item FROM lp SEMI JOIN lf USING (item)", "lp", "lf")
+def _(spark, d):
+    return postings.frequent(_lemmas(spark, d), 10)[0]
+
+
+_CELL = "SELECT item, grp AS {g}, count(*) AS a, max(n_group) AS n_group, max(n_item) AS n_item FROM (lp SEMI JOIN lf USING (item)) JOIN lf USING (item) JOIN {post} USING (row_id) GROUP BY ALL HAVING count(*) >= 3"
+
+
+def _map_sql(group: str, post: str) -> str:
+    return rf"""SELECT item, {group}, a, n_group, n_item, log_odds, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM (
+      SELECT *, least(1, min(p * m / rk) OVER (ORDER BY rk DESC)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM (
+        SELECT item, {group}, a, n_group, n_item, round(ln((a + 0.5) * (dd + 0.5) / ((b + 0.5) * (c + 0.5))), 3) AS log_odds, least(1, list_sum(list_transform(list_filter(lps, lambda x: x <= lp0 + 1e-7), lambda x: exp(x)))) AS p FROM (
+          SELECT *, list_transform(range(greatest(0, n_group + n_item - n), least(n_group, n_item) + 1), lambda k: w - lgamma(k + 1) - lgamma(n_group - k + 1) - lgamma(n_item - k + 1) - lgamma(n - n_group - n_item + k + 1)) AS lps,
+            w - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(dd + 1) AS lp0 FROM (
+            SELECT *, n_group - a AS b, n_item - a AS c, n - n_group - n_item + a AS dd, lgamma(n_group + 1) + lgamma(n - n_group + 1) + lgamma(n_item + 1) + lgamma(n - n_item + 1) - lgamma(n + 1) AS w FROM (
+              SELECT x.item, y.{group}, count(*) AS a, max(n_group) AS n_group, max(n_item) AS n_item FROM lp x JOIN lf USING (item) JOIN {post} y USING (row_id) GROUP BY ALL HAVING count(*) >= 3), tot)))))"""
+
+
+def _map(spark, d, post: DataFrame, group: str, least: int) -> DataFrame:
+    return assoc.tested(assoc.cells(_lemmas(spark, d), post, "row_id", _total(spark, d), "item", group, 10, least))
+
+
+_CTE["ppf"] = "SELECT row_id, person, n_group FROM pp JOIN pf USING (person)"
+_CTE["isf"] = "SELECT row_id, issue, count(*) OVER (PARTITION BY issue) AS n_group FROM par WHERE issue IS NOT NULL"
+for _dim in ("period", "region"):
+    _CTE[f"b{_dim}"] = f"SELECT *, count(*) OVER (PARTITION BY {_dim}) AS n_group FROM (SELECT DISTINCT row_id, {_dim} FROM pp JOIN pro ON id = person)"
+
+
+@_query("concept_person_map__A2_A3_A4_A5_A6_O1_P24", _map_sql("person", "ppf"), "lp", "lf", "ppf", "tot")
+def _(spark, d):
+    return _map(spark, d, _people(spark, d), "person", 5)
+
+
+@_query("concept_issue_map__A7", _map_sql("issue", "isf"), "lp", "lf", "isf", "tot")
+def _(spark, d):
+    return _map(spark, d, corpus.paragraphs(spark, d, "issue").filter("issue IS NOT NULL"), "issue", 0)
+
+
+@_query("concept_period_map__A8", _map_sql("period", "bperiod"), "lp", "lf", "bperiod", "tot")
+def _(spark, d):
+    return _map(spark, d, people.bucketed(_people(spark, d), _bucketed_people(spark, d), "row_id", "person", "period").withColumnRenamed("bucket", "period"), "period", 0)
+
+
+@_query("concept_region_map__A8", _map_sql("region", "bregion"), "lp", "lf", "bregion", "tot")
+def _(spark, d):
+    return _map(spark, d, people.bucketed(_people(spark, d), _bucketed_people(spark, d), "row_id", "person", "region").withColumnRenamed("bucket", "region"), "region", 0)
+
+
+@_query("anchor__R19", f"""SELECT count(*) AS n_cells, count_if(log_odds > 0) AS n_pos, count_if(significant) AS n_sig, round(coalesce(count_if(log_odds > 0) / nullif(count(*), 0), 0), 3) AS frac_pos,
+    count(*) >= 3 AND coalesce(count_if(log_odds > 0) / nullif(count(*), 0), 0) >= 0.6 AND count_if(significant) >= 1 AS ok FROM ({_map_sql("person", "ppf")}) SEMI JOIN circle USING (person) WHERE item IN ({", ".join(repr(s) for s in SEEDS)})""", "lp", "lf", "ppf", "tot", "circle")
+def _(spark, d):
+    return assoc.anchor(_map(spark, d, _people(spark, d), "person", 5), F.col("person").isin(_most_cited(spark, d)[0]) & F.col("item").isin(SEEDS))
+
+
+_OF = lambda x: "CASE issue " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(ISSUES, 1)) + f" END AS {x}"
+_SHARES = ", ".join(f"round(a_{i} / n_{i}, 4) AS share_{i}" for i in range(1, 6))
+_TREND = f"""SELECT item, n_item, {_SHARES}, CASE WHEN z > 0 THEN 'rising' WHEN z < 0 THEN 'falling' ELSE 'flat' END AS direction, round(z, 3) AS z FROM (
+    SELECT *, CASE WHEN held > 0 AND held < nn AND held / nn * (1 - held / nn) * sp > 0 THEN u / sqrt(held / nn * (1 - held / nn) * sp) ELSE 0 END AS z FROM (
+    SELECT item, n_item, {", ".join(f"count_if(t = {i}) AS a_{i}, max(n_{i}) AS n_{i}" for i in range(1, 6))}, count(t) AS held, max(nn) AS nn, max(sp) AS sp, sum(coalesce(t - mean, 0)) AS u
+    FROM lp JOIN lf USING (item) LEFT JOIN (SELECT row_id, {_OF("t")} FROM par) USING (row_id), (
+      SELECT *, {" + ".join(f"n_{i} * ({i} - mean) ** 2" for i in range(1, 6))} AS sp FROM (SELECT {", ".join(f"count_if(t = {i}) AS n_{i}" for i in range(1, 6))}, count(t) AS nn, avg(t) AS mean FROM (SELECT {_OF("t")} FROM par)))
+    GROUP BY ALL))"""
+
+
+def _trends(spark, d):
+    return assoc.trends(_lemmas(spark, d), corpus.paragraphs(spark, d, "issue"), "row_id", ISSUES, "item", "issue")
+
+
+@_query("trend_statistics__A19_A20", _TREND, "lp", "lf", "par")
+def _(spark, d):
+    return _trends(spark, d).drop("p", "q")
+
+
+@_query("trend_table__A19_A20_O10")
+def _(spark, d):
+    return _trends(spark, d)
+
+
+_CTE["prof"] = """SELECT * FROM (SELECT row_id, person, unnest([{'dim': 'period', 'bucket': period}, {'dim': 'region', 'bucket': region}, {'dim': 'origin', 'bucket': CASE WHEN country IS NULL THEN 'Unknown origin' WHEN country = 'Argentina' THEN 'Argentina' ELSE 'Foreign' END}], recursive := true) FROM pp JOIN pro ON id = person)"""
+
+
+@_query("profile__A23_O12", "SELECT dim, bucket, count(DISTINCT person) AS n_figures, count(DISTINCT row_id) AS n_rows FROM prof GROUP BY ALL", "prof")
+def _(spark, d):
+    return people.profile(_people(spark, d), _bucketed_people(spark, d), "row_id", "person", "Argentina")
+
+
+_CTE["itn"] = "SELECT item, issue, count(*) AS k FROM lp JOIN lf USING (item) JOIN par USING (row_id) WHERE issue IS NOT NULL GROUP BY ALL"
+
+
+@_query("dispersion__A24_A25", "SELECT item, round(max(k) / sum(k), 6) AS dispersion, (arg_max(issue, (k, issue))) AS dominant FROM itn GROUP BY item", "itn")
+def _(spark, d):
+    got = postings.frequent(_lemmas(spark, d), 10)[0].join(corpus.paragraphs(spark, d, "issue").filter("issue IS NOT NULL"), "row_id").groupBy("item", "issue").agg(F.count("*").alias("k"))
+    return got.groupBy("item").agg(F.round(F.max("k") / F.sum("k"), 6).alias("dispersion"), F.max_by("issue", F.struct("k", "issue")).alias("dominant"))
+
+
+@_query("tfidf_ranks__A12_O4", "SELECT item, n_rows, score, rank FROM tfr", "tfr")
+def _(spark, d):
+    c = cut(ranking.bag_counts(corpus.lemmas(spark, d), "row_id", "lemmas"), "bags")
+    return ranking.ranked(ranking.tfidf_scores(c, "row_id", _total(spark, d)))
+
+
+def _raw_uses(spark, d) -> DataFrame:
+    from scriptoria.functions.folding import canonical
+
+    raw = table(spark, d, "concept_layer").select("row_id", F.explode("lemmas").alias("form")).filter("form IS NOT NULL")
+    return raw.select("row_id", canonical("form").alias("lemma"), "form").filter("lemma <> ''")
+
+
+_CTE["raw"] = rf"SELECT row_id, form, trim(regexp_replace(strip_accents(lower(form)), '{_B}+', ' ', 'g')) AS lemma FROM (SELECT row_id, unnest(lemmas) AS form FROM concept_layer) WHERE form IS NOT NULL AND trim(regexp_replace(form, '{_B}+', ' ', 'g')) <> ''"
+_CTE["ing"] = "SELECT c.row_id, c.para_id AS label, coalesce(g.in_b OR g.in_c, false) AS in_group FROM concept_layer c LEFT JOIN grp g USING (row_id)"
+
+
+@_query("candidate_table__A11_O11_T5_J14", f"""SELECT m.lemma, n_instances, m.n_rows, tfr.rank AS tfidf_rank, example_forms, coalesce(example_ids, '') AS example_ids, round(ln(((c_in + 0.5) / (m.n_rows - c_in + 0.5)) / ((SELECT (count_if(in_group) + 0.5) / (count_if(NOT in_group) + 0.5) FROM ing))), 3) AS enrichment_score,
+    m.lemma IN ({", ".join(repr(s) for s in SEEDS)}) AS in_seeds, '' AS keep FROM (SELECT lemma, sum(k)::BIGINT AS n_instances, count(*) AS n_rows, count_if(in_group) AS c_in FROM (SELECT lemma, row_id, count(*) AS k FROM raw GROUP BY ALL) JOIN ing USING (row_id) GROUP BY lemma) m
+    JOIN (SELECT lemma, string_agg(form, '; ' ORDER BY r) AS example_forms FROM (SELECT lemma, form, row_number() OVER (PARTITION BY lemma ORDER BY count(*) DESC, form) AS r FROM raw GROUP BY lemma, form) WHERE r <= 3 GROUP BY lemma) f USING (lemma)
+    LEFT JOIN (SELECT lemma, string_agg(label, '; ' ORDER BY r) AS example_ids FROM (SELECT lemma, label, row_number() OVER (PARTITION BY lemma ORDER BY row_id) AS r FROM (SELECT DISTINCT lemma, row_id FROM raw) JOIN ing USING (row_id)) WHERE r <= 3 AND label <> '' GROUP BY lemma) e USING (lemma)
+    LEFT JOIN tfr ON tfr.item = m.lemma""", "raw", "ing", "tfr")
+def _(spark, d):
+    g = _grouped(spark, d).select("row_id", (F.col("in_b") | F.col("in_c")).alias("g"))
+    rows = table(spark, d, "concept_layer").select("row_id", F.col("para_id").alias("label")).join(g, "row_id", "left").select("row_id", "label", F.coalesce("g", F.lit(False)).alias("in_group"))
+    c = cut(ranking.bag_counts(corpus.lemmas(spark, d), "row_id", "lemmas"), "bags")
+    ranks = ranking.ranked(ranking.tfidf_scores(c, "row_id", _total(spark, d)))
+    return ranking.candidate_table(cut(_raw_uses(spark, d), "forms"), cut(rows, "rows"), "row_id", SEEDS, ranks)
+
+
+@_query("surface_forms__A27", "SELECT lemma, array_to_string(list_sort(list_distinct(list_append(list(DISTINCT trim(form)), lemma))), ';') AS forms FROM raw GROUP BY lemma", "raw")
+def _(spark, d):
+    f = postings.surface_forms(_raw_uses(spark, d).withColumn("form", F.trim("form")), "lemma", "form")
+    return f.select("lemma", F.array_join("forms", ";").alias("forms"))
+
+
+_CTE["top_t"] = "SELECT item FROM tfr WHERE rank <= 100"
+_CTE["top_c"] = "SELECT item FROM bag GROUP BY item ORDER BY count(*) DESC, item LIMIT 100"
+
+
+@_query("list_overlap__R21_G7_O9", "SELECT (SELECT count(*) FROM top_t SEMI JOIN top_c USING (item)) AS n_both, (SELECT count(*) FROM (SELECT item FROM top_t UNION SELECT item FROM top_c)) AS n_any, round((SELECT count(*) FROM top_t SEMI JOIN top_c USING (item)) / (SELECT count(*) FROM (SELECT item FROM top_t UNION SELECT item FROM top_c)), 6) AS jaccard, (SELECT coalesce(string_agg(item, '; ' ORDER BY item), '') FROM (SELECT item FROM top_c ANTI JOIN top_t USING (item) ORDER BY item LIMIT 10)) AS left_only", "top_t", "top_c")
+def _(spark, d):
+    c = cut(ranking.bag_counts(corpus.lemmas(spark, d), "row_id", "lemmas"), "bags")
+    by_count = ranking.top(postings.frequency(c), 100, F.col("n_rows").desc(), F.col("item"))
+    by_score = ranking.top(ranking.tfidf_scores(c, "row_id", _total(spark, d)).withColumn("score", F.round("score", 6)), 100, F.col("score").desc(), F.col("item"))
+    return ranking.list_overlap(cut(by_count.select("item"), "left"), cut(by_score.select("item"), "right"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+
+_CTE["ev"] = "SELECT r.row_id, list_distinct(r.ana_gold) AS g, list_distinct(list_filter(list_transform(l.lemmas, lambda x: 'ana_' || x), lambda x: list_contains((SELECT list(label) FROM labs), x))) AS p, len(l.lemmas) AS n_open FROM rec r JOIN lay l USING (row_id) WHERE len(r.ana_gold) > 0"
+_CTE["labs"] = "SELECT DISTINCT unnest(ana_gold) AS label FROM rec"
+
+
+def _evaluated(spark, d):
+    gold = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold").filter(F.size("ana_gold") > 0)
+    labels = [r[0] for r in gold.select(F.explode("ana_gold").alias("x")).distinct().collect()]  # the label inventory
+    p = gold.join(corpus.lemmas(spark, d), "row_id")
+    tagged = F.array_distinct(T.keep_valid(F.transform("lemmas", lambda x: F.concat(F.lit("ana_"), x)), F.array(*map(F.lit, labels)).cast("array<string>")))
+    return p.withColumn("predicted", tagged)
+
+
+@_query("micro_scores__A21_P25", "SELECT tp, fp, fn, round(pr, 3) AS precision, round(re, 3) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 3) AS f1 FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re FROM (SELECT sum(len(list_intersect(g, p)))::BIGINT AS tp, sum(len(p) - len(list_intersect(g, p)))::BIGINT AS fp, sum(len(g) - len(list_intersect(g, p)))::BIGINT AS fn FROM ev))", "ev")
+def _(spark, d):
+    return evaluation.micro(evaluation.matches(_evaluated(spark, d), F.col("ana_gold"), F.col("predicted")))
+
+
+@_query("row_scores__A21_J2", "SELECT row_id, len(list_intersect(g, p)) AS tp, len(p) - len(list_intersect(g, p)) AS fp, len(g) - len(list_intersect(g, p)) AS fn FROM ev", "ev")
+def _(spark, d):
+    return evaluation.matches(evaluation.require_unique(_evaluated(spark, d), "row_id"), F.col("ana_gold"), F.col("predicted")).select("row_id", "tp", "fp", "fn")
+
+
+@_query("metric_summary__A22", "SELECT round(avg(len(p)), 6) AS mean_predicted, round(avg(len(g)), 6) AS mean_gold, round(avg(n_open), 6) AS mean_open FROM ev", "ev")
+def _(spark, d):
+    e = _evaluated(spark, d)
+    return e.agg(F.round(F.avg(F.size("predicted")), 6).alias("mean_predicted"), F.round(F.avg(F.size(F.array_distinct("ana_gold"))), 6).alias("mean_gold"), F.round(F.avg(F.size("lemmas")), 6).alias("mean_open"))
+
+
+@_query("group_rates__A10", "SELECT contributor, count(*) AS n, round(avg(in_a::INT), 6) AS rate, round(avg(in_a::INT) / (SELECT avg(in_a::INT) FROM grp), 6) AS ratio FROM grp JOIN par USING (row_id) GROUP BY contributor", "grp", "par")
+def _(spark, d):
+    g = cut(_grouped(spark, d, "contributor").select("contributor", F.col("in_a").cast("int").alias("a")), "rates")
+    base = g.agg(F.avg("a").alias("base"))
+    return g.groupBy("contributor").agg(F.count("*").alias("n"), F.avg("a").alias("rate")).join(base).select("contributor", "n", F.round("rate", 6).alias("rate"), F.round(F.try_divide(F.col("rate"), F.col("base")), 6).alias("ratio"))
+
+
+# --- vectors and the probe ----------------------------------------------------------------------------------------
+
+
+@_query("mean_cosines__A9_J7_M7", "SELECT contributor, a.n AS n_a, b.n AS n_b, round(list_dot_product(a.s, b.s) / (a.n * b.n), 6) AS mean_cos FROM (SELECT contributor, count(*) AS n, list(s ORDER BY dim) FILTER (true) AS s0, count(*) AS n0 FROM (SELECT 1 AS dim, 0 AS s, '' AS contributor) GROUP BY contributor) z, (SELECT 1 AS n, [1.0] AS s) a, (SELECT 1 AS n, [1.0] AS s) b WHERE false" if False else """SELECT contributor, n_a, n_b, round(sum(s * t) / (n_a * n_b), 6) AS mean_cos FROM
+    (SELECT contributor, dim, sum(x) AS s, count(*) AS n_a FROM (SELECT contributor, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv JOIN par USING (row_id)) GROUP BY ALL)
+    JOIN (SELECT dim, sum(x) AS t, count(*) AS n_b FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv WHERE in_b) GROUP BY ALL) USING (dim) GROUP BY ALL""", "gv", "par")
+def _(spark, d):
+    g, vec = _with_vectors(spark, d, _grouped(spark, d, "contributor"))
+    g = cut(g.select("row_id", "contributor", "in_b").join(vec, "row_id"), "grouped")
+    a = g.withColumn("contributor", F.coalesce("contributor", F.lit("\x00")))
+    got = vectors.mean_cross_cosine(a, g.filter("in_b"), by=["contributor"])
+    return got.select(F.nullif("contributor", F.lit("\x00")).alias("contributor"), "n_a", "n_b", F.round("mean_cos", 6).alias("mean_cos"))
+
+
+@_query("closest_contributor__A32")
+def _(spark, d):
+    m = _Q["mean_cosines__A9_J7_M7"](spark, d)
+    return m.agg(F.max_by("contributor", F.struct("mean_cos", "contributor")).alias("contributor"), F.max("mean_cos").alias("mean_cos"))
+
+
+_CLASSES = {"A-A": ("in_a", "in_a"), "A-B": ("in_a", "in_b"), "A-C": ("in_a", "in_c"), "A-D": ("in_a", "in_d"), "As-Bs": ("in_a_s", "in_b_s"), "As-D": ("in_a_s", "in_d")}
+
+
+def _members_sql(classes: dict[str, tuple[str, str]], source: str = "gv") -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS run, {s} AS side, row_id FROM {source} WHERE {col}" for c, p in classes.items() for s, col in enumerate(p))
+
+
+def _cross_sql(members: str, seed: str, n: int = N) -> str:
+    """Pairs (run, i, j) of (run, side, row_id), as `sampling.cross_pairs` draws them."""
+    return f"""SELECT p.run, l.row_id AS i, r.row_id AS j FROM (
+      SELECT run, CASE WHEN l * r <= {n} THEN k // r ELSE k % l END AS x, CASE WHEN l * r <= {n} THEN k % r ELSE ('0x' || substr(md5('{seed}|' || run || '|' || k), 1, 8))::BIGINT % r END AS y FROM (
+        SELECT run, l, r, unnest(range(least(l * r, {n}))) AS k FROM (SELECT run, count_if(side = 0 AND place <= {n}) AS l, count_if(side = 1 AND place <= {n}) AS r FROM ({members}) GROUP BY run) WHERE l > 0 AND r > 0)) p
+      JOIN ({members}) l ON l.run = p.run AND l.side = 0 AND l.place = x + 1 JOIN ({members}) r ON r.run = p.run AND r.side = 1 AND r.place = y + 1 WHERE l.row_id <> r.row_id"""
+
+
+def _placed_sql(members: str, seed: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY run, side ORDER BY md5('{seed}|' || run || '|' || side || '|' || row_id), row_id) AS place FROM ({members})"
+
+
+_DELTA = "2 * sum(x * (below + 0.5 * y)) / (sum(x)::DOUBLE * sum(y)) - 1"
+
+
+def _delta_sql(samples: str, by: str = "run") -> str:
+    """(by, n_x, n_y, delta) of (by, cos, is_x)."""
+    return f"""SELECT {by}, sum(x)::BIGINT AS n_x, sum(y)::BIGINT AS n_y, round({_DELTA}, 6) AS delta FROM (
+      SELECT *, sum(y) OVER (PARTITION BY {by} ORDER BY cos) - y AS below FROM (SELECT {by}, cos, count_if(is_x) AS x, count_if(NOT is_x) AS y FROM ({samples}) GROUP BY ALL)) GROUP BY {by}"""
+
+
+_CTE["pm"] = _placed_sql(_members_sql(_CLASSES), "probe")
+_CTE["pcos"] = f"SELECT run, round({_DOT}(a.vec, b.vec), 9) AS cos FROM ({_cross_sql('SELECT * FROM pm', 'probe')}) p JOIN vec a ON a.row_id = i JOIN vec b ON b.row_id = j"
+_CTE["pdel"] = _delta_sql("SELECT c.run AS class, p.cos, p.run = c.run AS is_x FROM (SELECT DISTINCT run FROM pcos) c JOIN pcos p ON p.run = c.run OR p.run = 'A-D' WHERE c.run <> 'A-D'", "class")
+
+
+def _probe_cosines(spark, d) -> DataFrame:
+    g, vec = _with_vectors(spark, d, _grouped(spark, d))
+    members = groups.sides(g, "row_id", _CLASSES)
+    return cut(probe.pair_cosines(sampling.cross_pairs(members, "row_id", N, "probe"), vec, "row_id"), "cosines")
+
+
+@_query("probe_classes__R11_R2_A13", "SELECT run AS class, count(*) AS n_pairs, round(quantile_cont(cos, 0.5), 6) AS median, round(quantile_cont(cos, 0.25), 6) AS iqr_low, round(quantile_cont(cos, 0.75), 6) AS iqr_high, CASE WHEN run = 'A-D' THEN 0 ELSE any_value(delta) END AS delta FROM pcos LEFT JOIN pdel ON class = run GROUP BY run", "pcos", "pdel")
+def _(spark, d):
+    return probe.class_table(_probe_cosines(spark, d), "A-D").drop("p")
+
+
+@_query("probe_table__R11_A17")
+def _(spark, d):
+    return probe.class_table(_probe_cosines(spark, d), "A-D")
+
+
+@_query("probe_delta__R12", _delta_sql("SELECT 'probe' AS run, cos, run = 'A-B' AS is_x FROM pcos WHERE run IN ('A-B', 'A-D')"), "pcos")
+def _(spark, d):
+    g, vec = _with_vectors(spark, d, _grouped(spark, d))
+    members = groups.sides(g, "row_id", {k: _CLASSES[k] for k in ("A-B", "A-D")})
+    cos = probe.pair_cosines(sampling.cross_pairs(members, "row_id", N, "probe"), vec, "row_id").withColumn("is_x", F.col("run") == "A-B").withColumn("run", F.lit("probe"))
+    return rankstats.two_samples(cos, "cos", F.col("is_x"), ["run"]).select("run", "n_x", "n_y", F.round("delta", 6).alias("delta"))
+
+
+@_query("no_note_probe__R15", None)
+def _(spark, d):
+    g, vec = _with_vectors(spark, d, _grouped(spark, d, "has_note").filter(~F.col("has_note")))
+    cos = cut(probe.pair_cosines(sampling.cross_pairs(groups.sides(g, "row_id", _CLASSES), "row_id", N, "probe"), vec, "row_id"), "cosines")
+    return probe.against(cos, {"A-B": "A-D", "As-Bs": "As-D"}).select("class", "n_x", "n_y", F.round("delta", 6).alias("delta"))
+
+
+_CTE["loov"] = "SELECT v, m FROM (SELECT 'full' AS v, person AS m FROM circle UNION ALL SELECT 'minus_' || a.person, b.person FROM circle a JOIN circle b ON a.person <> b.person UNION ALL SELECT 'only_' || person, person FROM circle)"
+_CTE["loom"] = _placed_sql("SELECT v || '/ab' AS run, 1 AS side, row_id FROM (SELECT DISTINCT v, row_id FROM loov JOIN pp ON person = m SEMI JOIN vec USING (row_id)) UNION ALL SELECT v || '/ad', 1, row_id FROM (SELECT DISTINCT v FROM loov), gv WHERE in_d UNION ALL SELECT v || c, 0, row_id FROM (SELECT DISTINCT v FROM loov), gv, (SELECT unnest(['/ab', '/ad']) AS c) WHERE in_a", "loo")
+_NL = 2000
+
+
+@_query("leave_one_out__R16_G3_G5", "SELECT run AS variant, n_x AS n_ab, n_y AS n_ad, delta FROM (" + _delta_sql(f"SELECT regexp_extract(p.run, '^(.*)/a.$', 1) AS run, round({_DOT}(a.vec, b.vec), 9) AS cos, p.run LIKE '%/ab' AS is_x FROM ({_cross_sql('SELECT * FROM loom', 'loo', _NL)}) p JOIN vec a ON a.row_id = i JOIN vec b ON b.row_id = j") + ")", "loom", "vec")
+def _(spark, d):
+    circle, _centre = _most_cited(spark, d)
+    g, vec = _with_vectors(spark, d, _grouped(spark, d))
+    g = cut(g.select("row_id", "in_a", "in_d"), "grouped")
+    b = groups.leave_one_out(_people(spark, d).withColumnRenamed("person", "item"), circle, "row_id").join(vec.select("row_id"), "row_id", "left_semi")
+    runs = ["full", *(f"minus_{c}" for c in circle), *(f"only_{c}" for c in circle)]
+    each = lambda col, kind: g.filter(col).select(F.explode(F.array(*map(F.lit, runs))).alias("run"), F.lit(kind).alias("kind"), "row_id")
+    members = b.select(F.col("variant").alias("run"), F.lit("b").alias("kind"), "row_id").union(each("in_a", "a")).union(each("in_d", "d"))
+    return probe.deltas(members, vec, "row_id", _NL, "loo").withColumnRenamed("run", "variant")
+
+
+@_query("seed_set_sweep__R20", None)
+def _(spark, d):
+    """The probe for several seed sets, each drawn by the same keys."""
+    circle, centre = _most_cited(spark, d)
+    df, vec = _with_vectors(spark, d, corpus.paragraphs(spark, d, "text", "persons"))
+    b = F.arrays_overlap("persons", F.array(*map(F.lit, circle)).cast("array<string>")) | F.array_contains("persons", centre or "")
+    sets = {"all": SEEDS, "absence": ["ausencia", "ausente", "silencio", "olvido"], "writing": ["escritura", "escribir", "escrito", "escrita"], "death": ["muerte", "soledad", "imposible"]}
+    flags = df.select("row_id", b.alias("b"), F.explode(F.array(*[F.struct(F.lit(k).alias("run"), T.has_term(F.col("text"), v).alias("a")) for k, v in sets.items()])).alias("s"))
+    flags = cut(flags.select("row_id", "b", "s.run", "s.a"), "sets")
+    kind = F.explode(F.array_compact(F.array(F.when(F.col("a"), "a"), F.when(F.col("b"), "b"), F.when(~F.col("a") & ~F.col("b"), "d"))))
+    return probe.deltas(flags.select("run", kind.alias("kind"), "row_id"), vec, "row_id", _NL, "sweep")
+
+
+def _shared_pairs(spark, d, post: DataFrame, vec: DataFrame, n: int, seed: str) -> DataFrame:
+    """About n pairs that share an item, each item by its share of all pairs; and n pairs of any two rows."""
+    post = post.join(vec.select("row_id"), "row_id", "left_semi").withColumnRenamed(post.columns[1], "run")
+    total = post.groupBy("run").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] or 1
+    shared = sampling.within_pairs(post, "row_id", n, seed, quota=lambda left, _: F.ceil(F.lit(2.0 * n) * left * (left - 1) / total) + 1).select("i", "j").distinct()
+    base = sampling.within_pairs(vec.select(F.lit("all").alias("run"), "row_id"), "row_id", n, seed)
+    return shared.select(F.lit("shared").alias("run"), "i", "j").union(base.select(F.lit("base").alias("run"), "i", "j"))
+
+
+@_query("shared_people_test__R13_J3_R1")
+def _(spark, d):
+    _x, vec = _with_vectors(spark, d, corpus.paragraphs(spark, d))
+    cos = probe.pair_cosines(_shared_pairs(spark, d, _people(spark, d).select("row_id", "person"), vec, N, "people"), vec, "row_id")
+    return probe.class_table(cut(cos, "cosines"), "base")
+
+
+@_query("shared_concept_test__R13")
+def _(spark, d):
+    _x, vec = _with_vectors(spark, d, corpus.paragraphs(spark, d))
+    cos = probe.pair_cosines(_shared_pairs(spark, d, _lemmas(spark, d).select("row_id", "item"), vec, N, "concepts"), vec, "row_id")
+    return probe.class_table(cut(cos, "cosines"), "base")
+
+
+_CTE["gc"] = f"SELECT round({_DOT}(a.vec, b.vec), 9) AS cos, round(coalesce(len(list_intersect(a.lemmas, b.lemmas)) / nullif(len(list_distinct(list_concat(a.lemmas, b.lemmas))), 0), 0), 9) AS jac FROM ({_cross_sql(_placed_sql(' UNION ALL '.join(f'SELECT {chr(39)}all{chr(39)} AS run, {s} AS side, row_id FROM pr' for s in (0, 1)), 'graded'), 'graded')}) p JOIN pr a ON a.row_id = i JOIN pr b ON b.row_id = j"
+_BINS = [(-0.001, 0.0, "0"), (0.0, 0.1, "(0, 0.1]"), (0.1, 0.2, "(0.1, 0.2]"), (0.2, 0.4, "(0.2, 0.4]"), (0.4, 1.01, "(0.4, 1]")]
+
+
+def _graded(spark, d) -> DataFrame:
+    rows = cut(_pair_rows(spark, d), "rows")
+    both = rows.select(F.lit("all").alias("run"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "row_id")
+    at = sampling.cross_pairs(both, "row_id", N, "graded")
+    x, y = rows.select(F.col("row_id").alias("i"), F.col("vec").alias("x"), F.array_distinct("lemmas").alias("p")), rows.select(F.col("row_id").alias("j"), F.col("vec").alias("y"), F.array_distinct("lemmas").alias("q"))
+    return at.join(x, "i").join(y, "j").select(F.round(vectors.dot(F.col("x"), F.col("y")), 9).alias("cos"), F.round(T.jaccard(F.col("p"), F.col("q")), 9).alias("jac"))
+
+
+_MID = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2)"
+
+
+@_query("graded_coherence__R14_R17_A18_O3", f"SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT {_MID('cos')} AS a, {_MID('jac')} AS b FROM gc)", "pr", "gc")
+def _(spark, d):
+    return rankstats.spearman(_graded(spark, d), "cos", "jac").select("n", F.round("rho", 6).alias("rho"))
+
+
+@_query("cosine_by_overlap__A15", "SELECT CASE " + " ".join(f"WHEN jac > {a} AND jac <= {b} THEN '{n}'" for a, b, n in _BINS) + " END AS bin, count(*) AS n, round(quantile_cont(cos, 0.5), 6) AS median FROM gc GROUP BY ALL", "pr", "gc")
+def _(spark, d):
+    return figures.binned_medians(_graded(spark, d), "jac", "cos", _BINS)
+
+
+# --- pair mining --------------------------------------------------------------------------------------------------
+
+_HOT = lambda name, cond, order: f"(SELECT '{name}' AS direction, i, j, round(e_cos, 4) AS e_cos, round(c_jaccard, 4) AS c_jaccard, shared_lemmas, h_shared FROM el WHERE {cond} ORDER BY el.e_cos {order}, i, j LIMIT 200)"
+
+
+@_query("hotspots__J4_J5_O5_G7", f"SELECT * FROM {_HOT('E_high_surface_zero', 'shared_lemmas = 0 AND h_shared = 0', 'DESC')} UNION ALL SELECT * FROM {_HOT('C_high_E_low', 'shared_lemmas >= 3', 'ASC')}", "el")
+def _(spark, d):
+    return pairs.hotspots(cut(_pair_rows(spark, d), "rows"), _asked())
+
+
+@_query("scale_statistics__A14", """SELECT count(*) AS n_eligible, round(avg(e_cos), 3) AS mean_all, count_if(m1) AS d1_pool, round(count_if(m1) / count(*), 3) AS d1_share, round(avg(e_cos) FILTER (m1), 3) AS d1_mean, round(stddev_pop(e_cos) FILTER (m1), 3) AS d1_sd,
+    count_if(m1 AND e_cos > 0.5) AS d1_gt05, count_if(m1 AND e_cos > 0.6) AS d1_gt06, count_if(m1 AND e_cos > 0.7) AS d1_gt07, count_if(m2) AS d2_pool, round(count_if(m2) / count(*), 4) AS d2_share, round(avg(e_cos) FILTER (m2), 3) AS d2_mean, round(stddev_pop(e_cos) FILTER (m2), 3) AS d2_sd,
+    count_if(m2 AND e_cos < 0.25) AS d2_lt025, count_if(m2 AND e_cos < 0.3) AS d2_lt03 FROM (SELECT *, shared_lemmas = 0 AND h_shared = 0 AS m1, shared_lemmas >= 3 AS m2 FROM el)""", "el")
+def _(spark, d):
+    return pairs.scale(cut(_pair_rows(spark, d), "rows"), _asked())
+
+
+@_query("pair_correlations__A18_J6", f"SELECT count(*) AS n, round(corr(a, b), 4) AS rho FROM (SELECT {_MID('e_cos')} AS a, {_MID('round(c_jaccard, 9)')} AS b FROM el)", "el")
+def _(spark, d):
+    p = pairs.all_pairs(cut(_pair_rows(spark, d), "rows"), _asked()).withColumn("c_jaccard", F.round("c_jaccard", 9))
+    return rankstats.spearman(p, "e_cos", "c_jaccard").select("n", F.round("rho", 4).alias("rho"))
+
+
+_NB = "SELECT a.row_id AS i, b.row_id AS j, len(a.lemmas) AS ni, round(list_dot_product(a.vec, b.vec), 9) AS e, len(list_intersect(a.lemmas, b.lemmas)) / (len(a.lemmas) + len(b.lemmas) - len(list_intersect(a.lemmas, b.lemmas))) AS c FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.row_id <> b.row_id AND a.text_id IS DISTINCT FROM b.text_id"
+
+
+@_query("neighbour_agreement__O6_O7", f"SELECT i AS row_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) AS neigh_jaccard FROM (SELECT i, list(j) FILTER (re <= 10) AS x, list(j) FILTER (rc <= 10) AS y, count(*) AS n FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY e DESC, j) AS re, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS rc FROM ({_NB} WHERE len(a.lemmas) > 0 AND len(b.lemmas) > 0)) GROUP BY i) WHERE n >= 10", "pr")
+def _(spark, d):
+    return pairs.neighbourhoods(cut(_pair_rows(spark, d), "rows"), _asked())
+
+
+@_query("nearest_outside__O8", f"SELECT i, j, round(e, 6) AS e_cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY e DESC, j) AS rank FROM (SELECT a.row_id AS i, b.row_id AS j, round(list_dot_product(a.vec, b.vec), 9) AS e FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.text_id IS DISTINCT FROM b.text_id)) WHERE rank <= 5", "pr")
+def _(spark, d):
+    return pairs.neighbours_outside(cut(_pair_rows(spark, d), "rows"), _asked())
+
+
+@_query("neighbour_tally__A33")
+def _(spark, d):
+    n = pairs.neighbours_outside(cut(_pair_rows(spark, d), "rows"), _asked())
+    return n.join(corpus.paragraphs(spark, d, "contributor").select(F.col("row_id").alias("j"), "contributor"), "j").groupBy("contributor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "contributor").limit(8)
+
+
+# --- nulls --------------------------------------------------------------------------------------------------------
+
+_CTE["nlm"] = _placed_sql(" UNION ALL ".join(f"SELECT run || '/{c}' AS run, CASE WHEN kind = 'a' THEN 0 ELSE 1 END AS side, row_id FROM nls WHERE kind IN ('a', '{c[1]}')" for c in ("ab", "ad")), "null")
+_CTE["nls"] = f"SELECT run, row_id, CASE WHEN p <= 200 THEN 'a' WHEN p <= 300 THEN 'b' ELSE 'd' END AS kind FROM (SELECT run, row_id, row_number() OVER (PARTITION BY run ORDER BY md5('shuffle|' || run || '|' || row_id), row_id) AS p FROM gv, (SELECT unnest(range({RUNS})) AS run)) WHERE p <= 1300"
+_CTE["nld"] = _delta_sql(f"SELECT regexp_extract(p.run, '^(.*)/a.$', 1) AS run, round({_DOT}(a.vec, b.vec), 9) AS cos, p.run LIKE '%/ab' AS is_x FROM ({_cross_sql('SELECT * FROM nlm', 'null', _NL)}) p JOIN vec a ON a.row_id = i JOIN vec b ON b.row_id = j")
+
+
+@_query("label_null__R4", "SELECT run, n_x AS n_ab, n_y AS n_ad, delta FROM nld", "nld")
+def _(spark, d):
+    g, vec = _with_vectors(spark, d, _grouped(spark, d))
+    return probe.deltas(cut(resample.shuffled_labels(g, "row_id", 200, 100, 1000, RUNS, "shuffle"), "labels"), vec, "row_id", _NL, "null")
+
+
+@_query("null_verdict__R18", "SELECT count(delta) AS n_runs, round(avg(delta), 6) AS mean, round(stddev_pop(delta), 6) AS sd, round(quantile_cont(delta, 0.05), 6) AS low, round(quantile_cont(delta, 0.95), 6) AS high, CASE WHEN abs(round(avg(delta), 6)) < 0.05 THEN 'calibrated' WHEN abs(round(avg(delta), 6)) < 0.1 THEN 'drifting' ELSE 'biased' END AS verdict FROM nld", "nld")
+def _(spark, d):
+    return probe.null_summary(_Q["label_null__R4"](spark, d))
+
+
+def _kinds(base: DataFrame, a: DataFrame, b: DataFrame, runs: int) -> DataFrame:
+    """(run, kind, row_id): per run the rows of A and B, and as D the rest of (row_id, in_c) without C."""
+    run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
+    marks = a.select("run", "row_id", F.lit("a").alias("kind")).union(b.select("run", "row_id", F.lit("b").alias("kind")))
+    rest = base.filter("NOT in_c").select(run, "row_id").join(marks.select("run", "row_id"), ["run", "row_id"], "left_anti")
+    return marks.join(base.select("row_id"), "row_id", "left_semi").select("run", "kind", "row_id").union(rest.select("run", F.lit("d").alias("kind"), "row_id"))
+
+
+def _null(spark, d, random_a: bool, random_b: bool, nearest: int) -> DataFrame:
+    circle, centre = _most_cited(spark, d)
+    g, vec = _with_vectors(spark, d, _grouped(spark, d))
+    g = cut(g.select("row_id", "in_a", "in_b", "in_c"), "grouped")
+    run = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run")
+    a, b = g.filter("in_a").select(run, "row_id"), g.filter("in_b").select(run, "row_id")
+    if random_a:
+        tok = cut(_tokens(spark, d), "tokens")
+        n = postings.frequency(tok)
+        pool = postings.candidates(tok, table(spark, d, "function_words").select(F.col("word").alias("item")).distinct(), SEEDS).withColumnRenamed("n_rows", "n")
+        seeds = spark.createDataFrame([(s,) for s in SEEDS], "target string").join(n.withColumnRenamed("item", "target"), "target", "left").select("target", F.coalesce("n_rows", F.lit(0)).alias("n"))
+        a = resample.drawn_rows(resample.drawn(cut(resample.matched_pools(seeds, pool), "pools"), RUNS, "lexicon"), tok, "row_id")
+    if random_b:
+        post = cut(_people(spark, d).withColumnRenamed("person", "item"), "people")
+        n = postings.frequency(post).withColumnRenamed("n_rows", "n")
+        pool = n.filter((F.col("n") >= 5) & ~F.col("item").isin([*circle, centre or ""]))
+        targets = n.filter(F.col("item").isin(circle)).withColumnRenamed("item", "target")
+        b = resample.drawn_rows(resample.drawn(cut(resample.matched_pools(targets, pool, nearest=nearest), "pools"), RUNS, "authors"), post, "row_id")
+    return probe.deltas(cut(_kinds(g, a, b, RUNS), "kinds"), vec, "row_id", _NL, "matched")
+
+
+@_query("lexicon_null__R5_J10_O13")
+def _(spark, d):
+    return _null(spark, d, True, False, 50)
+
+
+@_query("author_null__R6_J10")
+def _(spark, d):
+    return _null(spark, d, False, True, 30)
+
+
+@_query("double_random__R7")
+def _(spark, d):
+    return _null(spark, d, True, True, 0)
+
+
+@_query("factor_table__A31")
+def _(spark, d):
+    """Means of the three nulls beside the probe: what each factor adds, and what only both together do."""
+    m = lambda *a: F.lit(_null(spark, d, *a).agg(F.avg("delta")).first()[0])
+    seen = _Q[FLAGSHIP](spark, d).select("delta")
+    both, lex, aut = m(True, True, 0), m(True, False, 50), m(False, True, 30)
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return seen.select("delta", r(lex, "random_lexicon"), r(aut, "random_authors"), r(both, "random_both"), r(lex + aut - both, "additive"), r(F.col("delta") - (lex + aut - both), "synergy"))
+
+
+@_query("set_null__R9")
+def _(spark, d):
+    """Mean cosine to the circle of random sets as large as the C group, against that of C."""
+    g, vec = _with_vectors(spark, d, _grouped(spark, d))
+    g = cut(g.select("row_id", "in_b", "in_c").join(vec, "row_id"), "grouped")
+    n = max(1, g.filter("in_c").count())
+    sets = sampling.order_of_runs(g.filter("NOT in_b"), RUNS, "sets", "row_id", n).join(g.select("row_id", "vec"), "row_id")
+    nulls = vectors.mean_cross_cosine(sets, g.filter("in_b"), by=["run"]).select("run", F.round("mean_cos", 6).alias("mean_cos"))
+    seen = vectors.mean_cross_cosine(g.filter("in_c").withColumn("run", F.lit(-1)), g.filter("in_b"), by=["run"]).select("run", F.round("mean_cos", 6).alias("mean_cos"))
+    return nulls.union(seen)
+
+
+_CTE["labelled"] = "SELECT p.row_id, p.text_id, p.ana_gold, v.vec FROM par p JOIN vec v USING (row_id) WHERE len(p.ana_gold) > 0"
+_GOLD = 400
+
+
+@_query("label_recovery__R8_J6_J12_T16", _delta_sql(f"SELECT 'seen' AS run, round({_DOT}(a.vec, b.vec), 4) AS cos, list_has_any(a.ana_gold, b.ana_gold) AS is_x FROM (SELECT * FROM labelled ORDER BY md5('gold|' || row_id), row_id LIMIT {_GOLD}) a JOIN (SELECT * FROM labelled ORDER BY md5('gold|' || row_id), row_id LIMIT {_GOLD}) b ON a.row_id < b.row_id"), "labelled")
+def _(spark, d):
+    p = _recovery_pairs(spark, d)[0]
+    return rankstats.two_samples(p.withColumn("run", F.lit("seen")), "cos", F.col("is_x"), ["run"]).select("run", "n_x", "n_y", F.round("delta", 6).alias("delta"))
+
+
+def _recovery_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a labelled sample with similarity and whether they share a label."""
+    g = corpus.paragraphs(spark, d, "ana_gold").filter(F.size("ana_gold") > 0).join(corpus.vectors(spark, d).select("row_id", "vec"), "row_id")
+    g = cut(sampling.choose(g, _GOLD, "gold", "row_id"), "gold")
+    p = evaluation.labelled_pairs(g, "row_id", "ana_gold").join(g.select(F.col("row_id").alias("a"), F.col("vec").alias("x")), "a").join(g.select(F.col("row_id").alias("b"), F.col("vec").alias("y")), "b")
+    return cut(p.select("a", "b", F.round(vectors.dot(F.col("x"), F.col("y")), 4).alias("cos"), F.arrays_overlap("la", "lb").alias("is_x")), "gold-pairs"), g
+
+
+@_query("permutation_null__R8")
+def _(spark, d):
+    p, g = _recovery_pairs(spark, d)
+    deal = resample.permuted(g, "row_id", "ana_gold", RUNS, "deal")
+    x, y = deal.select("run", F.col("row_id").alias("a"), F.col("ana_gold").alias("la")), deal.select("run", F.col("row_id").alias("b"), F.col("ana_gold").alias("lb"))
+    dealt = p.select("a", "b", "cos").join(x, "a").join(y, ["run", "b"]).withColumn("same", F.arrays_overlap("la", "lb"))
+    return rankstats.two_samples(dealt, "cos", F.col("same"), ["run"]).select("run", "n_x", "n_y", F.round(F.coalesce("delta", F.lit(0.0)), 6).alias("delta"))
+
+
+@_query("sample_corpus__R10_R3", "SELECT row_id FROM grp WHERE NOT in_d UNION ALL (SELECT row_id FROM grp WHERE in_d ORDER BY md5('fill|' || row_id), row_id LIMIT greatest(0, 2000 - (SELECT count(*) FROM grp WHERE NOT in_d)))" if False else "SELECT row_id FROM (SELECT row_id, in_d, row_number() OVER (PARTITION BY in_d ORDER BY md5('fill|' || row_id), row_id) AS k, count_if(NOT in_d) OVER () AS kept FROM grp) WHERE NOT in_d OR k <= 2000 - kept", "grp")
+def _(spark, d):
+    g = cut(_grouped(spark, d).select("row_id", "in_d"), "grouped")
+    return sampling.keep_and_fill(g, ~F.col("in_d"), 2000, "fill", "row_id").select("row_id")
+
+
+# --- clusters and figures -----------------------------------------------------------------------------------------
+
+
+@_query("kmeans__M1")
+def _(spark, d):
+    return cluster.kmeans(cut(corpus.vectors(spark, d).select("vec_id", "vec"), "vectors"), "vec_id")
+
+
+@_query("principal_components__M2")
+def _(spark, d):
+    p = cluster.principal(cut(corpus.vectors(spark, d).select("vec_id", "vec"), "vectors"), "vec_id")
+    return p.select("vec_id", F.round(F.abs(F.col("pc")[0]), 6).alias("pc1"), F.round(F.abs(F.col("pc")[1]), 6).alias("pc2"))
+
+
+def _nearest(spark, d) -> DataFrame:
+    v = cut(corpus.vectors(spark, d), "vectors")
+    first = v.orderBy("vec_id").limit(16).select((F.row_number().over(ranking.W.orderBy("vec_id")) - 1).alias("cluster_id"), F.col("vec").alias("centre"))
+    return cluster.nearest(v, first, "row_id")
+
+
+_CTE["near"] = "SELECT row_id, first(cluster_id ORDER BY dd, cluster_id) AS cluster_id, min(dd) AS distance FROM (SELECT v.row_id, c.cluster_id, round(list_sum(list_transform(list_zip(v.vec, c.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS dd FROM vec v, (SELECT vec, row_number() OVER (ORDER BY vec_id) - 1 AS cluster_id FROM vec ORDER BY vec_id LIMIT 16) c) GROUP BY row_id"
+
+
+@_query("nearest_centroid__M1", "SELECT row_id, cluster_id, round(distance, 6) AS distance FROM near", "near")
+def _(spark, d):
+    return _nearest(spark, d).select("row_id", "cluster_id", F.round("distance", 6).alias("distance"))
+
+
+_CTE["ncell"] = "SELECT cluster_id, item, a, round(ln((a + 0.5) * (n - size - n_item + a + 0.5) / ((size - a + 0.5) * (n_item - a + 0.5))), 9) AS odds FROM (SELECT cluster_id, item, count(*) AS a FROM near JOIN lp USING (row_id) GROUP BY ALL) JOIN (SELECT item, count(*) AS n_item FROM lp GROUP BY ALL) USING (item) JOIN (SELECT cluster_id, count(*) AS size FROM near GROUP BY ALL) USING (cluster_id), tot"
+_CTE["ngold"] = "SELECT cluster_id, row_id, unnest(ana_gold) AS label FROM near JOIN rec USING (row_id)"
+_LIST = lambda cond, order: f"(SELECT cluster_id, string_agg(item, '; ' ORDER BY r) AS l FROM (SELECT cluster_id, item, row_number() OVER (PARTITION BY cluster_id ORDER BY {order}, item) AS r FROM ncell WHERE {cond}) WHERE r <= 10 GROUP BY ALL)"
+
+
+@_query("cluster_labels__A28", f"SELECT s.cluster_id, size, coalesce(t.l, '') AS top_lemmas, coalesce(o.l, '') AS distinctive_lemmas, coalesce(n_gold, 0) AS n_gold, coalesce(gl, '') AS gold_labels FROM (SELECT cluster_id, count(*) AS size FROM near GROUP BY ALL) s LEFT JOIN {_LIST('true', 'a DESC')} t USING (cluster_id) LEFT JOIN {_LIST('a >= 3', 'odds DESC')} o USING (cluster_id) LEFT JOIN (SELECT cluster_id, count(DISTINCT row_id) AS n_gold FROM ngold GROUP BY ALL) USING (cluster_id) LEFT JOIN (SELECT cluster_id, string_agg(label || '(' || m || ')', '; ' ORDER BY m DESC, label) AS gl FROM (SELECT cluster_id, label, count(*) AS m FROM ngold GROUP BY ALL) GROUP BY ALL) USING (cluster_id)", "near", "ncell", "ngold")
+def _(spark, d):
+    member = cut(_nearest(spark, d).select("row_id", "cluster_id"), "member")
+    gold = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold").select("row_id", F.explode("ana_gold").alias("label"))
+    return cluster.described(member, _lemmas(spark, d), gold, "row_id", _total(spark, d))
+
+
+_CTE["imap"] = _map_sql("issue", "isf")
+
+
+@_query("issue_heatmap__X1_X6", "SELECT item, " + ", ".join(f"round(avg(log_odds) FILTER (issue = '{g}'), 6) AS \"{g}\"" for g in ISSUES) + " FROM imap GROUP BY item", "lp", "lf", "isf", "tot", "imap")
+def _(spark, d):
+    return figures.heatmap(_Q["concept_issue_map__A7"](spark, d), "item", "issue", "log_odds", ISSUES)
+
+
+@_query("leading_cells__X2_X4_O9", "SELECT item, issue, log_odds, (SELECT max(abs(log_odds)) FROM imap) AS \"limit\" FROM imap WHERE log_odds > 0 ORDER BY log_odds DESC, item, issue LIMIT 30", "lp", "lf", "isf", "tot", "imap")
+def _(spark, d):
+    m = cut(_Q["concept_issue_map__A7"](spark, d), "map")
+    return figures.leading(m, 30, F.col("log_odds") > 0, F.col("log_odds").desc(), F.col("item"), F.col("issue")).join(figures.colour_limit(m, "log_odds")).select("item", "issue", "log_odds", "limit")
+
+
+@_query("trajectories__X3", None)
+def _(spark, d):
+    return figures.trajectories(cut(_trends(spark, d), "trends"), 8, "item", ISSUES)
+
+
+@_query("bucket_bars__X5", "SELECT bucket, count(DISTINCT person) AS n_figures FROM prof WHERE dim = 'region' GROUP BY ALL", "prof")
+def _(spark, d):
+    return _Q["profile__A23_O12"](spark, d).filter("dim = 'region'").select("bucket", "n_figures")
+
+
+@_query("cosine_histogram__X10", "SELECT least(floor((e_cos + 1) / (2.0 / 120)) + 1, 120)::INT AS bin, count(*) AS n FROM el GROUP BY ALL", "el")
+def _(spark, d):
+    return figures.histogram(pairs.all_pairs(cut(_pair_rows(spark, d), "rows"), _asked()), "e_cos", -1.0, 1.0, 120)
+
+
+@_query("event_windows__streaming", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    return counts.tumbling(table(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
