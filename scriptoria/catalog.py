@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
-from scriptoria.functions.stats import log_odds
 from scriptoria.operators import assoc, cluster, evaluation, figures, groups, inference, pairs, people, postings, probe, ranking, rankstats, resample, sampling, segment, vectors
 from scriptoria.plans.lineage import cut
 from scriptoria.sources import corpus, files
@@ -89,8 +88,8 @@ _CTE = {
         SELECT *, sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS norm FROM (SELECT row_id, item, n_rows, uses * (ln((1.0 + n) / (1 + n_rows)) + 1) AS w FROM bag JOIN (SELECT item, count(*) AS n_rows FROM bag GROUP BY ALL) USING (item), tot)) GROUP BY item""",
     "tfr": "SELECT item, n_rows, score, row_number() OVER (ORDER BY score DESC, item) AS rank FROM tfs",
     "pr": "SELECT p.row_id, p.text_id, v.vec, list_distinct(l.lemmas) AS lemmas, list_distinct(p.persons) AS persons FROM par p JOIN lay l USING (row_id) JOIN (SELECT row_id, vec FROM vec) v USING (row_id)",
-    "el": f"""SELECT i, j, round({_DOT}(x, y), 9) AS e_cos, both / nullif(ni + nj - both, 0) AS c_jaccard, both AS shared_lemmas, h AS h_shared FROM (
-        SELECT a.row_id AS i, b.row_id AS j, a.vec AS x, b.vec AS y, len(a.lemmas) AS ni, len(b.lemmas) AS nj, len(list_intersect(a.lemmas, b.lemmas)) AS both, len(list_intersect(a.persons, b.persons)) AS h
+    "el": f"""SELECT i, j, round({_DOT}(x, y), 9) AS e_cos, nb / nullif(ni + nj - nb, 0) AS c_jaccard, nb AS shared_lemmas, h AS h_shared FROM (
+        SELECT a.row_id AS i, b.row_id AS j, a.vec AS x, b.vec AS y, len(a.lemmas) AS ni, len(b.lemmas) AS nj, len(list_intersect(a.lemmas, b.lemmas)) AS nb, len(list_intersect(a.persons, b.persons)) AS h
         FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.row_id <> b.row_id AND a.text_id IS DISTINCT FROM b.text_id AND abs(a.row_id - b.row_id) > 1 AND len(a.lemmas) > 0 AND len(b.lemmas) > 0
         AND NOT (b.row_id % 100 = 0 AND b.row_id < a.row_id))""",
 }
@@ -135,9 +134,6 @@ def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
     return p.join(corpus.vectors(spark, d).select("row_id", "vec"), "row_id")
 
 
-_ASKED = F.col  # set below, a condition on row_id
-
-
 def _asked():
     """The stated query set: rows whose id is divisible by 100, against all rows."""
     return F.col("row_id") % 100 == 0
@@ -247,7 +243,7 @@ def _inventory(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in got.groupBy("label").count().orderBy(F.desc("count"), "label").limit(10).collect()]
 
 
-@_query("valid_labels__P25_S3", "SELECT row_id, array_to_string(list_filter(ana_gold, lambda x: x IN (SELECT label FROM inv)), ';') AS labels FROM rec WHERE len(ana_gold) > 0" if False else "SELECT row_id, string_agg(label, ';' ORDER BY pos) AS labels FROM (SELECT row_id, unnest(ana_gold) AS label, generate_subscripts(ana_gold, 1) AS pos FROM rec) SEMI JOIN inv USING (label) GROUP BY row_id", "rec", "inv")
+@_query("valid_labels__P25_S3", "SELECT row_id, string_agg(label, ';' ORDER BY pos) AS labels FROM (SELECT row_id, unnest(ana_gold) AS label, generate_subscripts(ana_gold, 1) AS pos FROM rec) SEMI JOIN inv USING (label) GROUP BY row_id", "rec", "inv")
 def _(spark, d):
     known = F.array(*map(F.lit, _inventory(spark, d))).cast("array<string>")
     p = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold")
@@ -305,9 +301,6 @@ def _(spark, d):
     return postings.frequent(_lemmas(spark, d), 10)[0]
 
 
-_CELL = "SELECT item, grp AS {g}, count(*) AS a, max(n_group) AS n_group, max(n_item) AS n_item FROM (lp SEMI JOIN lf USING (item)) JOIN lf USING (item) JOIN {post} USING (row_id) GROUP BY ALL HAVING count(*) >= 3"
-
-
 def _map_sql(group: str, post: str) -> str:
     return rf"""SELECT item, {group}, a, n_group, n_item, log_odds, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM (
       SELECT *, least(1, min(p * m / rk) OVER (ORDER BY rk DESC)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM (
@@ -445,7 +438,7 @@ def _(spark, d):
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
-_CTE["ev"] = "SELECT r.row_id, list_distinct(r.ana_gold) AS g, list_distinct(list_filter(list_transform(l.lemmas, lambda x: 'ana_' || x), lambda x: list_contains((SELECT list(label) FROM labs), x))) AS p, len(l.lemmas) AS n_open FROM rec r JOIN lay l USING (row_id) WHERE len(r.ana_gold) > 0"
+_CTE["ev"] = "SELECT r.row_id, list_distinct(r.ana_gold) AS g, list_intersect(list_distinct(list_transform(l.lemmas, lambda x: 'ana_' || x)), (SELECT list(label) FROM labs)) AS p, len(l.lemmas) AS n_open FROM rec r JOIN lay l USING (row_id) WHERE len(r.ana_gold) > 0"
 _CTE["labs"] = "SELECT DISTINCT unnest(ana_gold) AS label FROM rec"
 
 
@@ -483,9 +476,9 @@ def _(spark, d):
 # --- vectors and the probe ----------------------------------------------------------------------------------------
 
 
-@_query("mean_cosines__A9_J7_M7", "SELECT contributor, a.n AS n_a, b.n AS n_b, round(list_dot_product(a.s, b.s) / (a.n * b.n), 6) AS mean_cos FROM (SELECT contributor, count(*) AS n, list(s ORDER BY dim) FILTER (true) AS s0, count(*) AS n0 FROM (SELECT 1 AS dim, 0 AS s, '' AS contributor) GROUP BY contributor) z, (SELECT 1 AS n, [1.0] AS s) a, (SELECT 1 AS n, [1.0] AS s) b WHERE false" if False else """SELECT contributor, n_a, n_b, round(sum(s * t) / (n_a * n_b), 6) AS mean_cos FROM
+@_query("mean_cosines__A9_J7_M7", """SELECT contributor, n_a, n_b, round(sum(s * t) / (n_a * n_b), 6) AS mean_cos FROM
     (SELECT contributor, dim, sum(x) AS s, count(*) AS n_a FROM (SELECT contributor, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv JOIN par USING (row_id)) GROUP BY ALL)
-    JOIN (SELECT dim, sum(x) AS t, count(*) AS n_b FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv WHERE in_b) GROUP BY ALL) USING (dim) GROUP BY ALL""", "gv", "par")
+    JOIN (SELECT dim, sum(x) AS t, count(*) AS n_b FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv WHERE in_b) GROUP BY ALL) USING (dim) GROUP BY contributor, n_a, n_b""", "gv", "par")
 def _(spark, d):
     g, vec = _with_vectors(spark, d, _grouped(spark, d, "contributor"))
     g = cut(g.select("row_id", "contributor", "in_b").join(vec, "row_id"), "grouped")
@@ -511,7 +504,7 @@ def _cross_sql(members: str, seed: str, n: int = N) -> str:
     """Pairs (run, i, j) of (run, side, row_id), as `sampling.cross_pairs` draws them."""
     return f"""SELECT p.run, l.row_id AS i, r.row_id AS j FROM (
       SELECT run, CASE WHEN l * r <= {n} THEN k // r ELSE k % l END AS x, CASE WHEN l * r <= {n} THEN k % r ELSE ('0x' || substr(md5('{seed}|' || run || '|' || k), 1, 8))::BIGINT % r END AS y FROM (
-        SELECT run, l, r, unnest(range(least(l * r, {n}))) AS k FROM (SELECT run, count_if(side = 0 AND place <= {n}) AS l, count_if(side = 1 AND place <= {n}) AS r FROM ({members}) GROUP BY run) WHERE l > 0 AND r > 0)) p
+        SELECT run, l, r, unnest(range(least(l * r, {n})::BIGINT)) AS k FROM (SELECT run, count_if(side = 0 AND place <= {n}) AS l, count_if(side = 1 AND place <= {n}) AS r FROM ({members}) GROUP BY run) WHERE l > 0 AND r > 0)) p
       JOIN ({members}) l ON l.run = p.run AND l.side = 0 AND l.place = x + 1 JOIN ({members}) r ON r.run = p.run AND r.side = 1 AND r.place = y + 1 WHERE l.row_id <> r.row_id"""
 
 
@@ -795,7 +788,7 @@ def _(spark, d):
     return rankstats.two_samples(dealt, "cos", F.col("same"), ["run"]).select("run", "n_x", "n_y", F.round(F.coalesce("delta", F.lit(0.0)), 6).alias("delta"))
 
 
-@_query("sample_corpus__R10_R3", "SELECT row_id FROM grp WHERE NOT in_d UNION ALL (SELECT row_id FROM grp WHERE in_d ORDER BY md5('fill|' || row_id), row_id LIMIT greatest(0, 2000 - (SELECT count(*) FROM grp WHERE NOT in_d)))" if False else "SELECT row_id FROM (SELECT row_id, in_d, row_number() OVER (PARTITION BY in_d ORDER BY md5('fill|' || row_id), row_id) AS k, count_if(NOT in_d) OVER () AS kept FROM grp) WHERE NOT in_d OR k <= 2000 - kept", "grp")
+@_query("sample_corpus__R10_R3", "SELECT row_id FROM (SELECT row_id, in_d, row_number() OVER (PARTITION BY in_d ORDER BY md5('fill|' || row_id), row_id) AS k, count_if(NOT in_d) OVER () AS kept FROM grp) WHERE NOT in_d OR k <= 2000 - kept", "grp")
 def _(spark, d):
     g = cut(_grouped(spark, d).select("row_id", "in_d"), "grouped")
     return sampling.keep_and_fill(g, ~F.col("in_d"), 2000, "fill", "row_id").select("row_id")

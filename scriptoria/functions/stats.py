@@ -10,13 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_SMALL = np.array([math.lgamma(k + 1) for k in range(256)])
+
+
 def log_factorial(n: np.ndarray) -> np.ndarray:
     """ln n!, exact for small n, by Stirling's series beyond."""
     n = np.asarray(n, np.float64)
-    small = np.array([math.lgamma(k + 1) for k in range(256)])
     x = np.maximum(n, 1.0)
     series = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    return np.where(n < 256, small[np.minimum(n, 255).astype(np.int64)], series)
+    return np.where(n < 256, _SMALL[np.minimum(n, 255).astype(np.int64)], series)
 
 
 def fisher(a: int, b: int, c: int, d: int) -> float:

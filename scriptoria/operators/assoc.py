@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptoria.functions.ranks import false_discovery
 from scriptoria.functions.stats import fisher_p, log_odds, normal_p
 from scriptoria.operators.postings import frequency
+from scriptoria.plans.lineage import cut
 
 
 def cells(items: DataFrame, groups: DataFrame, key: str, n: int, item: str, group: str, least_item: int = 10, least_group: int = 0, support: int = 3) -> DataFrame:
@@ -29,7 +30,7 @@ def tested(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Cells with log_odds, p, q over all of them, and significant, which is decided before q is rounded."""
     four = [F.col(k) for k in "abcd"]
     df = df.withColumn("log_odds", F.round(log_odds(*four), 3)).withColumn("p", fisher_p(*four))
-    df = false_discovery(df).withColumn("significant", F.col("q") < alpha)
+    df = false_discovery(cut(df, "cells")).withColumn("significant", F.col("q") < alpha)
     return df.withColumns({"p": F.round("p", 6), "q": F.round("q", 6)}).drop("b", "c", "d")
 
 
@@ -62,7 +63,7 @@ def trends(items: DataFrame, rows: DataFrame, key: str, order: list[str], item:
     v = share * (1 - share) * F.lit(float(spread))
     z = F.when((held > 0) & (held < total) & (v > 0), u / F.sqrt(v)).otherwise(0.0)
     out = a.withColumn("z", z).withColumn("p", F.when(F.col("z") == 0, 1.0).otherwise(normal_p(F.col("z"))))
-    out = false_discovery(out)
+    out = false_discovery(cut(out, "trends"))
     shares = [F.round(F.col(f"a_{i}") / n[i - 1], 4).alias(f"share_{i}") if n[i - 1] else F.lit(0.0).alias(f"share_{i}") for i in range(1, len(order) + 1)]
     direction = F.when(F.col("z") > 0, "rising").when(F.col("z") < 0, "falling").otherwise("flat")
     return out.select(item, "n_item", *shares, direction.alias("direction"), F.round("z", 3).alias("z"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))

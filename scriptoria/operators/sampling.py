@@ -55,7 +55,7 @@ def cross_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run
 
 
 def within_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run", quota=None) -> DataFrame:
-    """(run, i, j), i < j: up to n different pairs within each run's members; all of them if there are few."""
+    """(run, i, j), i < j: different pairs within each run's members, all if there are at most n, else those of 2n draws."""
     both = members.select(run, key, F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     # all ordered pairs are twice the unordered ones
     return cross_pairs(both, key, 2 * n, seed, run, quota).select(run, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
