@@ -133,7 +133,7 @@ def scale(rows: DataFrame, is_query: Column, least_shared: int = 3) -> DataFrame
         }.items()})
 
     names = ["n", "s", "n1", "s1", "q1", "gt05", "gt06", "gt07", "n2", "s2", "q2", "lt025", "lt03"]
-    t = blocked(rows, is_query, sums, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names])
+    t = blocked(rows, is_query, sums, ", ".join(f"{c} double" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names])
     c = F.col
     mean = lambda s, n: F.try_divide(c(s), c(n))
     sd = lambda s, q, n: F.sqrt(F.greatest(F.try_divide(c(q), c(n)) - mean(s, n) * mean(s, n), F.lit(0.0)))
