@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementInclude
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,38 +19,38 @@ _TEI, _XML = "{http://www.tei-c.org/ns/1.0}", "{http://www.w3.org/XML/1998/names
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, content) of each XML file."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", True).load(path)
-    return raw.select("path", F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("name"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.select("path", F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("name"), F.decode("content", "UTF-8").alias("content"))
 
 
 class _Element(ET.Element):
     line = 0
 
 
+def _tree(content: str) -> ET.Element:
+    """The root, with every element's source line."""
+    builder, parser = ET.TreeBuilder(element_factory=_Element), expat.ParserCreate(None, "}")
+    name = lambda n: "{" + n if "}" in n else n
+
+    def start(tag: str, attributes: dict) -> None:
+        builder.start(name(tag), {name(k): v for k, v in attributes.items()}).line = parser.CurrentLineNumber
+
+    parser.StartElementHandler, parser.EndElementHandler = start, lambda tag: builder.end(name(tag))
+    parser.CharacterDataHandler = builder.data
+    parser.Parse(content, True)
+    return builder.close()
+
+
 class Document:
     """A parsed document with the parent axis that ElementTree lacks."""
 
     def __init__(self, content: str, base: str | None = None):
-        builder = ET.TreeBuilder(element_factory=_Element)
-        parser = ET.XMLParser(target=builder)
-        lines: list[int] = []
-        expat = parser.parser
-        start = expat.StartElementHandler
-
-        def opened(*a):
-            lines.append(expat.CurrentLineNumber)
-            return start(*a)
-
-        expat.StartElementHandler = opened
-        parser.feed(content)
-        self.root = parser.close()
-        for e, line in zip(self.root.iter(), lines):
-            e.line = line
+        self.root = _tree(content)
         if base:
             folder = os.path.dirname(base.removeprefix("file:"))
 
             def load(href: str, parse: str, encoding: str | None = None):
                 with open(os.path.join(folder, href), encoding=encoding or "utf-8") as f:
-                    return ET.fromstring(f.read()) if parse == "xml" else f.read()
+                    return _tree(f.read()) if parse == "xml" else f.read()
 
             ElementInclude.include(self.root, loader=load)
         self.parent = {c: p for p in self.root.iter() for c in p}
