@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,10 +24,20 @@ def kmeans(df: DataFrame, key: str, k: int = 16, seed: int = 0, rounds: int = 20
 
 
 def nearest(df: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
-    """(key, cluster_id, distance): the nearest of a few given centroids (cluster_id, centre), ties to the smaller id."""
-    d = F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    scored = df.select(key, "vec").join(F.broadcast(centroids), F.size("vec") == F.size("centre")).select(key, F.struct(F.round(d, 9).alias("distance"), "cluster_id").alias("s"))
-    return scored.groupBy(key).agg(F.min("s").alias("s")).select(key, "s.cluster_id", "s.distance")
+    """(key, cluster_id, distance): the nearest of a few given centroids (cluster_id, centre) by squared distance, ties to the smaller id."""
+    given = sorted((r["cluster_id"], r["centre"]) for r in centroids.select("cluster_id", "centre").collect())  # as many as there are clusters
+    kinds = dict(df.dtypes) | dict(centroids.dtypes)
+    names, c = np.array([n for n, _ in given], np.int64 if kinds["cluster_id"] == "bigint" else np.int32), np.array([v for _, v in given], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                d = np.round((m * m).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (m @ c.T), 9)
+                at = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[at]), pa.array(d[np.arange(len(m)), at])], [key, "cluster_id", "distance"])
+
+    return df.select(key, "vec").mapInArrow(run, f"{key} {kinds[key]}, cluster_id {kinds['cluster_id']}, distance double")
 
 
 def principal(df: DataFrame, key: str, k: int = 2) -> DataFrame:

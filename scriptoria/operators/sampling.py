@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptoria.functions.text import keyed, keyed_int
+from scriptoria.plans.lineage import cut
 
 
 def choose(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
@@ -40,6 +41,7 @@ def cross_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run
     """
     w = W.partitionBy(run, "side").orderBy(keyed(seed, F.col(run), F.col("side"), F.col(key)), key)
     placed = members.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).withColumn("place", F.col("place") - 1)
+    placed = cut(placed, "places")  # at most n rows of each side, read three times
     size = placed.groupBy(run).agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r")).filter("l > 0 AND r > 0")
     k = F.col("k")
     own = F.least(quota(F.col("l"), F.col("r")).cast("long"), F.lit(n)) if quota else F.lit(n)

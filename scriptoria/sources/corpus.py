@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions import folding, text
+from scriptoria.operators.vectors import unit
 from scriptoria.sources.tables import table
 
 #: Shorter texts are left out of the corpus.
@@ -40,9 +41,5 @@ def lemmas(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """(vec_id, row_id, vec): usable vectors, scaled to length 1 in double precision."""
-    e = F.col("embeddings")
-    x = F.transform(e, lambda v: v.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    df = table(spark, d, "para_vectors", "vec_id", "row_id", "embeddings").filter(F.size(e) == WIDTH)
-    df = df.filter(~F.exists(e, lambda v: v.isNull() | F.isnan(v))).withColumn("norm", norm).filter("norm > 0")
-    return df.select("vec_id", "row_id", F.transform(e, lambda v: v.cast("double") / F.col("norm")).alias("vec"))
+    df = table(spark, d, "para_vectors", "vec_id", "row_id", "embeddings").filter(F.size("embeddings") == WIDTH)
+    return df.select("vec_id", "row_id", unit(F.col("embeddings"), WIDTH).alias("vec")).filter("vec IS NOT NULL")

@@ -50,7 +50,7 @@ def settings(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 def stop_words(spark: SparkSession, path: str) -> DataFrame:
     """(word): the lower-case alphabetic words of a list; blank lines and # comments are skipped."""
     line = spark.read.text(path).filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
-    word = line.select(F.lower(F.explode(F.split(F.trim("value"), r"\s+"))).alias("word"))
+    word = line.select(F.explode(F.split(F.lower(F.trim("value")), r"\s+")).alias("word"))
     return word.filter(F.col("word").rlike(r"^\p{L}+$")).distinct()
 
 
