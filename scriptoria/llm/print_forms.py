@@ -1,7 +1,7 @@
 """Visually identical text with different characters (problem 7).
 
 Texts of an Arrow batch are one array of code points. Lookup tables map a code point to what a reader sees:
-its compatibility decomposition, look-alike letters of other scripts as Latin ones, every blank as a space,
+its compatibility decomposition (not of raised, circled or fraction signs, which look unlike their parts), look-alike letters of other scripts as Latin ones, every blank as a space,
 and nothing for characters without width. Gathers and expansion offsets apply the tables; marks are put in
 canonical order, blanks collapse, and base and mark compose again by a pair table, all without a call per
 text. Case, accents, letters, digits and punctuation stay as they are.
@@ -29,6 +29,9 @@ LOOK_ALIKE = {
     "ο": "o", "ν": "v", "ϳ": "j", "Ϳ": "J", "ϲ": "c", "Ϲ": "C",
     "‐": "-", "‑": "-",
 }
+# Kinds of compatibility decomposition whose sign looks unlike its parts, and single signs that do.
+UNLIKE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>")
+UNLIKE_SIGNS = "ſ℀℁℅℆№℡℻"
 _N = 0x110000
 
 
@@ -53,7 +56,8 @@ def _tables() -> dict[str, np.ndarray]:
             own[c] = []
             continue
         # a sign that decomposes into a blank and a mark is a sign of its own
-        full = unicodedata.normalize("NFKD", ch)
+        unlike = unicodedata.decomposition(ch).startswith(UNLIKE) or ch in UNLIKE_SIGNS
+        full = unicodedata.normalize("NFD" if unlike else "NFKD", ch)
         if full[0] == " " and len(full) > 1:
             full = ch
         got = [look.get(ord(x), ord(x)) for x in full]
