@@ -12,7 +12,7 @@ SAME = [
     ("La niña", unicodedata.normalize("NFD", "La niña")), ("fin del día", "ﬁn  del día"), ("Año 1987!", "Ａño １９８７！"), ("cero", "c​erо"), ("Ⅷ tomo", "VIII tomo"),
     ("no­ta", "nota"), ("ẹ́x", "ẹ́x"), ("a b\tc", "a　b c"), (" borde ", "borde"), ("한국어", unicodedata.normalize("NFD", "한국어")), ("РОСА", "POCA"), ("a\r\nz", "a z"),
 ]
-DIFFERENT = [("nina", "niña"), ("Nota", "nota"), ("uno, dos", "uno dos"), ("a b", "ab"), ("1987", "1988"), ("él", "el"), ("papá", "papà"), ("«a»", '"a"'), ("字", "宇")]
+DIFFERENT = [("nina", "niña"), ("Nota", "nota"), ("uno, dos", "uno dos"), ("a b", "ab"), ("1987", "1988"), ("él", "el"), ("papá", "papà"), ("«a»", '"a"'), ("字", "宇"), ("1º", "1o"), ("x²", "x2"), ("½", "1/2"), ("①", "1"), ("№", "No")]
 
 
 def form(x):
