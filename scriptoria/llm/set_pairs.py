@@ -5,7 +5,7 @@
    0.70 the 40 bands of 4 miss a pair with a probability of 2e-5, at 0.75 of 2e-7.
 3. Band rows meet by bucket key and are sorted, so a task streams its buckets whatever their size. A bucket of up
    to `CAP` classes gives its candidate pairs, less those whose sketches (56 bits, carried along) prove that they
-   share too little. A larger one gives none: its members go on in chunks of `CAP`, and
+   share too little. A larger one gives none: its members go on in chunks of `CHUNK`, and
    each pair of chunks is verified as one sparse product in a task of its own (`tiles`), so a bucket that holds a
    third of all classes is spread over the cluster and only true pairs are ever written.
 4. Candidates are made distinct and verified on the sets themselves.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from scriptoria.llm import records
 from scriptoria.plans.lineage import cut
 
-#: Classes of a bucket that are paired at once.
-CAP = 256
+#: Classes of a bucket that are paired at once; members of a chunk of a larger bucket.
+CAP, CHUNK = 256, 4096
 BANDS, ROWS = 40, 4
 
 
@@ -83,7 +83,7 @@ def _band_batches(bands: int, rows: int):
     return run
 
 
-def _bucket_batches(cap: int, threshold: float):
+def _bucket_batches(cap: int, chunk: int, threshold: float):
     """Sorted (bucket, id, sketch) to pairs (a, b, null, null), or chunk members (id, null, bucket, chunk) of a bucket above the cap."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("chunk", pa.int64())])
 
@@ -96,7 +96,7 @@ def _bucket_batches(cap: int, threshold: float):
     def members(bucket: int, held: np.ndarray, before: int) -> pa.RecordBatch:
         ids = held[:, 0]
         n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket)), pa.array((before + np.arange(n)) // cap)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket)), pa.array((before + np.arange(n)) // chunk)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, held, gone = None, np.zeros((0, 2), np.int64), 0  # the last bucket may go on in the next batch
@@ -125,9 +125,11 @@ def _bucket_batches(cap: int, threshold: float):
             if first < last:
                 inner, n = edge[first : last - 1], size[first : last - 1]
                 for k in np.unique(n[(n > 1) & (n <= cap)]):  # buckets of one size at once
-                    block = ids[inner[n == k][:, None] + np.arange(k)]
                     i, j = np.triu_indices(k, 1)
-                    yield pairs(block[:, i].reshape(-1, 2), block[:, j].reshape(-1, 2))
+                    at, step = inner[n == k], max(1, (1 << 20) // len(i))
+                    for x in range(0, len(at), step):
+                        block = ids[at[x : x + step, None] + np.arange(k)]
+                        yield pairs(block[:, i].reshape(-1, 2), block[:, j].reshape(-1, 2))
                 for e, k in zip(inner[n > cap], n[n > cap]):
                     yield members(key[e], ids[e : e + k], 0)
                 open_key, held, gone = key[edge[-1]], ids[edge[-1] :], 0
@@ -175,7 +177,7 @@ def _tile(threshold: dict[str, float]):
 
 
 def tiles(chunks: DataFrame, sets: DataFrame, threshold: dict[str, float]) -> DataFrame:
-    """True pairs within buckets given as (id, bucket, chunk): each pair of chunks is a task's group of at most 2 x CAP rows."""
+    """True pairs within buckets given as (id, bucket, chunk): each pair of chunks is a task's group of at most 2 x CHUNK rows."""
     count = chunks.groupBy("bucket").agg((F.max("chunk") + 1).alias("n"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     spread = chunks.join(count, "bucket").select("id", "bucket", "chunk", other)
@@ -189,13 +191,13 @@ def classes(df: DataFrame) -> DataFrame:
     return df.groupBy("field", "items").agg(F.min("row_id").alias("id"), F.count("*").alias("members"))
 
 
-def similar_sets(sets: DataFrame, threshold: dict[str, float], bands: int = BANDS, rows: int = ROWS, cap: int = CAP) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: dict[str, float], bands: int = BANDS, rows: int = ROWS, cap: int = CAP, chunk: int = CHUNK) -> DataFrame:
     """(field, a, b): pairs of classes at least as similar as their field's threshold, a < b.
 
     `sets` is (field, id, items): distinct non-empty sets of 64-bit hashes that differ between fields.
     """
     rowed = sets.select("id", "items").mapInArrow(_band_batches(bands, rows), "bucket long, id long, sketch long")
-    met = rowed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_batches(cap, min(threshold.values())), "a long, b long, bucket long, chunk long")
+    met = rowed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_batches(cap, chunk, min(threshold.values())), "a long, b long, bucket long, chunk long")
     met = cut(met, "candidates")
     found = met.filter("b IS NOT NULL").select("a", "b").distinct()
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"), "field")

@@ -6,6 +6,9 @@ float32) give such bounds for all pairs of two chunks. A pair survives if its up
 is not below the k-th best lower bound of the query in the tile, which cannot drop any of the k best. Survivors
 are computed again from the floats and merged to k per query.
 
+Where a tile holds so many near-equal vectors that bounds can't tell them apart, it gives on its own name instead of
+its survivors, and is done again from the floats: k candidates per query, however dense it is.
+
 With a floor, `vector_blocks` rules out pairs of blocks that can't reach it; without, all chunks meet.
 """
 
@@ -25,6 +28,8 @@ from scriptoria.llm.vector_clusters import PIECE, _sides, _vectors
 from scriptoria.plans.lineage import cut
 
 BLOCK, FAR_BLOCK = 8192, 32768
+#: Survivors per row and k from which a tile is dense.
+DENSE = 8
 
 
 def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +55,9 @@ def coded(at: DataFrame) -> DataFrame:
     return at.mapInArrow(_code_batches, f"{rest}, code binary, step float, off float")
 
 
-def _survivors(k: int, floor: float | None):
+def _survivors(k: int, floor: float | None, dense: float):
+    empty = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int32()), ("i", pa.int32()), ("j", pa.int32())])
+
     def run(t: pa.Table) -> pa.Table:
         left, right, same = _sides(t)
         q = vector_blocks.unpacked(t.column("code"), "i1").astype(np.float32)
@@ -82,7 +89,7 @@ def _survivors(k: int, floor: float | None):
             both = np.concatenate([best[p[mine]], np.partition(lower, lower.shape[1] - n, axis=1)[:, lower.shape[1] - n :]], axis=1)
             best[p[mine]] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
             kth[p[mine]] = best[p[mine]].min(1)
-            x, y = np.nonzero(up[mine] >= kth[p[mine]][:, None])
+            x, y = np.nonzero(up[mine] >= np.maximum(kth[p[mine]], -1.5)[:, None])  # -2 marks a row with itself
             out.append((p[mine[x]], r[y], up[mine[x], y]))
 
         for x in range(0, len(left), PIECE):
@@ -99,12 +106,46 @@ def _survivors(k: int, floor: float | None):
                 ask(p, r, s, e, same and x == y)
                 if not same or x != y:
                     ask(r, p, s.T, e.T, False)
+                if sum(len(z[0]) for z in out) > dense * k * len(ids):  # later bounds may have made earlier ones void
+                    a, b, up = (np.concatenate(z) for z in zip(*out))
+                    keep = up >= kth[a]
+                    out[:] = [(a[keep], b[keep], up[keep])]
+                    if keep.sum() > dense * k * len(ids):
+                        return pa.table([[None], [None], *([t.column(c)[0].as_py()] for c in ("cell", "i", "j"))], schema=empty)
         a, b, up = (np.concatenate(z) if out else np.zeros(0, np.int64) for z in (zip(*out) if out else ((), (), ())))
         keep = up >= kth[a] if len(a) else np.zeros(0, bool)
-        if floor is not None and len(a):  # each pair once, for both
-            a, b = a[keep], b[keep]
-            return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
-        return pa.table({"a": pa.array(ids[a[keep]] if len(a) else np.zeros(0, np.int64)), "b": pa.array(ids[b[keep]] if len(a) else np.zeros(0, np.int64))})
+        a, b = (ids[x[keep]] if len(x) else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table([a, b, *(pa.nulls(len(a), pa.int32()) for _ in range(3))], schema=empty)
+
+    return run
+
+
+def _closest(k: int, floor: float | None):
+    """Of a tile of float vectors, the k best partners of each asking row, ties to the smaller id."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        left, right, same = _sides(t)
+        m, ids = vector_blocks.unit(vector_blocks.unpacked(t.column("vec"))), t.column("id").to_numpy()
+        asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool) if "asks" in t.column_names else np.ones(len(ids), bool)
+        out_a, out_b = [], []
+        for mine, others in ((left, right),) if same else ((left, right), (right, left)):
+            mine = mine[asks[mine]]
+            for x in range(0, len(mine), PIECE):
+                p = mine[x : x + PIECE]
+                best, who = np.full((len(p), k), -2.0), np.full((len(p), k), -1)
+                for y in range(0, len(others), PIECE):
+                    q = others[y : y + PIECE]
+                    s = np.round(m[p] @ m[q].T, 12)
+                    s[p[:, None] == q[None, :]] = -2
+                    s, at = np.hstack([best, s]), np.hstack([who, np.broadcast_to(q, s.shape)])
+                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # earlier columns have smaller ids
+                    best, who = np.take_along_axis(s, order, 1), np.take_along_axis(at, order, 1)
+                good = (best > -2) if floor is None else best >= floor - 1e-9
+                out_a.append(ids[p[np.nonzero(good)[0]]])
+                out_b.append(ids[who[good]])
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -113,7 +154,7 @@ def _exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         if b.num_rows:
             p, q = (vector_blocks.unit(vector_blocks.unpacked(b.column(c))) for c in ("x", "y"))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array((p * q).sum(1))], ["a", "b", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(np.round((p * q).sum(1), 12))], ["a", "b", "s"])
 
 
 def neighbours(df: DataFrame, key: str, values: str, k: int, floor: float | None = None, width: int = 64, asks=None) -> DataFrame:
@@ -130,11 +171,16 @@ def neighbours(df: DataFrame, key: str, values: str, k: int, floor: float | None
     else:
         at = raw.select("id", "vec", F.lit(vector_blocks.OUTLIERS).alias("home"), F.array().cast("array<int>").alias("visits"))
     at = cut(at, "placed")
-    code = coded(at if asks is None else at.withColumn("asks", asks))
-    tiles = vector_blocks.tiled(code, BLOCK, FAR_BLOCK)
-    pairs = tiles.groupBy("cell", "i", "j").applyInArrow(_survivors(k, floor), "a long, b long")
+    if asks is not None:
+        at = at.withColumn("asks", asks)
+    tiles = vector_blocks.tiled(coded(at), BLOCK, FAR_BLOCK)
+    got = tiles.groupBy("cell", "i", "j").applyInArrow(_survivors(k, floor, DENSE), "a long, b long, cell int, i int, j int")
     # a query's neighbours come from many tiles: each pair once
-    pairs = cut(pairs.distinct(), "survivors")
+    got = cut(got.distinct(), "survivors")
+    pairs, dense = got.filter("b IS NOT NULL").select("a", "b"), got.filter("b IS NULL").select("cell", "i", "j")
+    if not dense.isEmpty():
+        again = vector_blocks.tiled(at, BLOCK, FAR_BLOCK).join(dense, ["cell", "i", "j"], "left_semi")
+        pairs = pairs.union(again.groupBy("cell", "i", "j").applyInArrow(_closest(k, floor), "a long, b long")).distinct()
     vec = raw.select("id", "vec")
     full = pairs.join(vec.toDF("a", "x"), "a").join(vec.toDF("b", "y"), "b").select("a", "b", "x", "y")
     exact = full.mapInArrow(_exact_batches, "a long, b long, s double")
