@@ -50,7 +50,7 @@ def similar(data):
 
 @pytest.mark.parametrize("cap", [256, 2])
 def test_set_pairs(spark, monkeypatch, cap):
-    monkeypatch.setattr(set_pairs.similar_sets, "__defaults__", (set_pairs.BANDS, set_pairs.ROWS, cap))
+    monkeypatch.setattr(set_pairs.similar_sets, "__defaults__", (set_pairs.BANDS, set_pairs.ROWS, cap, 5 if cap == 2 else set_pairs.CHUNK))
     data = baskets(1)
     got = [tuple(r) for r in set_pairs.expanded(*set_pairs.similar_records(frame(spark, widened(data)), TH, LEAST)).collect()]
     assert len(got) == len(set(got)) and set(got) == similar(data) and len(got) > 100

@@ -71,7 +71,8 @@ def test_density_counts_links(spark):
 
 
 def best(vs, k, floor=-2):
-    s = np.round(unit(vs) @ unit(vs).T, 12)
+    u = unit(vs)
+    s = np.round((u[:, None, :] * u[None, :, :]).sum(2), 12)
     np.fill_diagonal(s, -3)
     return {100 + 7 * i: {100 + 7 * int(j) for j in np.argsort(-s[i], kind="stable")[:k] if s[i, j] >= floor} for i in range(len(vs))}
 
@@ -98,6 +99,23 @@ def test_ties_and_few(spark):
     assert vector_neighbours.neighbours(frame(spark, [v] * 2), "vec_id", "e", 3).count() == 2
 
 
+@pytest.mark.parametrize("floor", [None, 0.98])
+@pytest.mark.parametrize("block", [65536, 40])
+def test_dense_tiles(spark, monkeypatch, block, floor):
+    """A third of all vectors are nearly or wholly equal: bounds can't tell them apart."""
+    monkeypatch.setattr(vector_neighbours, "BLOCK", block)
+    monkeypatch.setattr(vector_neighbours, "FAR_BLOCK", block)
+    monkeypatch.setattr(vector_neighbours, "PIECE", 16)
+    r = np.random.default_rng(5)
+    c = r.normal(size=64)
+    vs = [(c * (1 + k % 3) if k % 4 else c + 0.02 * r.normal(size=64)).astype(np.float32) for k in range(120)] + [r.normal(size=64).astype(np.float32) for _ in range(200)]
+    got = collections.defaultdict(set)
+    frame_ = vector_neighbours.neighbours(frame(spark, vs), "vec_id", "e", 3, floor)
+    for x in frame_.collect():
+        got[x["a"]].add(x["b"])
+    assert dict(got) == {k: v for k, v in best(vs, 3, floor or -2).items() if v}
+
+
 def test_bounds_hold():
     m = unit(cloud(4))
     q, step, off = vector_neighbours.quantised(m)
