@@ -341,8 +341,8 @@ def _(spark, d):
     return _map(spark, d, people.bucketed(_people(spark, d), _bucketed_people(spark, d), "row_id", "person", "region").withColumnRenamed("bucket", "region"), "region", 0)
 
 
-@_query("anchor__R19", f"""SELECT count(*) AS n_cells, count_if(log_odds > 0) AS n_pos, count_if(significant) AS n_sig, round(coalesce(count_if(log_odds > 0) / nullif(count(*), 0), 0), 3) AS frac_pos,
-    count(*) >= 3 AND coalesce(count_if(log_odds > 0) / nullif(count(*), 0), 0) >= 0.6 AND count_if(significant) >= 1 AS ok FROM ({_map_sql("person", "ppf")}) SEMI JOIN circle USING (person) WHERE item IN ({", ".join(repr(s) for s in SEEDS)})""", "lp", "lf", "ppf", "tot", "circle")
+@_query("anchor__R19", f"""SELECT count(*) AS n_cells, coalesce(count_if(log_odds > 0), 0) AS n_pos, coalesce(count_if(significant), 0) AS n_sig, round(coalesce(count_if(log_odds > 0) / nullif(count(*), 0), 0), 3) AS frac_pos,
+    count(*) >= 3 AND coalesce(count_if(log_odds > 0) / nullif(count(*), 0), 0) >= 0.6 AND coalesce(count_if(significant), 0) >= 1 AS ok FROM ({_map_sql("person", "ppf")}) SEMI JOIN circle USING (person) WHERE item IN ({", ".join(repr(s) for s in SEEDS)})""", "lp", "lf", "ppf", "tot", "circle")
 def _(spark, d):
     return assoc.anchor(_map(spark, d, _people(spark, d), "person", 5), F.col("person").isin(_most_cited(spark, d)[0]) & F.col("item").isin(SEEDS))
 
