@@ -55,7 +55,7 @@ def coded(at: DataFrame) -> DataFrame:
     return at.mapInArrow(_code_batches, f"{rest}, code binary, step float, off float")
 
 
-def _survivors(k: int, floor: float | None, dense: float):
+def _survivors(k: int, floor: float | None, dense: float, one_way: bool):
     empty = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int32()), ("i", pa.int32()), ("j", pa.int32())])
 
     def run(t: pa.Table) -> pa.Table:
@@ -63,49 +63,39 @@ def _survivors(k: int, floor: float | None, dense: float):
         q = vector_blocks.unpacked(t.column("code"), "i1").astype(np.float32)
         step, off = (t.column(c).to_numpy().astype(np.float32) for c in ("step", "off"))
         ids = t.column("id").to_numpy()
-        asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool) if "asks" in t.column_names else np.ones(len(ids), bool)
         low = -np.inf if floor is None else floor - 1e-6
         kth = np.full(len(ids), -2, np.float32)  # the k-th best lower bound so far
         best = np.full((len(ids), k), -2, np.float32)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def ask(p: np.ndarray, r: np.ndarray, s: np.ndarray, e: np.ndarray, diagonal: bool) -> None:
-            """Queries p against r, given products and bounds."""
-            mine = np.flatnonzero(asks[p])
-            if not len(mine):
-                return
+        def ask(p: np.ndarray, r: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+            """Queries p against r, given products and bounds; -2 marks a row with itself."""
             up = s + e
-            if diagonal:
-                np.fill_diagonal(up, -2)
             if floor is not None:
                 x, y = np.nonzero(up >= low)
-                x, y = (x, y) if asks.all() else (x[asks[p[x]]], y[asks[p[x]]])
-                out.append((p[x], r[y], up[x, y]))
-                return
-            lower = s[mine] - e[mine]
-            if diagonal:
-                lower[np.arange(len(mine)), mine] = -2
-            n = min(k, lower.shape[1])
-            both = np.concatenate([best[p[mine]], np.partition(lower, lower.shape[1] - n, axis=1)[:, lower.shape[1] - n :]], axis=1)
-            best[p[mine]] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
-            kth[p[mine]] = best[p[mine]].min(1)
-            x, y = np.nonzero(up[mine] >= np.maximum(kth[p[mine]], -1.5)[:, None])  # -2 marks a row with itself
-            out.append((p[mine[x]], r[y], up[mine[x], y]))
+            else:
+                lower = s - e
+                n = min(k, lower.shape[1])
+                both = np.concatenate([best[p], np.partition(lower, lower.shape[1] - n, axis=1)[:, lower.shape[1] - n :]], axis=1)
+                best[p] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                kth[p] = best[p].min(1)
+                x, y = np.nonzero(up >= np.maximum(kth[p], -1.5)[:, None])
+            out.append((p[x], r[y], up[x, y]))
 
         for x in range(0, len(left), PIECE):
             for y in range(x if same else 0, len(right), PIECE):
                 p, r = left[x : x + PIECE], right[y : y + PIECE]
-                if not asks[p].any() and not asks[r].any():
-                    continue
                 s = q[p] @ q[r].T
                 if floor is not None and not len(np.flatnonzero(s.max(1) * step[p] * step[r].max() + off[p] * (1 + off[r].max()) + off[r].max() >= low)):
                     continue
                 s *= step[p][:, None]
                 s *= step[r][None, :]
                 e = off[p][:, None] * (1 + off[r][None, :]) + off[r][None, :]
-                ask(p, r, s, e, same and x == y)
-                if not same or x != y:
-                    ask(r, p, s.T, e.T, False)
+                if same and x == y or one_way:
+                    s[ids[p][:, None] == ids[r][None, :]] = -4
+                ask(p, r, s, e)
+                if not one_way and (not same or x != y):
+                    ask(r, p, s.T, e.T)
                 if sum(len(z[0]) for z in out) > dense * k * len(ids):  # later bounds may have made earlier ones void
                     a, b, up = (np.concatenate(z) for z in zip(*out))
                     keep = up >= kth[a]
@@ -120,24 +110,22 @@ def _survivors(k: int, floor: float | None, dense: float):
     return run
 
 
-def _closest(k: int, floor: float | None):
-    """Of a tile of float vectors, the k best partners of each asking row, ties to the smaller id."""
+def _closest(k: int, floor: float | None, one_way: bool):
+    """Of a tile of float vectors, the k best partners of each row (of each left row, if one way), ties to the smaller id."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         left, right, same = _sides(t)
         m, ids = vector_blocks.unit(vector_blocks.unpacked(t.column("vec"))), t.column("id").to_numpy()
-        asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool) if "asks" in t.column_names else np.ones(len(ids), bool)
         out_a, out_b = [], []
-        for mine, others in ((left, right),) if same else ((left, right), (right, left)):
-            mine = mine[asks[mine]]
+        for mine, others in ((left, right),) if same or one_way else ((left, right), (right, left)):
             for x in range(0, len(mine), PIECE):
                 p = mine[x : x + PIECE]
                 best, who = np.full((len(p), k), -2.0), np.full((len(p), k), -1)
                 for y in range(0, len(others), PIECE):
                     q = others[y : y + PIECE]
                     s = np.round(m[p] @ m[q].T, 12)
-                    s[p[:, None] == q[None, :]] = -2
+                    s[ids[p][:, None] == ids[q][None, :]] = -2
                     s, at = np.hstack([best, s]), np.hstack([who, np.broadcast_to(q, s.shape)])
                     order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # earlier columns have smaller ids
                     best, who = np.take_along_axis(s, order, 1), np.take_along_axis(at, order, 1)
@@ -157,6 +145,19 @@ def _exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(np.round((p * q).sum(1), 12))], ["a", "b", "s"])
 
 
+def asked_tiles(at: DataFrame, asks, block: int) -> DataFrame:
+    """Chunks of the rows that ask (left) x chunks of all rows (right), as `vector_blocks.tiled` gives them; i and j never agree."""
+    n = at.agg(F.count("*").alias("n"), F.count_if(asks).alias("q")).first()
+    gq, gr = max(1, -(-n["q"] // block)), max(1, -(-n["n"] // block))
+    chunk = lambda g: F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
+    of = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    rest = at.columns
+    cell = F.lit(vector_blocks.OUTLIERS).alias("cell")
+    left = at.filter(asks).select(cell, chunk(gq).alias("i"), of(gr).alias("j"), F.lit(0).alias("side"), *rest)
+    right = at.select(cell, of(gq).alias("i"), chunk(gr).alias("j"), F.lit(1).alias("side"), *rest)
+    return left.unionByName(right).withColumn("j", F.col("j") + gq)
+
+
 def neighbours(df: DataFrame, key: str, values: str, k: int, floor: float | None = None, width: int = 64, asks=None) -> DataFrame:
     """(a, b, s, rank): the k most similar other vectors b of each usable vector a, ties to the smaller b.
 
@@ -164,23 +165,24 @@ def neighbours(df: DataFrame, key: str, values: str, k: int, floor: float | None
     there are no more. Equal vectors are neighbours like any others; unusable ones take no part.
     """
     raw = vector_blocks.usable(df, key, values, width)
-    if floor is not None:
+    if asks is not None:
+        at = raw
+    elif floor is not None:
         angle = math.acos(floor)
         radius = max(angle, math.acos(0.85))
         at = vector_blocks.placed(raw, vector_blocks.centres(raw, radius), radius, angle)
     else:
         at = raw.select("id", "vec", F.lit(vector_blocks.OUTLIERS).alias("home"), F.array().cast("array<int>").alias("visits"))
     at = cut(at, "placed")
-    if asks is not None:
-        at = at.withColumn("asks", asks)
-    tiles = vector_blocks.tiled(coded(at), BLOCK, FAR_BLOCK)
-    got = tiles.groupBy("cell", "i", "j").applyInArrow(_survivors(k, floor, DENSE), "a long, b long, cell int, i int, j int")
+    tiled = (lambda x: vector_blocks.tiled(x, BLOCK, FAR_BLOCK)) if asks is None else (lambda x: asked_tiles(x, asks, FAR_BLOCK))
+    one_way = asks is not None
+    got = tiled(coded(at)).groupBy("cell", "i", "j").applyInArrow(_survivors(k, floor, DENSE, one_way), "a long, b long, cell int, i int, j int")
     # a query's neighbours come from many tiles: each pair once
     got = cut(got.distinct(), "survivors")
     pairs, dense = got.filter("b IS NOT NULL").select("a", "b"), got.filter("b IS NULL").select("cell", "i", "j")
     if not dense.isEmpty():
-        again = vector_blocks.tiled(at, BLOCK, FAR_BLOCK).join(dense, ["cell", "i", "j"], "left_semi")
-        pairs = pairs.union(again.groupBy("cell", "i", "j").applyInArrow(_closest(k, floor), "a long, b long")).distinct()
+        again = tiled(at).join(dense, ["cell", "i", "j"], "left_semi")
+        pairs = pairs.union(again.groupBy("cell", "i", "j").applyInArrow(_closest(k, floor, one_way), "a long, b long")).distinct()
     vec = raw.select("id", "vec")
     full = pairs.join(vec.toDF("a", "x"), "a").join(vec.toDF("b", "y"), "b").select("a", "b", "x", "y")
     exact = full.mapInArrow(_exact_batches, "a long, b long, s double")
