@@ -118,9 +118,13 @@ def _most_cited(spark: SparkSession, d: str) -> tuple[list[str], str | None]:
 
 def _grouped(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     circle, centre = _most_cited(spark, d)
-    df = corpus.paragraphs(spark, d, "text", "persons", *columns)
     name = T.has_term(F.col("text"), [centre.rsplit("_", 1)[-1]]) if centre else F.lit(False)
-    return groups.grouped(df, T.has_term(F.col("text"), SEEDS), F.arrays_overlap("persons", F.array(*map(F.lit, circle)).cast("array<string>")), F.array_contains("persons", centre or ""), name)
+    flags = {
+        "_a": T.has_term(F.col("text"), SEEDS), "_b": F.arrays_overlap("persons", F.array(*map(F.lit, circle)).cast("array<string>")),
+        "_c": F.array_contains("persons", centre or ""), "_name": name,
+    }
+    df = corpus.paragraphs(spark, d, *columns, derived=flags)
+    return groups.grouped(df, F.col("_a"), F.col("_b"), F.col("_c"), F.col("_name"))
 
 
 def _with_vectors(spark: SparkSession, d: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions import folding, text
@@ -15,23 +15,22 @@ WIDTH = 64
 
 
 def delivered_once(df: DataFrame, key: str = "row_id", *columns: str) -> DataFrame:
-    """One row per key of a table whose rows may be delivered again unchanged."""
-    return df.select(key, *columns).dropDuplicates([key])
+    """The different rows of a table whose rows may be delivered again unchanged: one per key, if they are.
+
+    A hash aggregate on what is selected, without the sort that picking a first row would need.
+    """
+    return df.select(key, *columns).distinct()
 
 
-def paragraphs(spark: SparkSession, d: str, *columns: str, least: int = MIN_TEXT) -> DataFrame:
+def paragraphs(spark: SparkSession, d: str, *columns: str, least: int = MIN_TEXT, derived: dict[str, Column] | None = None) -> DataFrame:
     """Records whose text has at least `least` characters; a null text drops. The filter reaches the scan.
 
-    `persons` comes clean, `issue` in one spelling.
+    `persons` comes clean, `issue` in one spelling. `derived` columns may use any column: they are made before deliveries are
+    merged, so what they are made of needn't be shuffled.
     """
-    wanted = list(dict.fromkeys(["row_id", *columns]))
     df = table(spark, d, "paragraphs").filter(F.length("text") >= least)
-    df = delivered_once(df, "row_id", *wanted[1:])
-    if "persons" in wanted:
-        df = df.withColumn("persons", text.clean_ids(F.col("persons")))
-    if "issue" in wanted:
-        df = df.withColumn("issue", text.issue_key(F.col("issue")))
-    return df
+    df = df.withColumns({"persons": text.clean_ids(F.col("persons")), "issue": text.issue_key(F.col("issue"))}).withColumns(derived or {})
+    return delivered_once(df, "row_id", *[c for c in dict.fromkeys([*columns, *(derived or {})]) if c != "row_id"])
 
 
 def lemmas(spark: SparkSession, d: str) -> DataFrame:
