@@ -592,10 +592,9 @@ def _(spark, d):
 
 
 def _shared_pairs(spark, d, post: DataFrame, vec: DataFrame, n: int, seed: str) -> DataFrame:
-    """About n pairs that share an item, each item by its share of all pairs; and n pairs of any two rows."""
-    post = post.join(vec.select("row_id"), "row_id", "left_semi").withColumnRenamed(post.columns[1], "run")
-    total = post.groupBy("run").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] or 1
-    shared = sampling.within_pairs(post, "row_id", n, seed, quota=lambda left, _: F.ceil(F.lit(2.0 * n) * left * (left - 1) / total) + 1).select("i", "j").distinct()
+    """n pairs that share an item, each such pair as likely as any other; and pairs of any two rows."""
+    post = post.join(vec.select("row_id"), "row_id", "left_semi")
+    shared = sampling.shared_pairs(post, "row_id", post.columns[1], n, seed)
     base = sampling.within_pairs(vec.select(F.lit("all").alias("run"), "row_id"), "row_id", n, seed)
     return shared.select(F.lit("shared").alias("run"), "i", "j").union(base.select(F.lit("base").alias("run"), "i", "j"))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptoria.functions.ranks import numbered
 from scriptoria.functions.text import keyed, keyed_int
+from scriptoria.operators.postings import shared_item_pairs
 from scriptoria.plans.lineage import cut
 
+#: Of shared pairs: up to so many times n (row pairs, item) all are listed; at most so many times n draws are made.
+LISTED, DRAWS = 50, 64
+
 
 def choose(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
     """n rows without replacement, those of the smallest keyed hash (all if there are fewer)."""
@@ -61,3 +66,44 @@ def within_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "ru
     both = members.select(run, key, F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     # all ordered pairs are twice the unordered ones
     return cross_pairs(both, key, 2 * n, seed, run, quota).select(run, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
+def _unit(seed: str, *parts) -> Column:
+    """`keyed` as a number of 52 bits from 0 to below 1."""
+    return F.conv(F.substring(keyed(seed, *parts), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def shared_pairs(post: DataFrame, key: str, name: str, n: int, seed: str) -> DataFrame:
+    """(i, j), i < j: n different pairs of rows that share an item, each such pair as likely as any other; all if there are fewer.
+
+    `post` is (key, name), each once. An item gets its share of the draws, which is that of the pairs of its rows (a fraction is rounded
+    up as often as it is large), and both members come from its whole posting. A pair that shares m items has m ways to be drawn, so one
+    in m of its draws counts. Draws are doubled until n pairs are found or DRAWS x n are made; where there are few pairs all are listed.
+    """
+    placed = cut(numbered(post.select(key, name), F.col(name), F.col(key), name="at"), "placed")
+    size = cut(placed.groupBy(name).agg(F.count("*").alias("c"), F.min("at").cast("long").alias("first")).filter("c > 1"), "sizes")
+    c = F.col("c")
+    own = c.cast("double") * (c - 1) / 2
+    ways = size.agg(F.sum(own)).first()[0] or 0
+    if ways <= LISTED * n:
+        return shared_item_pairs(placed.select(key, name), key, name).select("i", "j").orderBy(keyed(seed, F.col("i"), F.col("j")), "i", "j").limit(n)
+    row = lambda at, of: placed.select(F.col("at").cast("long").alias(at), F.col(key).alias(of))
+    found, made, turn = None, 0, 0
+    while made < DRAWS * n and (found is None or found.count() < n):
+        now = min(max(2 * n, made), DRAWS * n - made)
+        u = lambda kind, *k, t=turn: _unit(f"{seed}|{kind}|{t}", F.col(name), *k)
+        k = F.col("k")
+        drawn = size.withColumn("q", F.floor(own * (now / ways) + u("share"))).filter("q > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
+        drawn = drawn.withColumn("x", F.floor(u("x", k) * c)).withColumn("y", F.floor(u("y", k) * (c - 1)))
+        drawn = drawn.select(
+            (F.col("first") + F.col("x")).alias("x"), (F.col("first") + F.col("y") + F.when(F.col("y") >= F.col("x"), 1).otherwise(0)).alias("y"),
+            u("luck", k).alias("luck"), F.struct(F.lit(turn).alias("turn"), u("order", k).alias("u")).alias("order"),
+        )
+        drawn = drawn.join(row("x", "a"), "x").join(row("y", "b"), "y")
+        drawn = cut(drawn.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "luck", "order"), "draws")
+        of = placed.join(drawn.select(F.explode(F.array("i", "j")).alias(key)).distinct(), key, "left_semi").groupBy(key).agg(F.collect_set(name).alias("items"))
+        both = drawn.join(of.select(F.col(key).alias("i"), F.col("items").alias("p")), "i").join(of.select(F.col(key).alias("j"), F.col("items").alias("q")), "j")
+        new = both.filter(F.col("luck") * F.size(F.array_intersect("p", "q")) < 1).select("i", "j", "order")
+        found = cut((new if found is None else found.union(new)).groupBy("i", "j").agg(F.min("order").alias("order")), "found")
+        made, turn = made + now, turn + 1
+    return found.orderBy("order", "i", "j").limit(n).select("i", "j")
