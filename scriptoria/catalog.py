@@ -770,25 +770,23 @@ _GOLD = 400
 
 @_query("label_recovery__R8_J6_J12_T16", _delta_sql(f"SELECT 'seen' AS run, round({_DOT}(a.vec, b.vec), 4) AS cos, list_has_any(a.ana_gold, b.ana_gold) AS is_x FROM (SELECT * FROM labelled ORDER BY md5('gold|' || row_id), row_id LIMIT {_GOLD}) a JOIN (SELECT * FROM labelled ORDER BY md5('gold|' || row_id), row_id LIMIT {_GOLD}) b ON a.row_id < b.row_id"), "labelled")
 def _(spark, d):
-    p = _recovery_pairs(spark, d)[0]
-    return rankstats.two_samples(p.withColumn("run", F.lit("seen")), "cos", F.col("is_x"), ["run"]).select("run", "n_x", "n_y", F.round("delta", 6).alias("delta"))
+    g = _labelled(spark, d)
+    counts = pairs.label_counts(g, "row_id", g.select(F.lit("seen").alias("run"), "row_id", "ana_gold"), "ana_gold")
+    return rankstats.of_counts(counts, ["run"]).select("run", "n_x", "n_y", F.round("delta", 6).alias("delta"))
 
 
-def _recovery_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a labelled sample with similarity and whether they share a label."""
+def _labelled(spark, d) -> DataFrame:
+    """All labelled rows that have a vector."""
     g = corpus.paragraphs(spark, d, "ana_gold").filter(F.size("ana_gold") > 0).join(corpus.vectors(spark, d).select("row_id", "vec"), "row_id")
-    g = cut(sampling.choose(g, _GOLD, "gold", "row_id"), "gold")
-    p = evaluation.labelled_pairs(g, "row_id", "ana_gold").join(g.select(F.col("row_id").alias("a"), F.col("vec").alias("x")), "a").join(g.select(F.col("row_id").alias("b"), F.col("vec").alias("y")), "b")
-    return cut(p.select("a", "b", F.round(vectors.dot(F.col("x"), F.col("y")), 4).alias("cos"), F.arrays_overlap("la", "lb").alias("is_x")), "gold-pairs"), g
+    return cut(g, "gold")
 
 
 @_query("permutation_null__R8")
 def _(spark, d):
-    p, g = _recovery_pairs(spark, d)
-    deal = resample.permuted(g, "row_id", "ana_gold", RUNS, "deal")
-    x, y = deal.select("run", F.col("row_id").alias("a"), F.col("ana_gold").alias("la")), deal.select("run", F.col("row_id").alias("b"), F.col("ana_gold").alias("lb"))
-    dealt = p.select("a", "b", "cos").join(x, "a").join(y, ["run", "b"]).withColumn("same", F.arrays_overlap("la", "lb"))
-    return rankstats.two_samples(dealt, "cos", F.col("same"), ["run"]).select("run", "n_x", "n_y", F.round(F.coalesce("delta", F.lit(0.0)), 6).alias("delta"))
+    g = _labelled(spark, d)
+    deals = resample.permuted(g, "row_id", "ana_gold", RUNS, "deal")
+    null = rankstats.of_counts(pairs.label_counts(g, "row_id", deals, "ana_gold"), ["run"])
+    return null.select(F.col("run").cast("int").alias("run"), "n_x", "n_y", F.round(F.coalesce("delta", F.lit(0.0)), 6).alias("delta"))
 
 
 @_query("sample_corpus__R10_R3", "SELECT row_id FROM (SELECT row_id, in_d, row_number() OVER (PARTITION BY in_d ORDER BY md5('fill|' || row_id), row_id) AS k, count_if(NOT in_d) OVER () AS kept FROM grp) WHERE NOT in_d OR k <= 2000 - kept", "grp")

@@ -25,12 +25,6 @@ def micro(df: DataFrame) -> DataFrame:
     return got.select("tp", "fp", "fn", *[F.round(c, 3).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def labelled_pairs(df: DataFrame, key: str, labels: str) -> DataFrame:
-    """(a, b, la, lb): all unordered pairs of a labelled subset, which the caller has kept small."""
-    x, y = df.select(F.col(key).alias("a"), F.col(labels).alias("la")), df.select(F.col(key).alias("b"), F.col(labels).alias("lb"))
-    return x.join(y, F.col("a") < F.col("b"))
-
-
 def require_unique(df: DataFrame, key: str) -> DataFrame:
     """`df`, or an error if a key repeats."""
     twice = df.groupBy(key).count().filter("count > 1").head(3)

@@ -193,3 +193,51 @@ def neighbours_outside(rows: DataFrame, is_query: Column, k: int = 5) -> DataFra
 def all_pairs(rows: DataFrame, is_query: Column) -> DataFrame:
     """Every eligible pair of the query rows, for statistics that need each: (i, j, e_cos, c_jaccard, shared_lemmas, h_shared)."""
     return blocked(rows, is_query, lambda b: _picked(b, b.eligible()), PAIR)
+
+
+#: Labelled rows of a chunk.
+LABELLED = 2048
+
+
+def label_counts(rows: DataFrame, key: str, deals: DataFrame, labels: str, run: str = "run", digits: int = 4, chunk: int = LABELLED) -> DataFrame:
+    """(run, v, x, y): over all pairs of `rows` (key, vec), how many of each cosine v share a label in a run (x) and how many don't (y).
+
+    `deals` is (run, key, labels) with every row once per run; labels are compared by 64-bit hashes. v is the cosine in units of the last
+    of `digits` digits. Chunks of rows meet in blocks, and a block gives on its counts, never its pairs.
+    """
+    one = 10**digits
+    n = rows.count()
+    g = max(1, -(-n // chunk))
+    sets = deals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(run).cast("string").alias("run"), F.transform(labels, lambda x: F.xxhash64(x)).alias("l")))).alias("deals"))
+    base = rows.select(key, "vec").join(sets, key).select("vec", F.col("deals.run").alias("runs"), F.col("deals.l").alias("sets"), F.pmod(F.xxhash64(key), g).cast("int").alias("c"))
+    base = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+
+    def incidence(side: pa.Table, k: int, known: np.ndarray) -> np.ndarray:
+        out = np.zeros((side.num_rows, len(known)), np.float32)
+        lists = [r[k] or [] for r in side.column("sets").to_pylist()]
+        at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        out[at, np.searchsorted(known, np.array([y for x in lists for y in x], np.int64))] = 1
+        return out
+
+    def count(t: pa.Table) -> pa.Table:
+        c, x, y = t.column("c").to_numpy(), t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        a, b = (t.filter(pa.array(c == k)) for k in (x, y))
+        out = {"run": [], "v": [], "x": [], "y": []}
+        if a.num_rows and b.num_rows:
+            cos = Block._matrix(a.column("vec")) @ Block._matrix(b.column("vec")).T
+            v = (np.sign(cos) * np.floor(np.abs(cos) * one + 0.5)).astype(np.int64) + 2 * one
+            met = np.triu(np.ones(v.shape, bool), 1) if x == y else np.ones(v.shape, bool)
+            v = 2 * v[met]
+            known = np.unique(np.array([z for r in t.column("sets").to_pylist() for s in r for z in s or []], np.int64))
+            for k, name in enumerate(a.column("runs")[0].as_py()):
+                same = (incidence(a, k, known) @ incidence(b, k, known).T > 0)[met]
+                got = np.bincount(v + same, minlength=8 * one + 2).reshape(-1, 2)
+                at = np.flatnonzero(got.sum(1))
+                out["run"] += [name] * len(at)
+                out["v"] += (at - 2 * one).tolist()
+                out["x"] += got[at, 1].tolist()
+                out["y"] += got[at, 0].tolist()
+        return pa.table({"run": pa.array(out["run"], pa.string()), **{k: pa.array(out[k], pa.int64()) for k in "vxy"}})
+
+    blocks = base.withColumns({"x": F.least("c", "other"), "y": F.greatest("c", "other")}).drop("other").groupBy("x", "y").applyInArrow(count, "run string, v long, x long, y long")
+    return blocks.groupBy("run", "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))

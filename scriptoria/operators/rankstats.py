@@ -20,14 +20,18 @@ def two_samples(df: DataFrame, value: str, is_x: Column, by: list[str] | None =
     values are left out.
     """
     by = by or []
-    c = df.filter(F.col(value).isNotNull() & is_x.isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(is_x).alias("x"), F.count_if(~is_x).alias("y"))
+    return of_counts(df.filter(F.col(value).isNotNull() & is_x.isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(is_x).alias("x"), F.count_if(~is_x).alias("y")), by)
+
+
+def of_counts(c: DataFrame, by: list[str]) -> DataFrame:
+    """`two_samples` from (by, v, x, y): how often each value v, once per group, stands in x and in y."""
     w = W.partitionBy(*by).orderBy("v")
     run = w.rowsBetween(W.unboundedPreceding, 0)
     c = c.withColumn("below", F.sum("y").over(run) - F.col("y")).withColumn("upto", F.sum("y").over(run))
     t = F.col("x") + F.col("y")
     g = c.groupBy(*by) if by else c
     a = g.agg(
-        F.sum("x").alias("n_x"), F.sum("y").alias("n_y"), F.sum(F.col("x") * F.col("below")).alias("above"), F.sum(F.col("x") * F.col("y")).alias("tied"),
+        F.sum("x").alias("n_x"), F.sum("y").alias("n_y"), F.sum(F.col("x").cast("double") * F.col("below")).alias("above"), F.sum(F.col("x").cast("double") * F.col("y")).alias("tied"),
         F.sum(t.cast("double") * t * t - t).alias("ties"),
     )
     n_x, n_y, n = F.col("n_x"), F.col("n_y"), (F.col("n_x") + F.col("n_y")).cast("double")

@@ -1,7 +1,29 @@
 """Operators do the whole job: nothing is cut that the question doesn't cut."""
 
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from scriptoria import catalog
-from scriptoria.operators import sampling
+from scriptoria.operators import pairs, sampling
+
+SMALL = "/root/testdata/sf0.01"
+data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+
+
+@pytest.fixture(scope="session")
+def labelled(spark, tmp_path_factory):
+    """sf0.01 with labels on every fourth row."""
+    d = tmp_path_factory.mktemp("labelled")
+    for f in os.listdir(SMALL):
+        if f != "paragraphs.parquet":
+            os.symlink(f"{SMALL}/{f}", d / f)
+    label = F.array(F.concat(F.lit("l"), (F.col("row_id") % 7).cast("string")))
+    p = spark.read.parquet(f"{SMALL}/paragraphs.parquet")
+    p.withColumn("ana_gold", F.when(F.col("row_id") % 4 == 0, label).otherwise(F.array().cast("array<string>"))).write.parquet(str(d / "paragraphs.parquet"))
+    return str(d)
 
 
 def test_shared_pairs_are_drawn_evenly(spark):
@@ -18,3 +40,40 @@ def test_shared_pairs_are_drawn_evenly(spark):
     assert len({x for p in got for x in p if x < 300}) > 290
     few = spark.createDataFrame([(1, "p"), (2, "p"), (1, "q"), (2, "q"), (3, "q"), (4, "r")], "row_id long, item string")
     assert sorted(map(tuple, sampling.shared_pairs(few, "row_id", "item", 10, "s").collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def _delta(cos, same):
+    x, y = np.sort(cos[same]), np.sort(cos[~same])
+    return (np.searchsorted(y, x, "left").sum() - (len(y) - np.searchsorted(y, x, "right")).sum()) / (len(x) * len(y))
+
+
+@data
+def test_label_recovery_takes_all_labelled_rows(spark, labelled):
+    g = catalog._labelled(spark, labelled).select("row_id", "vec", "ana_gold").collect()
+    v, own = np.array([r["vec"] for r in g]), np.array([r["ana_gold"][0] for r in g])
+    i, j = np.triu_indices(len(g), 1)
+    same = own[i] == own[j]
+    seen = catalog.queries()["label_recovery__R8_J6_J12_T16"](spark, labelled).first()
+    assert len(g) > 450 and (seen["n_x"], seen["n_y"]) == (same.sum(), (~same).sum())
+    assert seen["delta"] == pytest.approx(_delta(np.round((v @ v.T)[i, j], 4), same), abs=2e-6)
+    null = catalog.queries()["permutation_null__R8"](spark, labelled).collect()
+    assert sorted(r["run"] for r in null) == list(range(catalog.RUNS)) and {(r["n_x"], r["n_y"]) for r in null} == {(same.sum(), (~same).sum())}
+    assert all(abs(r["delta"]) < 0.1 for r in null)
+
+
+def test_label_counts_of_several_chunks(spark):
+    r = np.random.default_rng(0)
+    v = r.normal(size=(30, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    own = [sorted({f"l{x}" for x in r.integers(0, 6, size=k % 3 + 1)}) for k in range(30)]
+    rows = spark.createDataFrame([(k, v[k].tolist()) for k in range(30)], "id long, vec array<double>")
+    deals = spark.createDataFrame([(run, k, own[(k + run) % 30]) for run in range(2) for k in range(30)], "run int, id long, l array<string>")
+    for chunk in (7, 100):
+        got = pairs.label_counts(rows, "id", deals, "l", chunk=chunk).collect()
+        want = {}
+        for run in range(2):
+            for i in range(30):
+                for j in range(i):
+                    k = (str(run), round(float(v[i] @ v[j]) * 10000), bool(set(own[(i + run) % 30]) & set(own[(j + run) % 30])))
+                    want[k] = want.get(k, 0) + 1
+        assert {(r["run"], r["v"], same): r[c] for r in got for c, same in (("x", True), ("y", False)) if r[c]} == want
