@@ -254,6 +254,14 @@ def _(spark, d):
     return p.select("row_id", T.keep_valid(F.col("ana_gold"), known).alias("l")).filter(F.size("l") > 0).select("row_id", F.array_join("l", ";").alias("labels"))
 
 
+@_query("inventory_labels__P25_S3")
+def _(spark, d):
+    """The labels of each row that the whole inventory knows; `valid_labels` knows the ten commonest only, as its SQL does."""
+    p = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold")
+    known = F.array(*[F.lit(r[0]) for r in p.select(F.explode("ana_gold").alias("label")).distinct().filter("label IS NOT NULL").collect()]).cast("array<string>")
+    return p.select("row_id", T.keep_valid(F.col("ana_gold"), known).alias("l")).filter(F.size("l") > 0).select("row_id", F.array_join("l", ";").alias("labels"))
+
+
 @_query("cache_keys__P11_M6", "SELECT row_id, sha256('m' || chr(0) || 'open' || chr(0) || text || chr(0)) AS key FROM par", "par")
 def _(spark, d):
     return inference.with_keys(corpus.paragraphs(spark, d, "text"), "text", "m", "open").select("row_id", "key")

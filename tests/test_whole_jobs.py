@@ -77,3 +77,10 @@ def test_label_counts_of_several_chunks(spark):
                     k = (str(run), round(float(v[i] @ v[j]) * 10000), bool(set(own[(i + run) % 30]) & set(own[(j + run) % 30])))
                     want[k] = want.get(k, 0) + 1
         assert {(r["run"], r["v"], same): r[c] for r in got for c, same in (("x", True), ("y", False)) if r[c]} == want
+
+
+@data
+def test_no_label_of_the_inventory_is_dropped(spark):
+    got = {r["row_id"]: r["labels"] for r in catalog.queries()["inventory_labels__P25_S3"](spark, SMALL).collect()}
+    p = spark.read.parquet(f"{SMALL}/paragraphs.parquet").filter(F.size("ana_gold") > 0).select("row_id", "ana_gold").collect()
+    assert got == {r["row_id"]: ";".join(r["ana_gold"]) for r in p} and len({x for v in got.values() for x in v.split(";")}) == 16
