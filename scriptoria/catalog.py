@@ -706,6 +706,25 @@ def _(spark, d):
     return probe.null_summary(_Q["label_null__R4"](spark, d))
 
 
+def _as_large(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(run, kind, row_id) of fake groups as large as the real A and B, all other rows being D; and the vectors."""
+    g, vec = _with_vectors(spark, d, _grouped(spark, d))
+    g = cut(g.select("row_id", "in_a", "in_b"), "grouped")
+    n = g.agg(F.count_if("in_a").alias("a"), F.count_if("in_b").alias("b")).first()
+    return cut(resample.relabelled(g, "row_id", n["a"], n["b"], RUNS, "shuffle"), "labels"), vec
+
+
+@_query("label_null_as_large__R4")
+def _(spark, d):
+    """`label_null` and its SQL have groups of 200, 100 and 1,000 rows whatever the corpus; here they are those of the probe."""
+    return probe.deltas(*_as_large(spark, d), "row_id", _NL, "null")
+
+
+@_query("null_verdict_as_large__R18")
+def _(spark, d):
+    return probe.null_summary(_Q["label_null_as_large__R4"](spark, d))
+
+
 def _kinds(base: DataFrame, a: DataFrame, b: DataFrame, runs: int) -> DataFrame:
     """(run, kind, row_id): per run the rows of A and B, and as D the rest of (row_id, in_c) without C."""
     run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")

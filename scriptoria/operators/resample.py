@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptoria.functions.ranks import numbered
 from scriptoria.functions.text import keyed, keyed_int
 from scriptoria.operators.ranking import top_per
 from scriptoria.operators.sampling import order_of_runs
@@ -20,6 +21,17 @@ def shuffled_labels(rows: DataFrame, key: str, n_a: int, n_b: int, n_d: int, run
     return placed.select("run", F.when(F.col("place") <= n_a, "a").when(F.col("place") <= n_a + n_b, "b").otherwise("d").alias("kind"), key)
 
 
+def relabelled(rows: DataFrame, key: str, n_a: int, n_b: int, runs: int, seed: str) -> DataFrame:
+    """(run, kind, key): as `shuffled_labels`, with all other rows as D; `rows` has each key once.
+
+    The shuffles of all runs are one order over range partitions, so no task holds a run.
+    """
+    spread = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    placed = numbered(spread, F.col("run"), keyed(seed, F.col("run"), F.col(key)), F.col(key), name="place")
+    place = F.col("place") - F.col("run").cast("long") * rows.count()
+    return placed.select("run", F.when(place <= n_a, "a").when(place <= n_a + n_b, "b").otherwise("d").alias("kind"), key)
+
+
 def matched_pools(targets: DataFrame, pool: DataFrame, low: float = 0.5, high: float = 2.0, nearest: int = 50) -> DataFrame:
     """(target, item): for each (target, n) the pool items of (item, n) with low x n <= their n <= high x n.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptoria import catalog
-from scriptoria.operators import pairs, sampling
+from scriptoria.operators import groups, pairs, resample, sampling
 
 SMALL = "/root/testdata/sf0.01"
 data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
@@ -84,3 +84,17 @@ def test_no_label_of_the_inventory_is_dropped(spark):
     got = {r["row_id"]: r["labels"] for r in catalog.queries()["inventory_labels__P25_S3"](spark, SMALL).collect()}
     p = spark.read.parquet(f"{SMALL}/paragraphs.parquet").filter(F.size("ana_gold") > 0).select("row_id", "ana_gold").collect()
     assert got == {r["row_id"]: ";".join(r["ana_gold"]) for r in p} and len({x for v in got.values() for x in v.split(";")}) == 16
+
+
+@data
+def test_null_groups_are_as_large_as_the_real_ones(spark):
+    g, _vec = catalog._with_vectors(spark, SMALL, catalog._grouped(spark, SMALL))
+    n = groups.sizes(g).first()
+    labels = catalog._as_large(spark, SMALL)[0]
+    got = {(r["run"], r["kind"]): (r["n"], r["m"]) for r in labels.groupBy("run", "kind").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("m")).collect()}
+    size = {"a": n["n_a"], "b": n["n_b"], "d": n["n"] - n["n_a"] - n["n_b"]}
+    assert size["a"] > 200 and size["b"] > 100 and got == {(run, k): (m, m) for run in range(catalog.RUNS) for k, m in size.items()}
+    old = resample.shuffled_labels(g, "row_id", n["n_a"], n["n_b"], n["n"], catalog.RUNS, "shuffle")
+    assert labels.exceptAll(old).count() == 0 and old.count() == n["n"] * catalog.RUNS
+    null = catalog.queries()["null_verdict_as_large__R18"](spark, SMALL).first()
+    assert null["n_runs"] == catalog.RUNS and abs(null["mean"]) < 0.1
