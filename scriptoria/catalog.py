@@ -19,8 +19,8 @@ FLAGSHIP = "probe_delta__R12"
 SEEDS = ["escritura", "escribir", "escrito", "escrita", "ausencia", "ausente", "afuera", "dehors", "errancia", "errar", "muerte", "olvido", "silencio", "soledad", "imposible"]
 # The issues in order of appearance.
 ISSUES = ["issue_1", "issue_2", "issue_3", "issue_4-5", "issue_6"]
-#: Pairs per class and runs of a null in the queries here.
-N, RUNS = 20_000, 20
+#: Pairs per class, pairs of the graded test, runs of a null, permutations of labels, rows of a filled sample.
+N, N_GRADED, RUNS, N_PERM, CAP = probe.N_PAIRS, 200_000, 200, 1_000, 8_000
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ def _query(name: str, sql: str | None = None, *ctes: str):
         _Q[name] = f
         if sql:
             seen = _needs(ctes)
-            _SQL[name] = (("WITH " + ",\n".join(f"{k} AS ({_CTE[k]})" for k in seen) + "\n") if seen else "") + sql
+            _SQL[name] = (("WITH " + ",\n".join(f"{k} AS {'MATERIALIZED ' if k in _ONCE else ''}({_CTE[k]})" for k in seen) + "\n") if seen else "") + sql
         return f
 
     return add
@@ -64,6 +64,8 @@ _B = r"[\p{Z}\t\n\r]"
 _ID = lambda x: rf"nullif(regexp_replace(regexp_replace({x}, '^{_B}*#*{_B}*', ''), '{_B}+$', ''), '')"
 _TERMS = lambda ws: rf"(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(ws)})($|[^\p{{L}}\p{{N}}_])"
 _DOT = "list_dot_product"
+#: Parts of the SQL that are used several times and cost much.
+_ONCE = {"vec", "gv", "pp", "tok", "pr", "el", "grp", "labelled", "lpair", "lrank", "lperm"}
 _CTE = {
     "rec": rf"""SELECT DISTINCT row_id, para_id, regexp_replace(lower(regexp_replace(issue, '^{_B}+|{_B}+$', '', 'g')), ' +', '_', 'g') AS issue, div_id, div_type, text_id, contributor, text,
         list_filter(list_transform(coalesce(persons, []), lambda x: {_ID("x")}), lambda x: x IS NOT NULL) AS persons, ana_gold, has_note FROM paragraphs""",
@@ -239,35 +241,32 @@ def _(spark, d):
     return table(spark, d, "concept_layer").select("row_id", F.round(T.jaccard(clean("terms"), clean("lemmas")), 6).alias("jaccard"))
 
 
-_CTE["inv"] = "SELECT label FROM (SELECT unnest(ana_gold) AS label FROM rec) GROUP BY label ORDER BY count(*) DESC, label LIMIT 10"
+_CTE["inv"] = "SELECT DISTINCT unnest(ana_gold) AS label FROM rec"
 
 
-def _inventory(spark: SparkSession, d: str) -> list[str]:
-    got = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold").select(F.explode("ana_gold").alias("label"))
-    return [r[0] for r in got.groupBy("label").count().orderBy(F.desc("count"), "label").limit(10).collect()]
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold").filter(F.size("ana_gold") > 0)
 
 
-@_query("valid_labels__P25_S3", "SELECT row_id, string_agg(label, ';' ORDER BY pos) AS labels FROM (SELECT row_id, unnest(ana_gold) AS label, generate_subscripts(ana_gold, 1) AS pos FROM rec) SEMI JOIN inv USING (label) GROUP BY row_id", "rec", "inv")
-def _(spark, d):
-    known = F.array(*map(F.lit, _inventory(spark, d))).cast("array<string>")
-    p = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold")
-    return p.select("row_id", T.keep_valid(F.col("ana_gold"), known).alias("l")).filter(F.size("l") > 0).select("row_id", F.array_join("l", ";").alias("labels"))
+def _inventory(spark: SparkSession, d: str) -> DataFrame:
+    """(item): every label of the data."""
+    return _gold(spark, d).select(F.explode("ana_gold").alias("item")).filter("item IS NOT NULL").distinct()
 
 
-@_query("inventory_labels__P25_S3")
+@_query("valid_labels__P25", "SELECT row_id, string_agg(label, ';' ORDER BY pos) AS labels FROM (SELECT row_id, unnest(ana_gold) AS label, generate_subscripts(ana_gold, 1) AS pos FROM rec) SEMI JOIN inv USING (label) GROUP BY row_id", "rec", "inv")
 def _(spark, d):
-    """The labels of each row that the whole inventory knows; `valid_labels` knows the ten commonest only, as its SQL does."""
-    p = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold")
-    known = F.array(*[F.lit(r[0]) for r in p.select(F.explode("ana_gold").alias("label")).distinct().filter("label IS NOT NULL").collect()]).cast("array<string>")
-    return p.select("row_id", T.keep_valid(F.col("ana_gold"), known).alias("l")).filter(F.size("l") > 0).select("row_id", F.array_join("l", ";").alias("labels"))
+    return evaluation.known_items(_gold(spark, d), "row_id", "ana_gold", _inventory(spark, d)).select("row_id", F.array_join("ana_gold", ";").alias("labels"))
 
 
-@_query("cache_keys__P11_M6", "SELECT row_id, sha256('m' || chr(0) || 'open' || chr(0) || text || chr(0)) AS key FROM par", "par")
+@_query("cache_keys__P11", "SELECT row_id, sha256('m' || chr(0) || 'open' || chr(0) || text || chr(0)) AS key FROM par", "par")
 def _(spark, d):
     return inference.with_keys(corpus.paragraphs(spark, d, "text"), "text", "m", "open").select("row_id", "key")
 
 
-@_query("fingerprint__P10_S12_S13")
+_CTE["leaf"] = f"SELECT g, sha256(string_agg(text, chr(10) ORDER BY row_id)) AS h, count(*) AS n FROM (SELECT row_id, text, (row_number() OVER (ORDER BY row_id) - 1) // {files.FAN} AS g FROM par) GROUP BY g"
+
+
+@_query("fingerprint__P10_S12_S13", "SELECT sum(n)::BIGINT AS n_rows, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, chr(10) ORDER BY g)) END AS digest FROM leaf", "par", "leaf")
 def _(spark, d):
     return files.fingerprint(corpus.paragraphs(spark, d, "text"), "row_id", "text")
 
@@ -378,7 +377,13 @@ def _(spark, d):
     return _trends(spark, d).drop("p", "q")
 
 
-@_query("trend_table__A19_A20_O10")
+# the two-sided normal tail by the series of erf, whose terms are all positive
+_TAIL = "(SELECT CASE WHEN x = 0 THEN 1.0 WHEN x > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(x) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END FROM (SELECT abs({0}) / sqrt(2) AS x))"
+_CTE["trz"] = _TREND.replace("round(z, 3) AS z", "z")
+_CTE["trp"] = f"SELECT *, CASE WHEN z = 0 THEN 1.0 ELSE greatest(0, {_TAIL.format('trz.z')}) END AS p FROM trz"
+
+
+@_query("trend_table__A19_A20_O10_O1", f"SELECT * EXCLUDE (z, p, q, m, rk), round(z, 3) AS z, round(p, 6) AS p, round(q, 6) AS q FROM (SELECT *, least(1, min(p * m / rk) OVER (ORDER BY rk DESC)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM trp))", "lp", "lf", "par", "trp")
 def _(spark, d):
     return _trends(spark, d)
 
@@ -455,11 +460,10 @@ _CTE["labs"] = "SELECT DISTINCT unnest(ana_gold) AS label FROM rec"
 
 
 def _evaluated(spark, d):
-    gold = corpus.delivered_once(table(spark, d, "paragraphs"), "row_id", "ana_gold").filter(F.size("ana_gold") > 0)
-    labels = [r[0] for r in gold.select(F.explode("ana_gold").alias("x")).distinct().collect()]  # the label inventory
-    p = gold.join(corpus.lemmas(spark, d), "row_id")
-    tagged = F.array_distinct(T.keep_valid(F.transform("lemmas", lambda x: F.concat(F.lit("ana_"), x)), F.array(*map(F.lit, labels)).cast("array<string>")))
-    return p.withColumn("predicted", tagged)
+    """Labelled rows with their lemmas and, as predicted labels, those lemmas that the inventory knows."""
+    p = cut(_gold(spark, d).join(corpus.lemmas(spark, d), "row_id"), "evaluated")
+    tagged = p.select("row_id", F.array_distinct(F.transform("lemmas", lambda x: F.concat(F.lit("ana_"), x))).alias("predicted"))
+    return p.join(evaluation.known_items(tagged, "row_id", "predicted", _inventory(spark, d)), "row_id", "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
 
 
 @_query("micro_scores__A21_P25", "SELECT tp, fp, fn, round(pr, 3) AS precision, round(re, 3) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 3) AS f1 FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re FROM (SELECT sum(len(list_intersect(g, p)))::BIGINT AS tp, sum(len(p) - len(list_intersect(g, p)))::BIGINT AS fp, sum(len(g) - len(list_intersect(g, p)))::BIGINT AS fn FROM ev))", "ev")
@@ -488,9 +492,12 @@ def _(spark, d):
 # --- vectors and the probe ----------------------------------------------------------------------------------------
 
 
-@_query("mean_cosines__A9_J7_M7", """SELECT contributor, n_a, n_b, round(sum(s * t) / (n_a * n_b), 6) AS mean_cos FROM
+_MEANS = """SELECT contributor, n_a, n_b, round(sum(s * t) / (n_a * n_b), 6) AS mean_cos FROM
     (SELECT contributor, dim, sum(x) AS s, count(*) AS n_a FROM (SELECT contributor, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv JOIN par USING (row_id)) GROUP BY ALL)
-    JOIN (SELECT dim, sum(x) AS t, count(*) AS n_b FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv WHERE in_b) GROUP BY ALL) USING (dim) GROUP BY contributor, n_a, n_b""", "gv", "par")
+    JOIN (SELECT dim, sum(x) AS t, count(*) AS n_b FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv WHERE in_b) GROUP BY ALL) USING (dim) GROUP BY contributor, n_a, n_b"""
+
+
+@_query("mean_cosines__A9_J7_M7", _MEANS, "gv", "par")
 def _(spark, d):
     g, vec = _with_vectors(spark, d, _grouped(spark, d, "contributor"))
     g = cut(g.select("row_id", "contributor", "in_b").join(vec, "row_id"), "grouped")
@@ -499,7 +506,7 @@ def _(spark, d):
     return got.select(F.nullif("contributor", F.lit("\x00")).alias("contributor"), "n_a", "n_b", F.round("mean_cos", 6).alias("mean_cos"))
 
 
-@_query("closest_contributor__A32")
+@_query("closest_contributor__A32", f"SELECT contributor, mean_cos FROM ({_MEANS}) ORDER BY mean_cos DESC, contributor DESC NULLS LAST LIMIT 1", "gv", "par")
 def _(spark, d):
     m = _Q["mean_cosines__A9_J7_M7"](spark, d)
     return m.agg(F.max_by("contributor", F.struct("mean_cos", "contributor")).alias("contributor"), F.max("mean_cos").alias("mean_cos"))
@@ -524,7 +531,7 @@ def _placed_sql(members: str, seed: str) -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY run, side ORDER BY md5('{seed}|' || run || '|' || side || '|' || row_id), row_id) AS place FROM ({members})"
 
 
-_DELTA = "2 * sum(x * (below + 0.5 * y)) / (sum(x)::DOUBLE * sum(y)) - 1"
+_DELTA = "2 * sum(x * (below + 0.5 * y)) / nullif(sum(x)::DOUBLE * sum(y), 0) - 1"
 
 
 def _delta_sql(samples: str, by: str = "run") -> str:
@@ -562,73 +569,149 @@ def _(spark, d):
     return rankstats.two_samples(cos, "cos", F.col("is_x"), ["run"]).select("run", "n_x", "n_y", F.round("delta", 6).alias("delta"))
 
 
-@_query("no_note_probe__R15", None)
+_PAIR_COS = lambda members, seed, n=N: f"SELECT run, round({_DOT}(a.vec, b.vec), 9) AS cos FROM ({_cross_sql(members, seed, n)}) p JOIN vec a ON a.row_id = i JOIN vec b ON b.row_id = j"
+_CTE["nm"] = _placed_sql(_members_sql(_CLASSES, "(SELECT g.* FROM gv g JOIN par p USING (row_id) WHERE NOT p.has_note)"), "probe")
+_CTE["ncos"] = _PAIR_COS("SELECT * FROM nm", "probe")
+_ONCE |= {"pm", "pcos", "nm", "ncos"}
+
+
+@_query("no_note_probe__R15", _delta_sql("SELECT 'A-B' AS class, cos, run = 'A-B' AS is_x FROM ncos WHERE run IN ('A-B', 'A-D') UNION ALL SELECT 'As-Bs', cos, run = 'As-Bs' FROM ncos WHERE run IN ('As-Bs', 'As-D')", "class"), "gv", "par", "ncos")
 def _(spark, d):
     g, vec = _with_vectors(spark, d, _grouped(spark, d, "has_note").filter(~F.col("has_note")))
     cos = cut(probe.pair_cosines(sampling.cross_pairs(groups.sides(g, "row_id", _CLASSES), "row_id", N, "probe"), vec, "row_id"), "cosines")
     return probe.against(cos, {"A-B": "A-D", "As-Bs": "As-D"}).select("class", "n_x", "n_y", F.round("delta", 6).alias("delta"))
 
 
+def _deltas_sql(name: str, kinds: str, seed: str, stratified: bool = False) -> str:
+    """`probe.deltas` of the CTE `kinds` (run, kind, row_id); its members and cosines become CTEs of their own."""
+    classes = probe.CLASSES | (probe.STRATIFIED if stratified else {})
+    each = [f"SELECT run || '/{c}' AS run, CASE WHEN kind = '{x}' THEN 0 ELSE 1 END AS side, row_id FROM {kinds} WHERE kind IN ('{x}', '{y}')" for c, (x, y) in classes.items()]
+    _CTE[f"{name}_m"] = _placed_sql(" UNION ALL ".join(each), seed)
+    _CTE[f"{name}_c"] = f"SELECT regexp_extract(run, '^(.*)/..$', 1) AS run, right(run, 2) AS c, cos FROM ({_PAIR_COS(f'SELECT * FROM {name}_m', seed)})"
+    _ONCE.update((kinds, f"{name}_m", f"{name}_c"))
+    of = lambda x, y: _delta_sql(f"SELECT run, cos, c = '{x}' AS is_x FROM {name}_c WHERE c IN ('{x}', '{y}')")
+    if not stratified:
+        return f"SELECT run, n_x AS n_ab, n_y AS n_ad, delta FROM ({of('ab', 'ad')})"
+    return f"SELECT coalesce(p.run, s.run) AS run, coalesce(p.n_x, 0) AS n_ab, coalesce(p.n_y, 0) AS n_ad, p.delta, coalesce(s.n_x, 0) AS n_sb, coalesce(s.n_y, 0) AS n_sd, s.delta AS delta_s FROM ({of('ab', 'ad')}) p FULL JOIN ({of('sb', 'sd')}) s ON p.run = s.run"
+
+
 _CTE["loov"] = "SELECT v, m FROM (SELECT 'full' AS v, person AS m FROM circle UNION ALL SELECT 'minus_' || a.person, b.person FROM circle a JOIN circle b ON a.person <> b.person UNION ALL SELECT 'only_' || person, person FROM circle)"
-_CTE["loom"] = _placed_sql("SELECT v || '/ab' AS run, 1 AS side, row_id FROM (SELECT DISTINCT v, row_id FROM loov JOIN pp ON person = m SEMI JOIN vec USING (row_id)) UNION ALL SELECT v || '/ad', 1, row_id FROM (SELECT DISTINCT v FROM loov), gv WHERE in_d UNION ALL SELECT v || c, 0, row_id FROM (SELECT DISTINCT v FROM loov), gv, (SELECT unnest(['/ab', '/ad']) AS c) WHERE in_a", "loo")
-_NL = 2000
+_CTE["lookinds"] = """SELECT v AS run, unnest(CASE WHEN g.named THEN ['b'] ELSE ['b', 'bs'] END) AS kind, row_id FROM (SELECT DISTINCT v, row_id FROM loov JOIN pp ON person = m) JOIN gv g USING (row_id)
+    UNION ALL SELECT v, unnest(list_filter([CASE WHEN in_a THEN 'a' END, CASE WHEN in_a_s THEN 'as' END, CASE WHEN in_d THEN 'd' END], lambda x: x IS NOT NULL)), row_id FROM (SELECT DISTINCT v FROM loov), gv"""
+_LOO = _deltas_sql("loo", "lookinds", "loo", True)
 
 
-@_query("leave_one_out__R16_G3_G5", "SELECT run AS variant, n_x AS n_ab, n_y AS n_ad, delta FROM (" + _delta_sql(f"SELECT regexp_extract(p.run, '^(.*)/a.$', 1) AS run, round({_DOT}(a.vec, b.vec), 9) AS cos, p.run LIKE '%/ab' AS is_x FROM ({_cross_sql('SELECT * FROM loom', 'loo', _NL)}) p JOIN vec a ON a.row_id = i JOIN vec b ON b.row_id = j") + ")", "loom", "vec")
+@_query("leave_one_out__R16_G3_G5", f"SELECT run AS variant, * EXCLUDE (run) FROM ({_LOO})", "loo_c")
 def _(spark, d):
     circle, _centre = _most_cited(spark, d)
     g, vec = _with_vectors(spark, d, _grouped(spark, d))
-    g = cut(g.select("row_id", "in_a", "in_d"), "grouped")
-    b = groups.leave_one_out(_people(spark, d).withColumnRenamed("person", "item"), circle, "row_id").join(vec.select("row_id"), "row_id", "left_semi")
-    runs = ["full", *(f"minus_{c}" for c in circle), *(f"only_{c}" for c in circle)]
-    each = lambda col, kind: g.filter(col).select(F.explode(F.array(*map(F.lit, runs))).alias("run"), F.lit(kind).alias("kind"), "row_id")
-    members = b.select(F.col("variant").alias("run"), F.lit("b").alias("kind"), "row_id").union(each("in_a", "a")).union(each("in_d", "d"))
-    return probe.deltas(members, vec, "row_id", _NL, "loo").withColumnRenamed("run", "variant")
+    g = cut(g.select("row_id", "in_a", "in_a_s", "in_d", "named"), "grouped")
+    b = groups.leave_one_out(_people(spark, d).withColumnRenamed("person", "item"), circle, "row_id").join(g.select("row_id", "named"), "row_id")
+    runs = F.explode(F.array(*map(F.lit, ["full", *(f"minus_{c}" for c in circle), *(f"only_{c}" for c in circle)]))).alias("run")
+    of = lambda **kinds: F.explode(F.array_compact(F.array(*[F.when(c, k.rstrip("_")) for k, c in kinds.items()]))).alias("kind")
+    fixed = g.select(of(a=F.col("in_a"), as_=F.col("in_a_s"), d=F.col("in_d")), "row_id").select(runs, "kind", "row_id")
+    members = b.select(F.col("variant").alias("run"), of(b=F.lit(True), bs=~F.col("named")), "row_id").unionByName(fixed)
+    return probe.deltas(members, vec, "row_id", N, "loo", stratified=True).withColumnRenamed("run", "variant")
+
+
+@_query("loo_verdict__R18", f"""SELECT CASE WHEN mb >= 0.33 AND abs(f - mb) <= 0.10 AND least_minus >= 0.33 THEN 'robust' WHEN mb < 0.30 OR f - mb > 0.15 THEN 'dependent' ELSE 'intermediate' END AS verdict FROM (
+    SELECT max(delta) FILTER (run = 'full') AS f, max(delta) FILTER (run = 'minus_' || (SELECT person FROM cited WHERE k = 1)) AS mb, min(delta) FILTER (run LIKE 'minus_%') AS least_minus FROM ({_LOO}))""", "loo_c", "cited")
+def _(spark, d):
+    circle, _centre = _most_cited(spark, d)
+    return probe.dependence(_Q["leave_one_out__R16_G3_G5"](spark, d), "variant", circle[0] if circle else "")
+
 
+_SETS = {"all": SEEDS, "absence": ["ausencia", "ausente", "silencio", "olvido"], "writing": ["escritura", "escribir", "escrito", "escrita"], "death": ["muerte", "soledad", "imposible"]}
+_CTE["swk"] = f"""SELECT run, unnest(list_filter([CASE WHEN a THEN 'a' END, CASE WHEN b THEN 'b' END, CASE WHEN NOT a AND NOT b THEN 'd' END], lambda x: x IS NOT NULL)) AS kind, row_id FROM (
+    SELECT row_id, run, a, in_b OR in_c AS b FROM ({" UNION ALL ".join(f"SELECT row_id, '{k}' AS run, regexp_matches(text, '{_TERMS(v)}') AS a FROM par" for k, v in _SETS.items())}) JOIN gv USING (row_id))"""
 
-@_query("seed_set_sweep__R20", None)
+
+@_query("seed_set_sweep__R20", _deltas_sql("sw", "swk", "sweep"), "sw_c")
 def _(spark, d):
     """The probe for several seed sets, each drawn by the same keys."""
     circle, centre = _most_cited(spark, d)
     df, vec = _with_vectors(spark, d, corpus.paragraphs(spark, d, "text", "persons"))
     b = F.arrays_overlap("persons", F.array(*map(F.lit, circle)).cast("array<string>")) | F.array_contains("persons", centre or "")
-    sets = {"all": SEEDS, "absence": ["ausencia", "ausente", "silencio", "olvido"], "writing": ["escritura", "escribir", "escrito", "escrita"], "death": ["muerte", "soledad", "imposible"]}
-    flags = df.select("row_id", b.alias("b"), F.explode(F.array(*[F.struct(F.lit(k).alias("run"), T.has_term(F.col("text"), v).alias("a")) for k, v in sets.items()])).alias("s"))
+    flags = df.select("row_id", b.alias("b"), F.explode(F.array(*[F.struct(F.lit(k).alias("run"), T.has_term(F.col("text"), v).alias("a")) for k, v in _SETS.items()])).alias("s"))
     flags = cut(flags.select("row_id", "b", "s.run", "s.a"), "sets")
     kind = F.explode(F.array_compact(F.array(F.when(F.col("a"), "a"), F.when(F.col("b"), "b"), F.when(~F.col("a") & ~F.col("b"), "d"))))
-    return probe.deltas(flags.select("run", kind.alias("kind"), "row_id"), vec, "row_id", _NL, "sweep")
+    return probe.deltas(flags.select("run", kind.alias("kind"), "row_id"), vec, "row_id", N, "sweep")
+
+
+_CTE["cty"] = "SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS k FROM lp GROUP BY item"
+_CTE["vocab"] = f"SELECT 'seeds' AS run, unnest([{', '.join(repr(x) for x in SEEDS)}]) AS item UNION ALL SELECT 'second', item FROM cty WHERE k BETWEEN 41 AND 44 UNION ALL SELECT 'third', item FROM cty WHERE k BETWEEN 61 AND 66"
+_CTE["signers"] = "SELECT 'seeds' AS run, person FROM circle UNION ALL SELECT 'second', person FROM cited WHERE k BETWEEN 9 AND 11 UNION ALL SELECT 'third', person FROM cited WHERE k BETWEEN 12 AND 13"
+_CTE["dosa"] = "SELECT DISTINCT run, row_id FROM vocab JOIN lp USING (item) SEMI JOIN gv USING (row_id)"
+_CTE["dosb"] = "SELECT DISTINCT run, row_id FROM signers JOIN pp USING (person) SEMI JOIN gv USING (row_id)"
+_CTE["dosk"] = "SELECT run, 'a' AS kind, row_id FROM dosa UNION ALL SELECT run, 'b', row_id FROM dosb UNION ALL SELECT run, 'd', row_id FROM (SELECT run, row_id FROM (SELECT DISTINCT run FROM vocab), gv) ANTI JOIN (FROM dosa UNION ALL FROM dosb) USING (run, row_id)"
+_ONCE |= {"dosa", "dosb"}
+
+
+@_query("dossiers__A25_G4", f"""SELECT run AS dossier, n_a, coalesce(n_b, 0) AS n_b, n_ab, n_ad, delta, dispersion, dominant, matched_vocab, matched_authors FROM ({_deltas_sql("dos", "dosk", "dossiers")}) JOIN (SELECT run, count(*) AS n_a FROM dosa GROUP BY run) USING (run) LEFT JOIN (SELECT run, count(*) AS n_b FROM dosb GROUP BY run) USING (run)
+    JOIN (SELECT run, round(max(k) / sum(k), 6) AS dispersion, arg_max(issue, (k, issue)) AS dominant FROM (SELECT run, issue, count(*) AS k FROM dosa JOIN par USING (row_id) WHERE issue IS NOT NULL GROUP BY ALL) GROUP BY run) USING (run)
+    JOIN (SELECT run, string_agg(item, '|' ORDER BY item) AS matched_vocab FROM vocab SEMI JOIN lp USING (item) GROUP BY run) USING (run) JOIN (SELECT run, string_agg(person, '|' ORDER BY person) AS matched_authors FROM signers SEMI JOIN pp USING (person) GROUP BY run) USING (run)""", "dosk", "dos_c", "vocab", "signers", "par", "lp", "pp")
+def _(spark, d):
+    """Dossiers of lemmas and people: the probe with D as all rows in neither A nor B, and how A spreads over issues."""
+    lem, ppl = _lemmas(spark, d), _people(spark, d)
+    common = [r[0] for r in lem.groupBy("item").count().orderBy(F.desc("count"), "item").limit(66).collect()]
+    cited = [r[0] for r in ppl.groupBy("person").count().orderBy(F.desc("count"), "person").limit(13).collect()]
+    dossiers = {"seeds": (SEEDS, cited[:7]), "second": (common[40:44], cited[8:11]), "third": (common[60:66], cited[11:13])}
+    p, vec = _with_vectors(spark, d, corpus.paragraphs(spark, d, "issue"))
+    return probe.dossiers(cut(p.select("row_id", "issue"), "rows"), lem, ppl.withColumnRenamed("person", "item"), vec, dossiers, "row_id", N, "dossiers")
+
+
+_CTE["thickest"] = "SELECT text_id FROM (SELECT text_id, count(*) AS n FROM par WHERE text_id IS NOT NULL GROUP BY text_id) ORDER BY n DESC, text_id LIMIT 1"
+_CTE["tissue"] = "SELECT arg_max(issue, (n, issue)) AS issue FROM (SELECT issue, count(*) AS n FROM par JOIN thickest USING (text_id) WHERE issue IS NOT NULL GROUP BY issue)"
 
 
-def _shared_pairs(spark, d, post: DataFrame, vec: DataFrame, n: int, seed: str) -> DataFrame:
-    """n pairs that share an item, each such pair as likely as any other; and pairs of any two rows."""
-    post = post.join(vec.select("row_id"), "row_id", "left_semi")
-    shared = sampling.shared_pairs(post, "row_id", post.columns[1], n, seed)
-    base = sampling.within_pairs(vec.select(F.lit("all").alias("run"), "row_id"), "row_id", n, seed)
-    return shared.select(F.lit("shared").alias("run"), "i", "j").union(base.select(F.lit("base").alias("run"), "i", "j"))
+@_query("dossier_rates__G6_A10", """SELECT part, count(*) AS n, round(avg(in_a::INT), 6) AS rate FROM (SELECT unnest(list_filter([CASE WHEN p.text_id = (FROM thickest) THEN 'dossier' WHEN p.issue = (FROM tissue) THEN 'issue_rest' END, CASE WHEN p.text_id IS DISTINCT FROM (FROM thickest) AND NOT in_b THEN 'rest' END], lambda x: x IS NOT NULL)) AS part, in_a FROM par p JOIN grp USING (row_id)) GROUP BY part""", "par", "grp", "thickest", "tissue")
+def _(spark, d):
+    """How often the lexicon stands in the longest text, in the rest of its issue, and in the rest of the corpus without B."""
+    g = cut(_grouped(spark, d, "text_id", "issue").select("row_id", "text_id", "issue", "in_a", "in_b"), "grouped")
+    first = g.filter("text_id IS NOT NULL").groupBy("text_id").count().orderBy(F.desc("count"), "text_id").first()
+    text = first["text_id"] if first else None
+    of = g.filter((F.col("text_id") == text) & F.col("issue").isNotNull()).groupBy("issue").count().orderBy(F.desc("count"), F.desc("issue")).first()
+    parts = groups.dossier_parts(g, F.col("text_id").eqNullSafe(text) & F.col("text_id").isNotNull(), F.col("issue") == (of["issue"] if of else None), F.col("in_b"))
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg(F.col("in_a").cast("int")), 6).alias("rate"))
+
+
+def _shared_test(spark, d, column: str) -> DataFrame:
+    """All pairs of a query row and any other that share a value, against all pairs of a query row and any other."""
+    c = pairs.shared_counts(cut(_pair_rows(spark, d), "rows"), _asked(), column)
+    return probe.counted_table(c, "shared", "base")
+
+
+def _shared_test_sql(column: str) -> str:
+    c = f"SELECT round({_DOT}(a.vec, b.vec), 4) AS cos, list_has_any(a.{column}, b.{column}) AS shared FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.row_id <> b.row_id AND NOT (b.row_id % 100 = 0 AND b.row_id < a.row_id)"
+    both = "SELECT 'shared' AS class, cos FROM sc WHERE shared UNION ALL SELECT 'base', cos FROM sc"
+    d_ = _delta_sql("SELECT 1 AS run, cos, class = 'shared' AS is_x FROM b")
+    return f"WITH sc AS MATERIALIZED ({c}), b AS ({both}), dl AS ({d_}) SELECT class, count(*) AS n_pairs, round(quantile_cont(cos, 0.5), 6) AS median, round(quantile_cont(cos, 0.25), 6) AS iqr_low, round(quantile_cont(cos, 0.75), 6) AS iqr_high, CASE WHEN class = 'base' THEN 0 ELSE max(delta) END AS delta FROM b, dl GROUP BY class"
+
+
+@_query("shared_people_test__R13", f"FROM ({_shared_test_sql('persons')})", "pr")
+def _(spark, d):
+    return _shared_test(spark, d, "persons").drop("p")
 
 
-@_query("shared_people_test__R13_J3_R1")
+@_query("shared_concept_test__R13", f"FROM ({_shared_test_sql('lemmas')})", "pr")
 def _(spark, d):
-    _x, vec = _with_vectors(spark, d, corpus.paragraphs(spark, d))
-    cos = probe.pair_cosines(_shared_pairs(spark, d, _people(spark, d).select("row_id", "person"), vec, N, "people"), vec, "row_id")
-    return probe.class_table(cut(cos, "cosines"), "base")
+    return _shared_test(spark, d, "lemmas").drop("p")
 
 
-@_query("shared_concept_test__R13")
+@_query("shared_people_pairs__J3", "SELECT least(a.row_id, b.row_id) AS i, greatest(a.row_id, b.row_id) AS j, count(*) AS shared FROM pp a JOIN pp b USING (person) WHERE a.row_id % 100 = 0 AND a.row_id <> b.row_id AND NOT (b.row_id % 100 = 0 AND b.row_id < a.row_id) GROUP BY ALL", "pp")
 def _(spark, d):
-    _x, vec = _with_vectors(spark, d, corpus.paragraphs(spark, d))
-    cos = probe.pair_cosines(_shared_pairs(spark, d, _lemmas(spark, d).select("row_id", "item"), vec, N, "concepts"), vec, "row_id")
-    return probe.class_table(cut(cos, "cosines"), "base")
+    """Every pair of a query row and any other that cites a common person, once, with how many they share."""
+    return postings.shared_item_pairs(_people(spark, d).select("row_id", "person"), "row_id", "person", asks=F.col("i") % 100 == 0)
 
 
-_CTE["gc"] = f"SELECT round({_DOT}(a.vec, b.vec), 9) AS cos, round(coalesce(len(list_intersect(a.lemmas, b.lemmas)) / nullif(len(list_distinct(list_concat(a.lemmas, b.lemmas))), 0), 0), 9) AS jac FROM ({_cross_sql(_placed_sql(' UNION ALL '.join(f'SELECT {chr(39)}all{chr(39)} AS run, {s} AS side, row_id FROM pr' for s in (0, 1)), 'graded'), 'graded')}) p JOIN pr a ON a.row_id = i JOIN pr b ON b.row_id = j"
+_CTE["gc"] = f"SELECT round({_DOT}(a.vec, b.vec), 9) AS cos, round(coalesce(len(list_intersect(a.lemmas, b.lemmas)) / nullif(len(list_distinct(list_concat(a.lemmas, b.lemmas))), 0), 0), 9) AS jac FROM ({_cross_sql(_placed_sql(' UNION ALL '.join(f'SELECT {chr(39)}all{chr(39)} AS run, {s} AS side, row_id FROM pr' for s in (0, 1)), 'graded'), 'graded', N_GRADED)}) p JOIN pr a ON a.row_id = i JOIN pr b ON b.row_id = j"
 _BINS = [(-0.001, 0.0, "0"), (0.0, 0.1, "(0, 0.1]"), (0.1, 0.2, "(0.1, 0.2]"), (0.2, 0.4, "(0.2, 0.4]"), (0.4, 1.01, "(0.4, 1]")]
 
 
 def _graded(spark, d) -> DataFrame:
     rows = cut(_pair_rows(spark, d), "rows")
     both = rows.select(F.lit("all").alias("run"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "row_id")
-    at = sampling.cross_pairs(both, "row_id", N, "graded")
+    at = sampling.cross_pairs(both, "row_id", N_GRADED, "graded")
     x, y = rows.select(F.col("row_id").alias("i"), F.col("vec").alias("x"), F.array_distinct("lemmas").alias("p")), rows.select(F.col("row_id").alias("j"), F.col("vec").alias("y"), F.array_distinct("lemmas").alias("q"))
     return at.join(x, "i").join(y, "j").select(F.round(vectors.dot(F.col("x"), F.col("y")), 9).alias("cos"), F.round(T.jaccard(F.col("p"), F.col("q")), 9).alias("jac"))
 
@@ -657,16 +740,19 @@ def _(spark, d):
 
 
 @_query("scale_statistics__A14", """SELECT count(*) AS n_eligible, round(avg(e_cos), 3) AS mean_all, count_if(m1) AS d1_pool, round(count_if(m1) / count(*), 3) AS d1_share, round(avg(e_cos) FILTER (m1), 3) AS d1_mean, round(stddev_pop(e_cos) FILTER (m1), 3) AS d1_sd,
-    count_if(m1 AND e_cos > 0.5) AS d1_gt05, count_if(m1 AND e_cos > 0.6) AS d1_gt06, count_if(m1 AND e_cos > 0.7) AS d1_gt07, count_if(m2) AS d2_pool, round(count_if(m2) / count(*), 4) AS d2_share, round(avg(e_cos) FILTER (m2), 3) AS d2_mean, round(stddev_pop(e_cos) FILTER (m2), 3) AS d2_sd,
+    count_if(m1 AND e_cos > 0.5) AS d1_gt05, count_if(m1 AND e_cos > 0.6) AS d1_gt06, count_if(m1 AND e_cos > 0.7) AS d1_gt07, round(quantile_cont(round(e_cos, 4), 0.999) FILTER (m1), 3) AS d1_p999, round(quantile_cont(round(e_cos, 4), 0.9999) FILTER (m1), 3) AS d1_p9999, count_if(m2) AS d2_pool, round(count_if(m2) / count(*), 4) AS d2_share, round(avg(e_cos) FILTER (m2), 3) AS d2_mean, round(stddev_pop(e_cos) FILTER (m2), 3) AS d2_sd,
     count_if(m2 AND e_cos < 0.25) AS d2_lt025, count_if(m2 AND e_cos < 0.3) AS d2_lt03 FROM (SELECT *, shared_lemmas = 0 AND h_shared = 0 AS m1, shared_lemmas >= 3 AS m2 FROM el)""", "el")
 def _(spark, d):
     return pairs.scale(cut(_pair_rows(spark, d), "rows"), _asked())
 
 
-@_query("pair_correlations__A18_J6", f"SELECT count(*) AS n, round(corr(a, b), 4) AS rho FROM (SELECT {_MID('e_cos')} AS a, {_MID('round(c_jaccard, 9)')} AS b FROM el)", "el")
+@_query("pair_correlations__A18", " UNION ALL ".join(f"SELECT '{name}' AS other, count(*) AS n, round(CASE WHEN NOT isnan(corr(a, b)) THEN corr(a, b) END, 4) AS rho FROM (SELECT {_MID('e')} AS a, {_MID('o')} AS b FROM (SELECT round(e_cos, 4) AS e, {other} AS o FROM el))" for name, other in (("c_jaccard", "round(c_jaccard, 9)"), ("h_shared", "(h_shared > 0)::INT"))), "el")
 def _(spark, d):
-    p = pairs.all_pairs(cut(_pair_rows(spark, d), "rows"), _asked()).withColumn("c_jaccard", F.round("c_jaccard", 9))
-    return rankstats.spearman(p, "e_cos", "c_jaccard").select("n", F.round("rho", 4).alias("rho"))
+    """Rank correlation of the cosine, at four digits, with the overlap of items and with whether people are shared."""
+    c = cut(pairs.value_counts(cut(_pair_rows(spark, d), "rows"), _asked()), "counts")
+    two = F.explode(F.array(F.struct(F.lit("c_jaccard").alias("other"), F.col("c_jaccard").alias("_y")), F.struct(F.lit("h_shared").alias("other"), F.col("h").cast("double").alias("_y")))).alias("s")
+    pair = c.select(F.col("e_cos").alias("_x"), "n", two).groupBy("s.other", "_x", "s._y").agg(F.sum("n").alias("_n"))
+    return rankstats.spearman_of_counts(pair, ["other"]).select("other", "n", F.round("rho", 4).alias("rho"))
 
 
 _NB = "SELECT a.row_id AS i, b.row_id AS j, len(a.lemmas) AS ni, round(list_dot_product(a.vec, b.vec), 9) AS e, len(list_intersect(a.lemmas, b.lemmas)) / (len(a.lemmas) + len(b.lemmas) - len(list_intersect(a.lemmas, b.lemmas))) AS c FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.row_id <> b.row_id AND a.text_id IS DISTINCT FROM b.text_id"
@@ -677,12 +763,15 @@ def _(spark, d):
     return pairs.neighbourhoods(cut(_pair_rows(spark, d), "rows"), _asked())
 
 
-@_query("nearest_outside__O8", f"SELECT i, j, round(e, 6) AS e_cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY e DESC, j) AS rank FROM (SELECT a.row_id AS i, b.row_id AS j, round(list_dot_product(a.vec, b.vec), 9) AS e FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.text_id IS DISTINCT FROM b.text_id)) WHERE rank <= 5", "pr")
+_OUTSIDE = f"SELECT i, j, round(e, 6) AS e_cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY e DESC, j) AS rank FROM (SELECT a.row_id AS i, b.row_id AS j, round(list_dot_product(a.vec, b.vec), 9) AS e FROM pr a JOIN pr b ON a.row_id % 100 = 0 AND a.text_id IS DISTINCT FROM b.text_id)) WHERE rank <= 5"
+
+
+@_query("nearest_outside__O8", _OUTSIDE, "pr")
 def _(spark, d):
     return pairs.neighbours_outside(cut(_pair_rows(spark, d), "rows"), _asked())
 
 
-@_query("neighbour_tally__A33")
+@_query("neighbour_tally__A33", f"SELECT contributor, count(*) AS n FROM ({_OUTSIDE}) JOIN (SELECT row_id AS j, contributor FROM par) USING (j) GROUP BY contributor ORDER BY n DESC, contributor NULLS FIRST LIMIT 8", "pr", "par")
 def _(spark, d):
     n = pairs.neighbours_outside(cut(_pair_rows(spark, d), "rows"), _asked())
     return n.join(corpus.paragraphs(spark, d, "contributor").select(F.col("row_id").alias("j"), "contributor"), "j").groupBy("contributor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "contributor").limit(8)
@@ -690,86 +779,110 @@ def _(spark, d):
 
 # --- nulls --------------------------------------------------------------------------------------------------------
 
-_CTE["nlm"] = _placed_sql(" UNION ALL ".join(f"SELECT run || '/{c}' AS run, CASE WHEN kind = 'a' THEN 0 ELSE 1 END AS side, row_id FROM nls WHERE kind IN ('a', '{c[1]}')" for c in ("ab", "ad")), "null")
-_CTE["nls"] = f"SELECT run, row_id, CASE WHEN p <= 200 THEN 'a' WHEN p <= 300 THEN 'b' ELSE 'd' END AS kind FROM (SELECT run, row_id, row_number() OVER (PARTITION BY run ORDER BY md5('shuffle|' || run || '|' || row_id), row_id) AS p FROM gv, (SELECT unnest(range({RUNS})) AS run)) WHERE p <= 1300"
-_CTE["nld"] = _delta_sql(f"SELECT regexp_extract(p.run, '^(.*)/a.$', 1) AS run, round({_DOT}(a.vec, b.vec), 9) AS cos, p.run LIKE '%/ab' AS is_x FROM ({_cross_sql('SELECT * FROM nlm', 'null', _NL)}) p JOIN vec a ON a.row_id = i JOIN vec b ON b.row_id = j")
+_RUNS = f"(SELECT unnest(range({RUNS})) AS run)"
+_CTE["nlk"] = f"SELECT run, row_id, CASE WHEN p <= na THEN 'a' WHEN p <= na + nb THEN 'b' ELSE 'd' END AS kind FROM (SELECT run, row_id, row_number() OVER (PARTITION BY run ORDER BY md5('shuffle|' || run || '|' || row_id)) AS p FROM gv, {_RUNS}), (SELECT count_if(in_a) AS na, count_if(in_b) AS nb FROM gv)"
+_NULL = _deltas_sql("nl", "nlk", "null")
 
 
-@_query("label_null__R4", "SELECT run, n_x AS n_ab, n_y AS n_ad, delta FROM nld", "nld")
+@_query("label_null__R4", _NULL, "nl_c")
 def _(spark, d):
+    """Fake groups as large as the real A and B, all other rows being D."""
     g, vec = _with_vectors(spark, d, _grouped(spark, d))
-    return probe.deltas(cut(resample.shuffled_labels(g, "row_id", 200, 100, 1000, RUNS, "shuffle"), "labels"), vec, "row_id", _NL, "null")
+    g = cut(g.select("row_id", "in_a", "in_b"), "grouped")
+    n = g.agg(F.count_if("in_a").alias("a"), F.count_if("in_b").alias("b")).first()
+    return probe.deltas(resample.shuffled_labels(g, "row_id", n["a"], n["b"], RUNS, "shuffle"), vec, "row_id", N, "null")
 
 
-@_query("null_verdict__R18", "SELECT count(delta) AS n_runs, round(avg(delta), 6) AS mean, round(stddev_pop(delta), 6) AS sd, round(quantile_cont(delta, 0.05), 6) AS low, round(quantile_cont(delta, 0.95), 6) AS high, CASE WHEN abs(round(avg(delta), 6)) < 0.05 THEN 'calibrated' WHEN abs(round(avg(delta), 6)) < 0.1 THEN 'drifting' ELSE 'biased' END AS verdict FROM nld", "nld")
+_SUMMARY = "count(delta) AS n_runs, round(avg(delta), 6) AS mean, round(stddev_pop(delta), 6) AS sd, round(quantile_cont(delta, 0.05), 6) AS low, round(quantile_cont(delta, 0.95), 6) AS high"
+
+
+@_query("null_verdict__R18", f"SELECT {_SUMMARY}, round(median(abs(delta)), 6) AS median_abs, CASE WHEN median(abs(delta)) < 0.05 THEN 'passes' WHEN median(abs(delta)) > 0.1 THEN 'fails' ELSE 'marginal' END AS verdict FROM ({_NULL})", "nl_c")
 def _(spark, d):
-    return probe.null_summary(_Q["label_null__R4"](spark, d))
+    return probe.null_summary(cut(_Q["label_null__R4"](spark, d), "null"))
 
 
-def _as_large(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(run, kind, row_id) of fake groups as large as the real A and B, all other rows being D; and the vectors."""
-    g, vec = _with_vectors(spark, d, _grouped(spark, d))
-    g = cut(g.select("row_id", "in_a", "in_b"), "grouped")
-    n = g.agg(F.count_if("in_a").alias("a"), F.count_if("in_b").alias("b")).first()
-    return cut(resample.relabelled(g, "row_id", n["a"], n["b"], RUNS, "shuffle"), "labels"), vec
+def _matched_sql(name: str, targets: str, pool: str, nearest: int, seed: str) -> None:
+    """CTE `name` (run, item): an item drawn per run from the pool matched to each target, as `resample` does it."""
+    band = f"SELECT target, item FROM {targets} t JOIN {pool} p ON p.n >= t.n * 0.5 AND p.n <= t.n * 2"
+    near = f"SELECT target, item FROM (SELECT target, item, row_number() OVER (PARTITION BY target ORDER BY abs(p.n - t.n), item) AS r FROM (SELECT * FROM {targets} ANTI JOIN ({band}) USING (target)) t, {pool} p)" + (f" WHERE r <= {nearest}" if nearest else "")
+    _CTE[name] = f"SELECT run, item FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY item) - 1 AS place, count(*) OVER (PARTITION BY target) AS size FROM ({band} UNION ALL {near})), {_RUNS} WHERE place = ('0x' || substr(md5('{seed}|' || run || '|' || target), 1, 8))::BIGINT % size"
+    _ONCE.add(name)
 
 
-@_query("label_null_as_large__R4")
-def _(spark, d):
-    """`label_null` and its SQL have groups of 200, 100 and 1,000 rows whatever the corpus; here they are those of the probe."""
-    return probe.deltas(*_as_large(spark, d), "row_id", _NL, "null")
+_CTE["tokn"] = "SELECT item, count(*) AS n FROM tok GROUP BY item"
+_CTE["lext"] = f"SELECT target, coalesce(n, 0) AS n FROM (SELECT unnest([{', '.join(repr(x) for x in SEEDS)}]) AS target) LEFT JOIN tokn ON item = target"
+_CTE["lexp"] = f"SELECT * FROM tokn WHERE item NOT IN (SELECT word FROM function_words) AND item NOT IN ({', '.join(repr(x) for x in SEEDS)})"
+_CTE["aut"] = "SELECT person AS target, count(*) AS n FROM pp SEMI JOIN circle USING (person) GROUP BY person"
+_CTE["aup"] = "SELECT person AS item, count(*) AS n FROM pp WHERE person NOT IN (FROM circle UNION ALL FROM centre) GROUP BY person HAVING count(*) >= 5"
+_ONCE |= {"tokn", "lexp", "aup"}
+_matched_sql("lexd", "lext", "lexp", 50, "lexicon")
+_matched_sql("autd", "aut", "aup", 30, "authors")
+_matched_sql("alld", "aut", "aup", 0, "authors")
+_DRAWN = {"lexa": ("lexd", "tok", "item"), "auta": ("autd", "pp", "person"), "alla": ("alld", "pp", "person")}
+for _name, (_draw, _post, _col) in _DRAWN.items():
+    _CTE[_name] = f"SELECT DISTINCT run, row_id FROM {_draw} JOIN {_post} ON {_post}.{_col} = {_draw}.item SEMI JOIN gv USING (row_id)"
+    _ONCE.add(_name)
+_fixed = lambda flag: f"SELECT run, row_id FROM gv, {_RUNS} WHERE {flag}"
 
 
-@_query("null_verdict_as_large__R18")
-def _(spark, d):
-    return probe.null_summary(_Q["label_null_as_large__R4"](spark, d))
+def _null_sql(name: str, a: str, b: str) -> str:
+    _CTE[f"{name}k"] = f"SELECT run, 'a' AS kind, row_id FROM ({a}) UNION ALL SELECT run, 'b', row_id FROM ({b}) UNION ALL SELECT run, 'd', row_id FROM (SELECT run, row_id FROM gv, {_RUNS} WHERE NOT in_c) ANTI JOIN ({a} UNION ALL {b}) USING (run, row_id)"
+    return _deltas_sql(name, f"{name}k", "matched")
 
 
-def _kinds(base: DataFrame, a: DataFrame, b: DataFrame, runs: int) -> DataFrame:
-    """(run, kind, row_id): per run the rows of A and B, and as D the rest of (row_id, in_c) without C."""
-    run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
-    marks = a.select("run", "row_id", F.lit("a").alias("kind")).union(b.select("run", "row_id", F.lit("b").alias("kind")))
-    rest = base.filter("NOT in_c").select(run, "row_id").join(marks.select("run", "row_id"), ["run", "row_id"], "left_anti")
-    return marks.join(base.select("row_id"), "row_id", "left_semi").select("run", "kind", "row_id").union(rest.select("run", F.lit("d").alias("kind"), "row_id"))
+_LEX, _AUT, _DBL = _null_sql("lx", "FROM lexa", _fixed("in_b")), _null_sql("au", _fixed("in_a"), "FROM auta"), _null_sql("db", "FROM lexa", "FROM alla")
 
 
 def _null(spark, d, random_a: bool, random_b: bool, nearest: int) -> DataFrame:
+    """Deltas of runs in which A, B or both are the rows of matched random words or people, row by row; D is what is left, without C."""
     circle, centre = _most_cited(spark, d)
-    g, vec = _with_vectors(spark, d, _grouped(spark, d))
-    g = cut(g.select("row_id", "in_a", "in_b", "in_c"), "grouped")
-    run = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run")
-    a, b = g.filter("in_a").select(run, "row_id"), g.filter("in_b").select(run, "row_id")
+    g = _grouped(spark, d, *(["text"] if random_a else []), *(["persons"] if random_b else []))
+    g, vec = _with_vectors(spark, d, g)
+    keep = ["row_id", "in_a", "in_b", "in_c", *(["persons"] if random_b else [])]
+    g = cut(g.select(*keep, *([T.words(F.col("text")).alias("tokens")] if random_a else [])), "grouped")
+    every = F.sequence(F.lit(0), F.lit(RUNS - 1))
+    a, b = (F.when(F.col(c), every).otherwise(F.array().cast("array<int>")) for c in ("in_a", "in_b"))
     if random_a:
-        tok = cut(_tokens(spark, d), "tokens")
-        n = postings.frequency(tok)
-        pool = postings.candidates(tok, table(spark, d, "function_words").select(F.col("word").alias("item")).distinct(), SEEDS).withColumnRenamed("n_rows", "n")
-        seeds = spark.createDataFrame([(s,) for s in SEEDS], "target string").join(n.withColumnRenamed("item", "target"), "target", "left").select("target", F.coalesce("n_rows", F.lit(0)).alias("n"))
-        a = resample.drawn_rows(resample.drawn(cut(resample.matched_pools(seeds, pool), "pools"), RUNS, "lexicon"), tok, "row_id")
+        n = cut(postings.frequency(_tokens(spark, d)).withColumnRenamed("n_rows", "n"), "tokens")
+        pool = n.join(table(spark, d, "function_words").select(F.col("word").alias("item")).distinct(), "item", "left_anti").filter(~F.col("item").isin(SEEDS))
+        seeds = spark.createDataFrame([(s,) for s in SEEDS], "target string").join(n.withColumnRenamed("item", "target"), "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("n"))
+        a = resample.runs_of(F.col("tokens"), resample.drawn(resample.matched_pools(seeds, pool), RUNS, "lexicon"))
     if random_b:
-        post = cut(_people(spark, d).withColumnRenamed("person", "item"), "people")
-        n = postings.frequency(post).withColumnRenamed("n_rows", "n")
+        n = cut(postings.frequency(_people(spark, d), "person", "n").withColumnRenamed("person", "item"), "people")
         pool = n.filter((F.col("n") >= 5) & ~F.col("item").isin([*circle, centre or ""]))
         targets = n.filter(F.col("item").isin(circle)).withColumnRenamed("item", "target")
-        b = resample.drawn_rows(resample.drawn(cut(resample.matched_pools(targets, pool, nearest=nearest), "pools"), RUNS, "authors"), post, "row_id")
-    return probe.deltas(cut(_kinds(g, a, b, RUNS), "kinds"), vec, "row_id", _NL, "matched")
+        b = resample.runs_of(F.col("persons"), resample.drawn(resample.matched_pools(targets, pool, nearest=nearest), RUNS, "authors"))
+    return probe.deltas(cut(resample.kinds(g, "row_id", a, b, F.col("in_c"), RUNS), "kinds"), vec, "row_id", N, "matched")
 
 
-@_query("lexicon_null__R5_J10_O13")
+@_query("lexicon_null__R5_J10_O13", _LEX, "lx_c")
 def _(spark, d):
     return _null(spark, d, True, False, 50)
 
 
-@_query("author_null__R6_J10")
+@_query("author_null__R6_J10", _AUT, "au_c")
 def _(spark, d):
     return _null(spark, d, False, True, 30)
 
 
-@_query("double_random__R7")
+@_query("double_random__R7", _DBL, "db_c")
 def _(spark, d):
     return _null(spark, d, True, True, 0)
 
 
-@_query("factor_table__A31")
+_SEEN = _delta_sql("SELECT 'probe' AS run, cos, run = 'A-B' AS is_x FROM pcos WHERE run IN ('A-B', 'A-D')")
+
+
+@_query("author_verdict__R18", f"SELECT {_SUMMARY}, round(avg((delta >= seen)::INT), 6) AS share_at_least, CASE WHEN any_value(seen) > quantile_cont(delta, 0.95) THEN 'special' WHEN any_value(seen) < quantile_cont(delta, 0.05) THEN 'below null' ELSE 'generic' END AS verdict FROM ({_AUT}), (SELECT delta AS seen FROM ({_SEEN}))", "au_c", "pcos")
+def _(spark, d):
+    seen = _Q[FLAGSHIP](spark, d).first()
+    return probe.standing(cut(_Q["author_null__R6_J10"](spark, d), "null"), seen["delta"] if seen else None)
+
+
+_MEAN = lambda name, q: f"(SELECT avg(delta) AS {name} FROM ({q}))"
+
+
+@_query("factor_table__A31", f"SELECT delta, round(lx, 6) AS random_lexicon, round(au, 6) AS random_authors, round(db, 6) AS random_both, round(lx + au - db, 6) AS additive, round(delta - (lx + au - db), 6) AS synergy FROM ({_SEEN}), {_MEAN('lx', _LEX)}, {_MEAN('au', _AUT)}, {_MEAN('db', _DBL)}", "pcos", "lx_c", "au_c", "db_c")
 def _(spark, d):
     """Means of the three nulls beside the probe: what each factor adds, and what only both together do."""
     m = lambda *a: F.lit(_null(spark, d, *a).agg(F.avg("delta")).first()[0])
@@ -779,47 +892,58 @@ def _(spark, d):
     return seen.select("delta", r(lex, "random_lexicon"), r(aut, "random_authors"), r(both, "random_both"), r(lex + aut - both, "additive"), r(F.col("delta") - (lex + aut - both), "synergy"))
 
 
-@_query("set_null__R9")
+_CTE["cset"] = f"SELECT run, row_id, vec FROM (SELECT run, row_id, vec, row_number() OVER (PARTITION BY run ORDER BY md5('sets|' || run || '|' || row_id)) AS p FROM gv, {_RUNS} WHERE NOT in_b) WHERE p <= greatest(1, (SELECT count_if(in_c) FROM gv)) UNION ALL SELECT -1, row_id, vec FROM gv WHERE in_c"
+
+
+@_query("set_null__R9", "SELECT run, round(sum(s * t) / (max(n_a) * max(n_b)), 6) AS mean_cos FROM (SELECT run, dim, sum(x) AS s, count(*) AS n_a FROM (SELECT run, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM cset) GROUP BY ALL) JOIN (SELECT dim, sum(x) AS t, count(*) AS n_b FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM gv WHERE in_b) GROUP BY ALL) USING (dim) GROUP BY run", "gv", "cset")
 def _(spark, d):
-    """Mean cosine to the circle of random sets as large as the C group, against that of C."""
+    """Mean cosine to the circle of random sets as large as the C group, and as run -1 that of C."""
     g, vec = _with_vectors(spark, d, _grouped(spark, d))
     g = cut(g.select("row_id", "in_b", "in_c").join(vec, "row_id"), "grouped")
     n = max(1, g.filter("in_c").count())
-    sets = sampling.order_of_runs(g.filter("NOT in_b"), RUNS, "sets", "row_id", n).join(g.select("row_id", "vec"), "row_id")
-    nulls = vectors.mean_cross_cosine(sets, g.filter("in_b"), by=["run"]).select("run", F.round("mean_cos", 6).alias("mean_cos"))
-    seen = vectors.mean_cross_cosine(g.filter("in_c").withColumn("run", F.lit(-1)), g.filter("in_b"), by=["run"]).select("run", F.round("mean_cos", 6).alias("mean_cos"))
-    return nulls.union(seen)
+    sets = resample.random_sets(g.filter("NOT in_b").select("row_id", "vec"), "row_id", n, RUNS, "sets").select("run", "vec")
+    both = sets.union(g.filter("in_c").select(F.lit(-1).alias("run"), "vec"))
+    return vectors.mean_cross_cosine(both, g.filter("in_b"), by=["run"]).select("run", F.round("mean_cos", 6).alias("mean_cos"))
 
 
-_CTE["labelled"] = "SELECT p.row_id, p.text_id, p.ana_gold, v.vec FROM par p JOIN vec v USING (row_id) WHERE len(p.ana_gold) > 0"
-_GOLD = 400
+_CTE["labelled"] = "SELECT p.row_id, p.ana_gold AS labels, v.vec, list_distinct(l.lemmas) AS open, list_intersect(list_distinct(list_transform(l.lemmas, lambda x: 'ana_' || x)), (SELECT list(label) FROM labs)) AS closed FROM par p JOIN vec v USING (row_id) JOIN lay l USING (row_id) WHERE len(p.ana_gold) > 0"
+_JAC = lambda c: f"round(coalesce(len(list_intersect(a.{c}, b.{c})) / nullif(len(list_distinct(list_concat(a.{c}, b.{c}))), 0), 0), 4)"
+_CTE["lpair"] = f"SELECT a.row_id AS i, b.row_id AS j, list_has_any(a.labels, b.labels) AS same, unnest([{{'layer': 'E', 'v': round({_DOT}(a.vec, b.vec), 4)}}, {{'layer': 'C-open', 'v': {_JAC('open')}}}, {{'layer': 'C-closed', 'v': {_JAC('closed')}}}], recursive := true) FROM labelled a JOIN labelled b ON a.row_id < b.row_id"
+_CTE["lrank"] = "SELECT *, rank() OVER (PARTITION BY layer ORDER BY v) + (count(*) OVER (PARTITION BY layer, v) - 1) / 2 AS mid FROM lpair"
+_CTE["lperm"] = f"SELECT run, f.row_id, d.labels FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS p FROM labelled) f JOIN (SELECT run, labels, row_number() OVER (PARTITION BY run ORDER BY md5('deal|' || run || '|' || row_id)) AS p FROM labelled, (SELECT unnest(range({N_PERM})) AS run)) d USING (p)"
+_RECOVERED = "SELECT layer, count_if(same) AS n_x, count_if(NOT same) AS n_y, round(coalesce(2 * (sum(mid) FILTER (same) - count_if(same) * (count_if(same) + 1) / 2) / nullif(count_if(same)::DOUBLE * count_if(NOT same), 0) - 1, 0), 6) AS delta FROM {0} GROUP BY {1}"
 
 
-@_query("label_recovery__R8_J6_J12_T16", _delta_sql(f"SELECT 'seen' AS run, round({_DOT}(a.vec, b.vec), 4) AS cos, list_has_any(a.ana_gold, b.ana_gold) AS is_x FROM (SELECT * FROM labelled ORDER BY md5('gold|' || row_id), row_id LIMIT {_GOLD}) a JOIN (SELECT * FROM labelled ORDER BY md5('gold|' || row_id), row_id LIMIT {_GOLD}) b ON a.row_id < b.row_id"), "labelled")
+@_query("label_recovery__R8_J6_J12", _RECOVERED.format("lrank", "layer"), "lrank")
 def _(spark, d):
-    g = _labelled(spark, d)
-    counts = pairs.label_counts(g, "row_id", g.select(F.lit("seen").alias("run"), "row_id", "ana_gold"), "ana_gold")
-    return rankstats.of_counts(counts, ["run"]).select("run", "n_x", "n_y", F.round("delta", 6).alias("delta"))
+    """Whether pairs of labelled rows that share a label are more similar, in each layer: vectors, lemmas, predicted labels."""
+    return evaluation.recovery(pairs.label_counts(_labelled(spark, d), "row_id", "labels"))
 
 
 def _labelled(spark, d) -> DataFrame:
-    """All labelled rows that have a vector."""
-    g = corpus.paragraphs(spark, d, "ana_gold").filter(F.size("ana_gold") > 0).join(corpus.vectors(spark, d).select("row_id", "vec"), "row_id")
-    return cut(g, "gold")
+    """All labelled rows that have a vector, with their lemmas and predicted labels."""
+    g = _evaluated(spark, d).select("row_id", F.col("ana_gold").alias("labels"), F.col("lemmas").alias("open"), F.col("predicted").alias("closed"))
+    return cut(g.join(corpus.paragraphs(spark, d), "row_id").join(corpus.vectors(spark, d).select("row_id", "vec"), "row_id"), "gold")
+
+
+_NULLS = "SELECT layer, run, round(coalesce(2 * (sum(mid) FILTER (s) - count_if(s) * (count_if(s) + 1) / 2) / nullif(count_if(s)::DOUBLE * count_if(NOT s), 0) - 1, 0), 6) AS delta FROM (SELECT layer, p.run, mid, list_has_any(p.labels, q.labels) AS s FROM lrank JOIN lperm p ON p.row_id = i JOIN lperm q ON q.row_id = j AND q.run = p.run) GROUP BY layer, run"
 
 
-@_query("permutation_null__R8")
+@_query("permutation_null__R8_T16", f"""SELECT layer, any_value(seen.delta) AS delta, count(*) AS n_runs, round(avg(n.delta), 6) AS null_mean, round(stddev_samp(n.delta), 6) AS null_sd, round(coalesce((any_value(seen.delta) - avg(n.delta)) / nullif(stddev_samp(n.delta), 0), 0), 3) AS z, round(avg((abs(n.delta) >= abs(seen.delta))::INT), 4) AS p
+    FROM ({_NULLS}) n JOIN ({_RECOVERED.format('lrank', 'layer')}) seen USING (layer) GROUP BY layer""", "lrank", "lperm")
 def _(spark, d):
+    """Each layer's delta beside those of N_PERM permutations of the labels."""
     g = _labelled(spark, d)
-    deals = resample.permuted(g, "row_id", "ana_gold", RUNS, "deal")
-    null = rankstats.of_counts(pairs.label_counts(g, "row_id", deals, "ana_gold"), ["run"])
-    return null.select(F.col("run").cast("int").alias("run"), "n_x", "n_y", F.round(F.coalesce("delta", F.lit(0.0)), 6).alias("delta"))
+    seen = cut(pairs.label_counts(g, "row_id", "labels"), "counts")
+    deals = resample.permuted(g, "row_id", "labels", N_PERM, "deal")
+    sums = pairs.permuted_sums(g, "row_id", deals, "labels", evaluation.mid_ranks(seen), N_PERM)
+    return evaluation.permutation_test(seen, sums)
 
 
-@_query("sample_corpus__R10_R3", "SELECT row_id FROM (SELECT row_id, in_d, row_number() OVER (PARTITION BY in_d ORDER BY md5('fill|' || row_id), row_id) AS k, count_if(NOT in_d) OVER () AS kept FROM grp) WHERE NOT in_d OR k <= 2000 - kept", "grp")
+@_query("sample_corpus__R10_R3", f"SELECT row_id FROM (SELECT row_id, in_d, row_number() OVER (PARTITION BY in_d ORDER BY md5('fill|' || row_id), row_id) AS k, count_if(NOT in_d) OVER () AS kept FROM grp) WHERE NOT in_d OR k <= {CAP} - kept", "grp")
 def _(spark, d):
     g = cut(_grouped(spark, d).select("row_id", "in_d"), "grouped")
-    return sampling.keep_and_fill(g, ~F.col("in_d"), 2000, "fill", "row_id").select("row_id")
+    return sampling.keep_and_fill(g, ~F.col("in_d"), CAP, "fill", "row_id").select("row_id")
 
 
 # --- clusters and figures -----------------------------------------------------------------------------------------
@@ -865,18 +989,23 @@ def _(spark, d):
 _CTE["imap"] = _map_sql("issue", "isf")
 
 
-@_query("issue_heatmap__X1_X6", "SELECT item, " + ", ".join(f"round(avg(log_odds) FILTER (issue = '{g}'), 6) AS \"{g}\"" for g in ISSUES) + " FROM imap GROUP BY item", "lp", "lf", "isf", "tot", "imap")
+@_query("issue_heatmap__X1_X6", "SELECT item, " + ", ".join(f"round(avg(log_odds) FILTER (issue = '{g}'), 6) AS \"{g}\"" for g in ISSUES) + " FROM imap SEMI JOIN (SELECT item FROM imap WHERE significant ORDER BY log_odds DESC, item, issue LIMIT 25) USING (item) GROUP BY item", "lp", "lf", "isf", "tot", "imap")
 def _(spark, d):
-    return figures.heatmap(_Q["concept_issue_map__A7"](spark, d), "item", "issue", "log_odds", ISSUES)
+    """The log odds by issue of the lemmas of the 25 strongest significant cells."""
+    m = cut(_Q["concept_issue_map__A7"](spark, d), "map")
+    return figures.heatmap(figures.of_leading(m, "item", 25, F.col("significant"), F.col("log_odds").desc(), F.col("item"), F.col("issue")), "item", "issue", "log_odds", ISSUES)
 
 
-@_query("leading_cells__X2_X4_O9", "SELECT item, issue, log_odds, (SELECT max(abs(log_odds)) FROM imap) AS \"limit\" FROM imap WHERE log_odds > 0 ORDER BY log_odds DESC, item, issue LIMIT 30", "lp", "lf", "isf", "tot", "imap")
+@_query("leading_cells__X2_X4_O9", "SELECT item, issue, log_odds, (SELECT max(abs(log_odds)) FROM imap) AS \"limit\" FROM imap WHERE significant ORDER BY log_odds DESC, item, issue LIMIT 30", "lp", "lf", "isf", "tot", "imap")
 def _(spark, d):
     m = cut(_Q["concept_issue_map__A7"](spark, d), "map")
-    return figures.leading(m, 30, F.col("log_odds") > 0, F.col("log_odds").desc(), F.col("item"), F.col("issue")).join(figures.colour_limit(m, "log_odds")).select("item", "issue", "log_odds", "limit")
+    return figures.leading(m, 30, F.col("significant"), F.col("log_odds").desc(), F.col("item"), F.col("issue")).join(figures.colour_limit(m, "log_odds")).select("item", "issue", "log_odds", "limit")
+
 
+_STRONGEST = lambda way, order: f"(SELECT * FROM ({_TREND}) WHERE direction = '{way}' ORDER BY z {order}, item LIMIT 8)"
 
-@_query("trajectories__X3", None)
+
+@_query("trajectories__X3", f"SELECT item, direction, unnest([{', '.join(repr(g) for g in ISSUES)}]) AS issue, unnest([{', '.join(f'share_{i}' for i in range(1, 6))}]) AS share FROM (SELECT * FROM {_STRONGEST('rising', 'DESC')} UNION ALL SELECT * FROM {_STRONGEST('falling', 'ASC')})", "lp", "lf", "par")
 def _(spark, d):
     return figures.trajectories(cut(_trends(spark, d), "trends"), 8, "item", ISSUES)
 
@@ -886,9 +1015,17 @@ def _(spark, d):
     return _Q["profile__A23_O12"](spark, d).filter("dim = 'region'").select("bucket", "n_figures")
 
 
-@_query("cosine_histogram__X10", "SELECT least(floor((e_cos + 1) / (2.0 / 120)) + 1, 120)::INT AS bin, count(*) AS n FROM el GROUP BY ALL", "el")
+_BIN = lambda x, low, high, k: f"least(floor(({x} - {low}) / (({high} - {low}) / {k})) + 1, {k})::INT"
+
+
+@_query("cosine_histograms__X10", " UNION ALL ".join(f"SELECT '{part}' AS part, {_BIN('e_cos', -1.0, 1.0, k)} AS bin, count(*) AS n FROM el WHERE {cond} GROUP BY ALL" for part, k, cond in (("all", 120, "true"), ("E_high_surface_zero", 120, "shared_lemmas = 0 AND h_shared = 0"), ("C_high_E_low", 60, "shared_lemmas >= 3"))), "el")
+def _(spark, d):
+    return pairs.histograms(cut(_pair_rows(spark, d), "rows"), _asked())
+
+
+@_query("layer_grid__X10", f"SELECT {_BIN('e_cos', -1.0, 1.0, 60)} AS bin_x, {_BIN('round(c_jaccard, 9)', 0.0, 1.0, 60)} AS bin_y, count(*) AS n FROM el GROUP BY ALL", "el")
 def _(spark, d):
-    return figures.histogram(pairs.all_pairs(cut(_pair_rows(spark, d), "rows"), _asked()), "e_cos", -1.0, 1.0, 120)
+    return pairs.grid(cut(_pair_rows(spark, d), "rows"), _asked())
 
 
 @_query("event_windows__streaming", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -20,9 +20,10 @@ def _offsets(df: DataFrame, value: Column, start: float = 0, reverse: bool = Fal
 
 
 def _of(values: dict, default) -> Column:
+    """The value of the row's part: an array indexed by part, not a map that each row would search."""
     if not values:
         return F.lit(default)
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("_part"))
+    return F.coalesce(F.get(F.array(*[F.lit(values.get(k, default)) for k in range(max(values) + 1)]), F.col("_part")), F.lit(default))
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -37,6 +38,18 @@ def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return parts.withColumn(name, place + _of(before, 0)).drop("_part")
 
 
+def running(df: DataFrame, *order: Column, amount: str, name: str) -> DataFrame:
+    """`df` with the running sum of `amount` in a total order, without gathering it in one task. No two rows may tie."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = _offsets(parts, F.sum(amount), 0)
+    upto = F.sum(amount).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return parts.withColumn(name, upto + _of(before, 0)).drop("_part")
+
+
+#: Tests of one part of a false-discovery pass.
+TESTS = 1 << 20
+
+
 def false_discovery(df: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
     """`df` with Benjamini-Hochberg q over all its rows: p x m / rank, made monotone from the largest p down, at most 1.
 
@@ -47,8 +60,7 @@ def false_discovery(df: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
     m = ranked.count()
     raw = F.col(p) * F.lit(m) / F.col("_rank")
     # rows of one file need not stay together: parts are made anew by rank
-    width = max(1, m // 64 + 1)
-    ranked = ranked.drop("_part").withColumn("_part", ((F.col("_rank") - 1) / width).cast("int")).withColumn("_raw", raw)
+    ranked = ranked.drop("_part").withColumn("_part", F.floor((F.col("_rank") - 1) / TESTS).cast("int")).withColumn("_raw", raw)
     later = _offsets(ranked, F.min("_raw"), 1.0, reverse=True)
     down = F.min("_raw").over(W.partitionBy("_part").orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, 0))
     out = ranked.withColumn(q, F.least(down, _of(later, 1.0), F.lit(1.0))).drop("_rank", "_raw", "_part")

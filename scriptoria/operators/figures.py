@@ -23,6 +23,11 @@ def leading(df: DataFrame, k: int, condition: Column, *order: Column) -> DataFra
     return top(df.filter(condition), k, *order)
 
 
+def of_leading(df: DataFrame, name: str, k: int, condition: Column, *order: Column) -> DataFrame:
+    """All rows of the names that the first k rows meeting a condition have."""
+    return df.join(F.broadcast(leading(df, k, condition, *order).select(name).distinct()), name, "left_semi")
+
+
 def trajectories(trends: DataFrame, k: int, item: str, groups: list[str]) -> DataFrame:
     """(item, direction, issue, share): the k strongest rises and falls in long form."""
     rise = leading(trends, k, F.col("direction") == "rising", F.col("z").desc(), F.col(item))

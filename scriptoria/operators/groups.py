@@ -36,6 +36,16 @@ def leave_one_out(post: DataFrame, members: list[str], key: str, name: str = "it
     return post.join(F.broadcast(wanted), name).select("variant", key).distinct()
 
 
+def dossier_parts(df: DataFrame, dossier: Column, issue: Column, b: Column) -> DataFrame:
+    """`df` with part: 'dossier', 'issue_rest' (its issue without it) and 'rest' (all rows in neither the dossier nor B).
+
+    A row can be in two parts: the last two overlap. Null conditions count as false.
+    """
+    no = lambda c: F.coalesce(c, F.lit(False))
+    parts = F.array(F.when(no(dossier), "dossier").when(no(issue), "issue_rest"), F.when(~no(dossier) & ~no(b), "rest"))
+    return df.withColumn("part", F.explode(F.array_compact(parts)))
+
+
 def compared(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """(item, part): whether each item is in both lists or in the left or right only."""
     both = left.select(name).distinct().withColumn("l", F.lit(True)).join(right.select(name).distinct().withColumn("r", F.lit(True)), name, "full")

@@ -62,6 +62,10 @@ class Block:
                 out[k] = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo[s], hi[s])]), minlength=len(b))
         return out
 
+    def others(self) -> np.ndarray:
+        """Pairs of a query and any other row; of two queries only i < j."""
+        return (self.i[:, None] != self.j[None, :]) & ~(self.asked[None, :] & (self.j[None, :] < self.i[:, None]))
+
     def eligible(self, apart: int = 1) -> np.ndarray:
         """Pairs of different texts, more than `apart` rows apart, with items on both sides; of two queries only i < j."""
         ok = (self.text_i[:, None] != self.text_j[None, :]) & (np.abs(self.i[:, None] - self.j[None, :]) > apart)
@@ -121,7 +125,10 @@ def hotspots(rows: DataFrame, is_query: Column, k: int = 200, least_shared: int
 
 
 def scale(rows: DataFrame, is_query: Column, least_shared: int = 3) -> DataFrame:
-    """One row: counts, means, population sd and tails of the two directions over all eligible pairs of the query rows."""
+    """One row: counts, means, population sd, tails and high percentiles of the two directions over all eligible pairs of the query rows.
+
+    Percentiles are those of cosines at four digits, which are counted per value.
+    """
 
     def sums(b: Block) -> pa.Table:
         ok = b.eligible()
@@ -134,13 +141,16 @@ def scale(rows: DataFrame, is_query: Column, least_shared: int = 3) -> DataFrame
 
     names = ["n", "s", "n1", "s1", "q1", "gt05", "gt06", "gt07", "n2", "s2", "q2", "lt025", "lt03"]
     t = blocked(rows, is_query, sums, ", ".join(f"{c} double" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names])
+    bare = _summed(value_counts(rows, is_query).filter("c_jaccard = 0 AND NOT h"), "e_cos")
+    high = bare.agg(*[F.round(F.percentile("e_cos", q, F.col("n")), 3).alias(k) for k, q in (("d1_p999", 0.999), ("d1_p9999", 0.9999))])
+    t = t.join(high)
     c = F.col
     mean = lambda s, n: F.try_divide(c(s), c(n))
     sd = lambda s, q, n: F.sqrt(F.greatest(F.try_divide(c(q), c(n)) - mean(s, n) * mean(s, n), F.lit(0.0)))
     i = lambda x, name: c(x).cast("long").alias(name)
     return t.select(
         i("n", "n_eligible"), F.round(mean("s", "n"), 3).alias("mean_all"), i("n1", "d1_pool"), F.round(mean("n1", "n"), 3).alias("d1_share"), F.round(mean("s1", "n1"), 3).alias("d1_mean"),
-        F.round(sd("s1", "q1", "n1"), 3).alias("d1_sd"), i("gt05", "d1_gt05"), i("gt06", "d1_gt06"), i("gt07", "d1_gt07"), i("n2", "d2_pool"), F.round(mean("n2", "n"), 4).alias("d2_share"),
+        F.round(sd("s1", "q1", "n1"), 3).alias("d1_sd"), i("gt05", "d1_gt05"), i("gt06", "d1_gt06"), i("gt07", "d1_gt07"), "d1_p999", "d1_p9999", i("n2", "d2_pool"), F.round(mean("n2", "n"), 4).alias("d2_share"),
         F.round(mean("s2", "n2"), 3).alias("d2_mean"), F.round(sd("s2", "q2", "n2"), 3).alias("d2_sd"), i("lt025", "d2_lt025"), i("lt03", "d2_lt03"),
     )
 
@@ -190,54 +200,210 @@ def neighbours_outside(rows: DataFrame, is_query: Column, k: int = 5) -> DataFra
     return top_per(blocked(rows, is_query, best, PAIR), k, ["i"], F.col("e_cos").desc(), F.col("j")).select("i", "j", F.round("e_cos", 6).alias("e_cos"), "rank")
 
 
-def all_pairs(rows: DataFrame, is_query: Column) -> DataFrame:
-    """Every eligible pair of the query rows, for statistics that need each: (i, j, e_cos, c_jaccard, shared_lemmas, h_shared)."""
-    return blocked(rows, is_query, lambda b: _picked(b, b.eligible()), PAIR)
+def _summed(parts: DataFrame, *by: str) -> DataFrame:
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def value_counts(rows: DataFrame, is_query: Column, digits: int = 4) -> DataFrame:
+    """(e_cos, c_jaccard, h, n): how many eligible pairs of the query rows have each pair of values, and whether they share a person.
+
+    The cosine is rounded to `digits`, the Jaccard to 9. A block gives on its counts, never its pairs.
+    """
+    one = 10**digits
+
+    def count(b: Block) -> pa.Table:
+        ok = b.eligible()
+        v = (np.sign(b.cos[ok]) * np.floor(np.abs(b.cos[ok]) * one + 0.5)).astype(np.int64) + 2 * one
+        c, at = np.unique(np.round(b.jaccard[ok], 9), return_inverse=True)
+        key, n = np.unique((v * max(1, len(c)) + at.ravel()) * 2 + (b.cited[ok] > 0), return_counts=True)
+        v, at = key // 2 // max(1, len(c)), key // 2 % max(1, len(c))
+        return pa.table({"e_cos": (v - 2 * one) / one, "c_jaccard": c[at], "h": key % 2 == 1, "n": n.astype(np.int64)})
+
+    return _summed(blocked(rows, is_query, count, "e_cos double, c_jaccard double, h boolean, n long"), "e_cos", "c_jaccard", "h")
 
 
-#: Labelled rows of a chunk.
-LABELLED = 2048
+def shared_counts(rows: DataFrame, is_query: Column, column: str, digits: int = 4) -> DataFrame:
+    """(v, x, y): over all pairs of a query row and any other, how many of each cosine share a value of `column` (lemmas or persons), and
+    how many there are in all. v is the cosine in units of the last of `digits` digits."""
+    one = 10**digits
+
+    def count(b: Block) -> pa.Table:
+        ok, same = b.others(), (b.shared if column == "lemmas" else b.cited) > 0
+        v = (np.sign(b.cos) * np.floor(np.abs(b.cos) * one + 0.5)).astype(np.int64) + 2 * one
+        y, x = np.bincount(v[ok], minlength=4 * one + 1), np.bincount(v[ok & same], minlength=4 * one + 1)
+        at = np.flatnonzero(y)
+        return pa.table({"v": at - 2 * one, "x": x[at].astype(np.int64), "y": y[at].astype(np.int64)})
+
+    return blocked(rows, is_query, count, "v long, x long, y long").groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+def _bin(x: np.ndarray, low: float, high: float, bins: int) -> np.ndarray:
+    """Equal bins 1..bins over [low, high]; the upper end belongs to the last."""
+    return np.minimum(np.floor((x - low) / ((high - low) / bins)) + 1, bins).astype(np.int64)
+
+
+def histograms(rows: DataFrame, is_query: Column, bins: int = 120, fewer: int = 60, least_shared: int = 3) -> DataFrame:
+    """(part, bin, n): the cosines of the eligible pairs of the query rows over [-1, 1]: all, and those without anything shared, in `bins`
+    bins; those of at least `least_shared` shared items in `fewer`. A block gives on one row per bin."""
+
+    def count(b: Block) -> pa.Table:
+        ok = b.eligible()
+        out = {"part": [], "bin": [], "n": []}
+        for name, m, k in (("all", ok, bins), ("E_high_surface_zero", ok & (b.shared == 0) & (b.cited == 0), bins), ("C_high_E_low", ok & (b.shared >= least_shared), fewer)):
+            at, n = np.unique(_bin(np.clip(b.cos[m], -1, 1), -1.0, 1.0, k), return_counts=True)
+            out["part"] += [name] * len(at)
+            out["bin"] += at.tolist()
+            out["n"] += n.tolist()
+        return pa.table({"part": pa.array(out["part"], pa.string()), "bin": pa.array(out["bin"], pa.int32()), "n": pa.array(out["n"], pa.int64())})
+
+    return _summed(blocked(rows, is_query, count, "part string, bin int, n long"), "part", "bin")
 
 
-def label_counts(rows: DataFrame, key: str, deals: DataFrame, labels: str, run: str = "run", digits: int = 4, chunk: int = LABELLED) -> DataFrame:
-    """(run, v, x, y): over all pairs of `rows` (key, vec), how many of each cosine v share a label in a run (x) and how many don't (y).
+def grid(rows: DataFrame, is_query: Column, bins: int = 60) -> DataFrame:
+    """(bin_x, bin_y, n): eligible pairs of the query rows by cosine over [-1, 1] and Jaccard over [0, 1]."""
 
-    `deals` is (run, key, labels) with every row once per run; labels are compared by 64-bit hashes. v is the cosine in units of the last
-    of `digits` digits. Chunks of rows meet in blocks, and a block gives on its counts, never its pairs.
+    def count(b: Block) -> pa.Table:
+        ok = b.eligible()
+        key, n = np.unique(_bin(np.clip(b.cos[ok], -1, 1), -1.0, 1.0, bins) * (bins + 1) + _bin(np.round(b.jaccard[ok], 9), 0.0, 1.0, bins), return_counts=True)
+        return pa.table({"bin_x": (key // (bins + 1)).astype(np.int32), "bin_y": (key % (bins + 1)).astype(np.int32), "n": n.astype(np.int64)})
+
+    return _summed(blocked(rows, is_query, count, "bin_x int, bin_y int, n long"), "bin_x", "bin_y")
+
+
+#: Labelled rows of a chunk, and runs that a task does of one block.
+LABELLED, AT_ONCE = 2048, 128
+#: Layers of `recovery` that compare sets, and the columns that hold them.
+SET_LAYERS = {"C-open": "open", "C-closed": "closed"}
+
+
+def _incidence(side: pa.Table, name: str, known: np.ndarray) -> np.ndarray:
+    """Rows x known values of a list column."""
+    lists = pa.concat_arrays(side.column(name).chunks) if side.num_rows else pa.array([], pa.list_(pa.int64()))
+    flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    out = np.zeros((len(lists), len(known)), np.float32)
+    out[at, np.searchsorted(known, flat)] = 1
+    return out
+
+
+def _known(t: pa.Table, name: str) -> np.ndarray:
+    return np.unique(np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in t.column(name).chunks] or [np.zeros(0, np.int64)]))
+
+
+class _Labelled:
+    """One block of labelled rows: similarities per layer in units of the last digit, and which pairs count."""
+
+    def __init__(self, t: pa.Table, one: int):
+        c, x, y = t.column("c").to_numpy(), t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        # a row of a diagonal block stands there once
+        self.a, self.b = (t.filter(pa.array(c == k)) for k in (x, y))
+        shape = (self.a.num_rows, self.b.num_rows)
+        self.met = np.triu(np.ones(shape, bool), 1) if x == y else np.ones(shape, bool)
+        cos = Block._matrix(self.a.column("vec")) @ Block._matrix(self.b.column("vec")).T if min(shape) else np.zeros(shape)
+        self.layers = {"E": cos}
+        for name, column in SET_LAYERS.items():
+            known = _known(t, column)
+            p, q = _incidence(self.a, column, known), _incidence(self.b, column, known)
+            both = p @ q.T
+            either = p.sum(1)[:, None] + q.sum(1)[None, :] - both
+            self.layers[name] = np.where(either > 0, both.astype(np.float64) / np.maximum(either, 1), 0.0)
+        self.layers = {k: (np.sign(v) * np.floor(np.abs(v) * one + 0.5)).astype(np.int64) for k, v in self.layers.items()}
+        self.known = _known(t, "labels")
+
+    def same(self) -> np.ndarray:
+        """Which counted pairs share a label."""
+        return (_incidence(self.a, "labels", self.known) @ _incidence(self.b, "labels", self.known).T > 0)[self.met]
+
+
+def _blocks_of(rows: DataFrame, key: str, chunk: int) -> DataFrame:
+    """`rows` once in every pair of chunks (x, y) it takes part in; c is its own chunk."""
+    g = max(1, -(-rows.count() // chunk))
+    base = rows.withColumn("c", F.pmod(F.xxhash64(key), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+    return base.withColumns({"x": F.least("c", "other"), "y": F.greatest("c", "other")}).drop("other")
+
+
+def _hashed(name: str) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda x: F.xxhash64(x)))).alias(name)
+
+
+def label_counts(rows: DataFrame, key: str, labels: str, digits: int = 4, chunk: int = LABELLED) -> DataFrame:
+    """(layer, v, x, y): over all pairs of `rows` (key, vec, open, closed, labels), how many of each similarity v share a label (x), how many don't (y).
+
+    Layers: E, the cosine; C-open and C-closed, the Jaccard of those sets (0 of two empty ones). v is in units of the last of `digits`
+    digits. Chunks of rows meet in blocks, and a block gives on its counts, never its pairs.
     """
     one = 10**digits
-    n = rows.count()
-    g = max(1, -(-n // chunk))
-    sets = deals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(run).cast("string").alias("run"), F.transform(labels, lambda x: F.xxhash64(x)).alias("l")))).alias("deals"))
-    base = rows.select(key, "vec").join(sets, key).select("vec", F.col("deals.run").alias("runs"), F.col("deals.l").alias("sets"), F.pmod(F.xxhash64(key), g).cast("int").alias("c"))
-    base = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
-
-    def incidence(side: pa.Table, k: int, known: np.ndarray) -> np.ndarray:
-        out = np.zeros((side.num_rows, len(known)), np.float32)
-        lists = [r[k] or [] for r in side.column("sets").to_pylist()]
-        at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        out[at, np.searchsorted(known, np.array([y for x in lists for y in x], np.int64))] = 1
-        return out
 
     def count(t: pa.Table) -> pa.Table:
-        c, x, y = t.column("c").to_numpy(), t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        a, b = (t.filter(pa.array(c == k)) for k in (x, y))
-        out = {"run": [], "v": [], "x": [], "y": []}
-        if a.num_rows and b.num_rows:
-            cos = Block._matrix(a.column("vec")) @ Block._matrix(b.column("vec")).T
-            v = (np.sign(cos) * np.floor(np.abs(cos) * one + 0.5)).astype(np.int64) + 2 * one
-            met = np.triu(np.ones(v.shape, bool), 1) if x == y else np.ones(v.shape, bool)
-            v = 2 * v[met]
-            known = np.unique(np.array([z for r in t.column("sets").to_pylist() for s in r for z in s or []], np.int64))
-            for k, name in enumerate(a.column("runs")[0].as_py()):
-                same = (incidence(a, k, known) @ incidence(b, k, known).T > 0)[met]
-                got = np.bincount(v + same, minlength=8 * one + 2).reshape(-1, 2)
-                at = np.flatnonzero(got.sum(1))
-                out["run"] += [name] * len(at)
-                out["v"] += (at - 2 * one).tolist()
-                out["x"] += got[at, 1].tolist()
-                out["y"] += got[at, 0].tolist()
-        return pa.table({"run": pa.array(out["run"], pa.string()), **{k: pa.array(out[k], pa.int64()) for k in "vxy"}})
-
-    blocks = base.withColumns({"x": F.least("c", "other"), "y": F.greatest("c", "other")}).drop("other").groupBy("x", "y").applyInArrow(count, "run string, v long, x long, y long")
-    return blocks.groupBy("run", "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        b = _Labelled(t, one)
+        out = {"layer": [], "v": [], "x": [], "y": []}
+        same = b.same()
+        for name, v in b.layers.items():
+            got = np.bincount(2 * (v[b.met] + 2 * one) + same, minlength=8 * one + 2).reshape(-1, 2)
+            at = np.flatnonzero(got.sum(1))
+            out["layer"] += [name] * len(at)
+            out["v"] += (at - 2 * one).tolist()
+            out["x"] += got[at, 1].tolist()
+            out["y"] += got[at, 0].tolist()
+        return pa.table({"layer": pa.array(out["layer"], pa.string()), **{k: pa.array(out[k], pa.int64()) for k in "vxy"}})
+
+    base = _blocks_of(rows.select(key, "vec", _hashed("open"), _hashed("closed"), _hashed(labels).alias("labels")), key, chunk)
+    blocks = base.groupBy("x", "y").applyInArrow(count, "layer string, v long, x long, y long")
+    return blocks.groupBy("layer", "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+def permuted_sums(rows: DataFrame, key: str, deals: DataFrame, labels: str, ranks: DataFrame, runs: int, digits: int = 4, chunk: int = LABELLED) -> DataFrame:
+    """(layer, run, total, n): per run, the summed mid-ranks of the pairs that share a label, and their number.
+
+    `deals` is (run, key, labels), every row once per run, `ranks` (layer, v, mid) the mid-rank of each similarity over all pairs: at most
+    2 x 10^digits + 1 values a layer, collected. A run needs no more than this sum, so no pair and no value is written per run.
+    """
+    one = 10**digits
+    mid = {}
+    for r in ranks.collect():
+        mid.setdefault(r["layer"], np.zeros(4 * one + 1))[r["v"] + 2 * one] = r["mid"]
+
+    def count(t: pa.Table) -> pa.Table:
+        b = _Labelled(t, one)
+        of = {name: np.where(b.met, mid[name][v + 2 * one], 0) for name, v in b.layers.items() if name in mid}
+        part, known = t.column("part")[0].as_py(), _known_deals(t)
+        mine = range(part * AT_ONCE, min(runs, (part + 1) * AT_ONCE))
+        left, right = _dealt(b.a, known, len(mine)), _dealt(b.b, known, len(mine))
+        out = {"layer": [], "run": [], "total": [], "n": []}
+        for k, run in enumerate(mine):
+            same = (left(k) @ right(k).T > 0) & b.met
+            for name, m in of.items():
+                out["layer"].append(name)
+                out["run"].append(run)
+                out["total"].append(float(m[same].sum()))
+                out["n"].append(int(same.sum()))
+        return pa.table({"layer": pa.array(out["layer"], pa.string()), "run": pa.array(out["run"], pa.int32()), "total": pa.array(out["total"], pa.float64()), "n": pa.array(out["n"], pa.int64())})
+
+    part = F.floor(F.col("run") / AT_ONCE).cast("int")
+    sets = deals.groupBy(key, part.alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("run", F.transform(labels, lambda x: F.xxhash64(x)).alias("l")))), lambda s: s["l"]).alias("deals"))
+    # labels of the rows themselves aren't needed: those of the runs are
+    base = rows.select(key, "vec", _hashed("open"), _hashed("closed"), F.array().cast("array<bigint>").alias("labels")).join(sets, key)
+    blocks = _blocks_of(base, key, chunk).groupBy("x", "y", "part").applyInArrow(count, "layer string, run int, total double, n long")
+    return blocks.groupBy("layer", "run").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def _known_deals(t: pa.Table) -> np.ndarray:
+    return np.unique(np.concatenate([x.flatten().flatten().to_numpy(zero_copy_only=False) for x in t.column("deals").chunks] or [np.zeros(0, np.int64)]))
+
+
+def _dealt(side: pa.Table, known: np.ndarray, runs: int):
+    """k -> incidence of the labels dealt to each row in the k-th run of a part."""
+    n = side.num_rows
+    inner = pa.concat_arrays(side.column("deals").chunks).flatten() if n else pa.array([], pa.list_(pa.int64()))
+    size = np.diff(inner.offsets.to_numpy())
+    code = np.searchsorted(known, inner.flatten().to_numpy(zero_copy_only=False))
+    slot = np.repeat(np.arange(len(inner)), size)  # row x runs + run
+    order = np.argsort(slot % max(1, runs), kind="stable")
+    slot, code = slot[order], code[order]
+    edge = np.searchsorted(slot % max(1, runs), np.arange(runs + 1))
+
+    def of(k: int) -> np.ndarray:
+        out = np.zeros((n, len(known)), np.float32)
+        out[slot[edge[k] : edge[k + 1]] // runs, code[edge[k] : edge[k + 1]]] = 1
+        return out
+
+    return of

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,13 +39,23 @@ def in_any(post: DataFrame, wanted: DataFrame, key: str, name: str = "item") ->
     return post.join(wanted, name, "left_semi").select(key).distinct()
 
 
-def shared_item_pairs(post: DataFrame, key: str, name: str = "item", most: int | None = None) -> DataFrame:
+#: Rows of an item that one task of a pair join takes.
+ROWS = 100_000
+
+
+def shared_item_pairs(post: DataFrame, key: str, name: str = "item", asks: Column | None = None) -> DataFrame:
     """(i, j, shared): pairs i < j that share items, and how many.
 
-    Quadratic in the rows of one item: items of more than `most` rows are left out if it is given, which the caller
-    states as part of the question. Counts are added up per pair, not emitted per item.
+    With `asks`, a condition on i, only pairs of which a member meets it: a stated query set against all rows. Without, it is quadratic in
+    the rows of one item. An item of many rows is split: its rows fall into parts of ROWS, and each of its asking rows meets every part.
     """
-    if most is not None:
-        post = post.join(frequency(post, name).filter(F.col("n_rows") <= most).select(name), name, "left_semi")
-    x, y = post.select(F.col(key).alias("i"), name), post.select(F.col(key).alias("j"), name)
-    return x.join(y, name).filter("i < j").groupBy("i", "j").agg(F.count("*").alias("shared"))
+    parts = frequency(post, name, "n").select(name, F.ceil(F.col("n") / ROWS).cast("int").alias("parts"))
+    post = post.join(parts, name)
+    x = post.select(F.col(key).alias("i"), name, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    y = post.select(F.col(key).alias("j"), name, F.pmod(F.xxhash64(key), "parts").cast("int").alias("part"))
+    if asks is None:
+        got = x.join(y, [name, "part"]).filter("i < j")
+    else:
+        too = y.withColumn("i", F.col("j")).withColumn("too", asks).drop("i")  # of two that ask, one asks
+        got = x.filter(asks).join(too, [name, "part"]).filter("i <> j AND NOT (too AND j < i)").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return got.groupBy("i", "j").agg(F.count("*").alias("shared"))

@@ -1,7 +1,7 @@
 """Rank statistics of two samples, by ranks and running counts instead of a product of the samples.
 
-Values are pre-aggregated per distinct value before any window; a window holds the distinct values of one `by` group.
-Samples that the operators of this package draw are bounded, so is that window.
+Values are pre-aggregated per distinct value first. With `by`, a window holds the distinct values of one group: samples that the
+operators of this package draw are bounded, so is that window. Without, running counts go over range partitions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptoria.functions.stats import normal_p
+from scriptoria.functions.ranks import running
+from scriptoria.functions.stats import correlation_p, normal_p
 
 
 def two_samples(df: DataFrame, value: str, is_x: Column, by: list[str] | None = None) -> DataFrame:
@@ -25,9 +26,7 @@ def two_samples(df: DataFrame, value: str, is_x: Column, by: list[str] | None =
 
 def of_counts(c: DataFrame, by: list[str]) -> DataFrame:
     """`two_samples` from (by, v, x, y): how often each value v, once per group, stands in x and in y."""
-    w = W.partitionBy(*by).orderBy("v")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    c = c.withColumn("below", F.sum("y").over(run) - F.col("y")).withColumn("upto", F.sum("y").over(run))
+    c = _running(c, "v", "y", by, "upto").withColumn("below", F.col("upto") - F.col("y"))
     t = F.col("x") + F.col("y")
     g = c.groupBy(*by) if by else c
     a = g.agg(
@@ -46,32 +45,44 @@ def of_counts(c: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _running(df: DataFrame, value: str, amount: str, by: list[str], name: str) -> DataFrame:
+    if not by:
+        return running(df, F.col(value), amount=amount, name=name)
+    return df.withColumn(name, F.sum(amount).over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+
+
 def with_p(df: DataFrame, z: str = "z", p: str = "p") -> DataFrame:
     """The two-sided asymptotic p of a z."""
     return df.withColumn(p, F.least(F.lit(1.0), normal_p(F.greatest(F.col(z), F.lit(0.0)))))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """(by, n, rho): Pearson's correlation of mid-ranks; null if either is constant.
+    """(by, n, rho, p): Pearson's correlation of mid-ranks with its two-sided p; null if either is constant. Null values are left out."""
+    by = by or []
+    pair = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
+    return spearman_of_counts(pair, by)
+
+
+def spearman_of_counts(pair: DataFrame, by: list[str]) -> DataFrame:
+    """`spearman` from (by, _x, _y, _n): how often each pair of values occurs, each once per group.
 
     Mid-ranks come from running counts over distinct values, joined back to the counted value pairs.
     """
-    by = by or []
-    pair = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
 
     def mid(c: str) -> DataFrame:
-        d = pair.groupBy(*by, c).agg(F.sum("_n").alias("k"))
-        run = F.sum("k").over(W.partitionBy(*by).orderBy(c).rowsBetween(W.unboundedPreceding, 0))
-        return d.select(*by, c, (run - F.col("k") + (F.col("k") + 1) / 2).alias(f"r{c}"))
+        d = _running(pair.groupBy(*by, c).agg(F.sum("_n").alias("k")), c, "k", by, "upto")
+        return d.select(*by, c, (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r{c}"))
 
     full = pair.join(mid("_x"), [*by, "_x"]).join(mid("_y"), [*by, "_y"])
     s = lambda e: F.sum(F.col("_n") * e)
     a, b = F.col("r_x"), F.col("r_y")
+    # the mean rank is known: sums about it keep their digits for any n
+    n = full.groupBy(*by).agg(F.sum("_n").alias("n")) if by else full.agg(F.sum("_n").alias("n"))
+    full = (full.join(n, by) if by else full.join(n)).withColumns({"r_x": a - (F.col("n") + 1) / 2, "r_y": b - (F.col("n") + 1) / 2})
     g = full.groupBy(*by) if by else full
-    m = g.agg(F.sum("_n").alias("n"), s(a).alias("sa"), s(b).alias("sb"), s(a * b).alias("sab"), s(a * a).alias("saa"), s(b * b).alias("sbb"))
-    n = F.col("n")
-    cov, va, vb = F.col("sab") - F.col("sa") * F.col("sb") / n, F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
-    return m.select(*by, "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("rho"))
+    m = g.agg(F.sum("_n").alias("n"), s(a * b).alias("cov"), s(a * a).alias("va"), s(b * b).alias("vb"))
+    rho = F.when((F.col("va") > 0) & (F.col("vb") > 0), F.col("cov") / F.sqrt(F.col("va") * F.col("vb")))
+    return m.select(*by, "n", rho.alias("rho")).withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 def quantiles(df: DataFrame, value: str, at: dict[str, float], by: list[str] | None = None) -> DataFrame:

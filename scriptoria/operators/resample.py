@@ -1,35 +1,34 @@
-"""Null models as one plan each: runs are rows, draws are keyed hashes."""
+"""Null models as one plan each: runs are rows, draws are keyed hashes. No run's rows are gathered in a task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.functions.ranks import numbered
 from scriptoria.functions.text import keyed, keyed_int
 from scriptoria.operators.ranking import top_per
-from scriptoria.operators.sampling import order_of_runs
+from scriptoria.operators.sampling import of_all_runs, thresholds
 
 
-def shuffled_labels(rows: DataFrame, key: str, n_a: int, n_b: int, n_d: int, runs: int, seed: str) -> DataFrame:
-    """(run, kind, key): disjoint fake groups of the given sizes from a shuffle per run; d is the next n_d rows.
+def shuffled_labels(rows: DataFrame, key: str, n_a: int, n_b: int, runs: int, seed: str) -> DataFrame:
+    """(run, kind, key): per run the first n_a rows of a shuffle are A, the next n_b B, all others D; `rows` has each key once.
 
-    With n_d of at least the rest, all other rows are D.
+    Two thresholds a run decide that where the rows are read: nothing is shuffled.
     """
-    placed = order_of_runs(rows, runs, seed, key, n_a + n_b + n_d)
-    return placed.select("run", F.when(F.col("place") <= n_a, "a").when(F.col("place") <= n_a + n_b, "b").otherwise("d").alias("kind"), key)
+    bound = thresholds(rows, runs, [n_a, n_a + n_b], seed, key)
+    h = keyed(seed, F.col("run"), F.col(key))
+    spread = of_all_runs(rows.select(key), runs).join(F.broadcast(bound), "run").withColumn("h", h)
+    return spread.select("run", F.when(F.col("h") <= F.col("t_0"), "a").when(F.col("h") <= F.col("t_1"), "b").otherwise("d").alias("kind"), key)
 
 
-def relabelled(rows: DataFrame, key: str, n_a: int, n_b: int, runs: int, seed: str) -> DataFrame:
-    """(run, kind, key): as `shuffled_labels`, with all other rows as D; `rows` has each key once.
-
-    The shuffles of all runs are one order over range partitions, so no task holds a run.
-    """
-    spread = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    placed = numbered(spread, F.col("run"), keyed(seed, F.col("run"), F.col(key)), F.col(key), name="place")
-    place = F.col("place") - F.col("run").cast("long") * rows.count()
-    return placed.select("run", F.when(place <= n_a, "a").when(place <= n_a + n_b, "b").otherwise("d").alias("kind"), key)
+def random_sets(rows: DataFrame, key: str, n: int, runs: int, seed: str) -> DataFrame:
+    """`rows` with run: the n rows of each run's set, drawn without replacement; `rows` has each key once."""
+    bound = thresholds(rows, runs, [n], seed, key)
+    return of_all_runs(rows, runs).join(F.broadcast(bound), "run").filter(keyed(seed, F.col("run"), F.col(key)) <= F.col("t_0")).drop("t_0")
 
 
 def matched_pools(targets: DataFrame, pool: DataFrame, low: float = 0.5, high: float = 2.0, nearest: int = 50) -> DataFrame:
@@ -49,25 +48,57 @@ def matched_pools(targets: DataFrame, pool: DataFrame, low: float = 0.5, high: f
 def drawn(pools: DataFrame, runs: int, seed: str) -> DataFrame:
     """(run, target, item): one item of each target's pool per run; a number modulo the pool's size picks it.
 
-    Two targets of a run may get the same item: their postings are united anyway.
+    Two targets of a run may get the same item: their postings are united anyway. Pools are numbered over range partitions, so no
+    task holds one.
     """
-    w = W.partitionBy("target").orderBy("item")
-    placed = pools.withColumn("place", F.row_number().over(w) - 1)
-    size = pools.groupBy("target").agg(F.count("*").alias("size"))
-    pick = size.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    pick = pick.withColumn("place", F.pmod(keyed_int(seed, F.col("run"), F.col("target")), F.col("size")).cast("int"))
-    return pick.join(placed, ["target", "place"]).select("run", "target", "item")
+    placed = numbered(pools, F.col("target"), F.col("item"), name="place")
+    size = placed.groupBy("target").agg(F.count("*").alias("size"), F.min("place").alias("first"))
+    pick = of_all_runs(size, runs)
+    pick = pick.withColumn("place", (F.col("first") + F.pmod(keyed_int(seed, F.col("run"), F.col("target")), F.col("size"))).cast("int"))
+    return pick.select("run", "target", "place").join(placed, ["target", "place"]).select("run", "target", "item")
 
 
-def drawn_rows(draws: DataFrame, post: DataFrame, key: str, name: str = "item") -> DataFrame:
-    """(run, key): the union of the drawn items' postings."""
-    return draws.join(post, name).select("run", key).distinct()
+def runs_of(items: Column, draws: DataFrame) -> Column:
+    """The runs in which any of a row's items was drawn, each once: a union of postings, row by row, without a shuffle.
+
+    `draws` is (run, item, ..), at most runs x targets rows, both given by the caller: it is collected.
+    """
+    of: dict[str, set[int]] = {}
+    for r in draws.select("item", "run").distinct().collect():
+        of.setdefault(r["item"], set()).add(r["run"])
+    names = pa.array(sorted(of), pa.string())
+    size = np.array([len(of[x]) for x in names.to_pylist()], np.int64)
+    first, flat = np.cumsum(size) - size, np.array([run for x in names.to_pylist() for run in sorted(of[x])], np.int64)
+
+    def find(lists: pa.Array) -> pa.Array:
+        parent = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        code = pc.index_in(pc.list_flatten(lists).cast(pa.string()), names)
+        held = code.is_valid().to_numpy(zero_copy_only=False)
+        row, code = parent[held].astype(np.int64), code.drop_null().to_numpy(zero_copy_only=False)
+        n = size[code]
+        at = np.repeat(first[code], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = int(flat.max()) + 1 if len(flat) else 1
+        pair = np.unique(np.repeat(row, n) * width + flat[at])
+        offsets = np.r_[0, np.cumsum(np.bincount(pair // width, minlength=len(lists)))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((pair % width).astype(np.int32)))
+
+    return F.arrow_udf(find, "array<int>")(items)
+
+
+def kinds(rows: DataFrame, key: str, a: Column, b: Column, excluded: Column, runs: int) -> DataFrame:
+    """(run, kind, key) from the runs (arrays) in which a row is in A and in B; D is every other run of a row that isn't excluded."""
+    every = F.sequence(F.lit(0), F.lit(runs - 1))
+    rest = F.when(F.col("_x"), F.array().cast("array<int>")).otherwise(F.array_except(every, F.array_union("a", "b")))
+    wide = rows.select(key, a.alias("a"), b.alias("b"), excluded.alias("_x")).withColumn("d", rest)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("runs")) for k in "abd"]))
+    return wide.select(key, each.alias("s")).select(F.explode("s.runs").alias("run"), "s.kind", key)
 
 
 def permuted(rows: DataFrame, key: str, value: str, runs: int, seed: str) -> DataFrame:
-    """(run, key, value): the values dealt anew to the rows in each run. For a labelled subset: each run is one task's window."""
+    """(run, key, value): the values dealt anew to the rows in each run. Both orders are numbered over range partitions."""
     base = rows.select(key, value)
-    spread = base.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    fixed = spread.withColumn("p", F.row_number().over(W.partitionBy("run").orderBy(key))).select("run", "p", key)
-    dealt = spread.withColumn("p", F.row_number().over(W.partitionBy("run").orderBy(keyed(seed, F.col("run"), F.col(key)), key))).select("run", "p", value)
+    n = base.count()
+    fixed = of_all_runs(numbered(base.select(key), F.col(key), name="p"), runs)
+    dealt = numbered(of_all_runs(base, runs), F.col("run"), keyed(seed, F.col("run"), F.col(key)), F.col(key), name="p")
+    dealt = dealt.select("run", (F.col("p") - F.col("run").cast("long") * n).alias("p"), value)
     return fixed.join(dealt, ["run", "p"]).select("run", key, value)

@@ -27,31 +27,88 @@ def keep_and_fill(df: DataFrame, keep, cap: int, seed: str, key: str) -> DataFra
     return sure.union(choose(df.filter(~F.coalesce(keep, F.lit(False))), more, seed, key))
 
 
-def order_of_runs(rows: DataFrame, runs: int, seed: str, key: str, first: int) -> DataFrame:
-    """(run, key, place): for each run the `first` places of a shuffle of all rows.
+def _share_key(share: float) -> str:
+    """The smallest key that about `share` of all keys don't reach."""
+    return "g" if share >= 1 else format(int(share * (1 << 52)), "013x")
+
+
+def first_places(members: DataFrame, key: str, n: int, seed: str, by: list[str]) -> DataFrame:
+    """(by, key, place): places 1..n of each group of `by` in the order of its rows' keyed hashes.
 
-    Each run keeps its first places per task before anything is shuffled.
+    Rows are cut before they are shuffled: a count per group gives the share of hashes that holds its first n, with a margin
+    of eight deviations; rows beyond it are dropped where they are read. A group that comes out short, which is next to
+    impossible, is cut again at a doubled share, so the first n are always exact. No task sorts more than about n rows of a
+    group. There is one count and one bound per group; groups are runs and sides, given by the caller, not by the data.
     """
-    spread = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    w = W.partitionBy("run").orderBy(keyed(seed, F.col("run"), F.col(key)), key)
-    return spread.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= first)
+    spark = members.sparkSession
+    h = keyed(seed, *[F.col(c) for c in by], F.col(key))
+    size = {tuple(r)[:-1]: r["c"] for r in members.groupBy(*by).agg(F.count("*").alias("c")).collect()}
+    share = {g: (n + 8 * n**0.5 + 16) / c if c > n else 1.0 for g, c in size.items()}
+    kind = ", ".join(f"{c} {t}" for c, t in members.select(*by).dtypes)
+    while True:
+        bound = spark.createDataFrame([(*g, _share_key(s)) for g, s in share.items()], f"{kind}, bound string")
+        kept = members.select(*by, key).withColumn("h", h).join(F.broadcast(bound), by).filter(F.col("h") < F.col("bound")).drop("bound")
+        if all(s >= 1 for s in share.values()):
+            break
+        kept = cut(kept, "kept")
+        got = {tuple(r)[:-1]: r["c"] for r in kept.groupBy(*by).agg(F.count("*").alias("c")).collect()}
+        short = [g for g, c in size.items() if got.get(g, 0) < min(n, c)]
+        if not short:
+            break
+        share |= {g: 2 * share[g] for g in short}
+    w = W.partitionBy(*by).orderBy("h", key)
+    return kept.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).drop("h")
+
+
+def order_of_runs(rows: DataFrame, runs: int, seed: str, key: str, first: int) -> DataFrame:
+    """(run, key, place): for each run the `first` places of a shuffle of all rows, which are cut before anything is shuffled."""
+    return first_places(of_all_runs(rows.select(key), runs), key, first, seed, ["run"])
+
+
+def of_all_runs(rows: DataFrame, runs: int) -> DataFrame:
+    return rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 
 
-def cross_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run", quota=None) -> DataFrame:
+def thresholds(rows: DataFrame, runs: int, ranks: list[int], seed: str, key: str) -> DataFrame:
+    """(run, t_0, t_1, ..): the keyed hash of the row at each rank of each run's shuffle of all rows; '' for rank 0, 'g' beyond the last.
+
+    So a row is among the first r of a run if its hash isn't above t: membership of any size without a shuffle. A hash that has rank r of
+    n lies near r / n of all hashes; those below that window are counted, and only the window (about 16 standard deviations,
+    of the order of the root of n rows a run) is sorted. A rank outside its window, which is next to impossible, widens it.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    out = {run: ["" if r <= 0 else "g" for r in ranks] for run in range(runs)}
+    spread = of_all_runs(rows.select(key), runs).withColumn("h", keyed(seed, F.col("run"), F.col(key)))
+    for at, rank in enumerate(ranks):
+        if not 0 < rank <= n:
+            continue
+        q, wide = rank / n, 8.0
+        while True:
+            off = wide * (q * (1 - q) / n) ** 0.5 + wide * wide / n
+            low, high = ("" if q - off <= 0 else _share_key(q - off)), _share_key(q + off)
+            near = cut(spread.filter(F.col("h") < high).groupBy("run").agg(F.count_if(F.col("h") < low).alias("below")), "below")
+            placed = spread.filter((F.col("h") >= low) & (F.col("h") < high)).withColumn("p", F.row_number().over(W.partitionBy("run").orderBy("h")))
+            found = placed.join(F.broadcast(near), "run").filter(F.col("p") + F.col("below") == rank).select("run", "h").collect()  # one row a run
+            if len(found) == runs:
+                break
+            wide *= 4
+        for r in found:
+            out[r["run"]][at] = r["h"]
+    return spark.createDataFrame([(run, *t) for run, t in out.items()], "run int" + "".join(f", t_{k} string" for k in range(len(ranks))))
+
+
+def cross_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run") -> DataFrame:
     """(run, i, j): pairs of a left (side 0) and a right (side 1) member of each run, without self-pairs.
 
     All pairs if there are at most n, else n draws, repeats possible: left and right members in keyed order meet by number. Both
-    sides are cut to n rows before the shuffle, so a pair class costs n rows however large its groups are. `quota(l, r)`, an
-    expression of the side sizes (of at most n), may give each run a number of its own.
+    sides are cut to about n rows before the shuffle, so a pair class costs n rows however large its groups are.
     """
-    w = W.partitionBy(run, "side").orderBy(keyed(seed, F.col(run), F.col("side"), F.col(key)), key)
-    placed = members.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).withColumn("place", F.col("place") - 1)
+    placed = first_places(members, key, n, seed, [run, "side"]).withColumn("place", F.col("place") - 1)
     placed = cut(placed, "places")  # at most n rows of each side, read three times
     size = placed.groupBy(run).agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r")).filter("l > 0 AND r > 0")
     k = F.col("k")
-    own = F.least(quota(F.col("l"), F.col("r")).cast("long"), F.lit(n)) if quota else F.lit(n)
-    count = F.least(F.col("l") * F.col("r"), own)
-    at = size.withColumn("exact", F.col("l") * F.col("r") <= own).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    count = F.least(F.col("l") * F.col("r"), F.lit(n))
+    at = size.withColumn("exact", F.col("l") * F.col("r") <= n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     pairs = at.select(
         run, F.when(F.col("exact"), F.floor(k / F.col("r"))).otherwise(F.pmod(k, F.col("l"))).cast("int").alias("x"),
         F.when(F.col("exact"), F.pmod(k, F.col("r"))).otherwise(F.pmod(keyed_int(seed, F.col(run), k), F.col("r"))).cast("int").alias("y"),
@@ -61,11 +118,11 @@ def cross_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run
     return pairs.join(left, [run, "x"]).join(right, [run, "y"]).filter("i <> j").select(run, "i", "j")
 
 
-def within_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run", quota=None) -> DataFrame:
+def within_pairs(members: DataFrame, key: str, n: int, seed: str, run: str = "run") -> DataFrame:
     """(run, i, j), i < j: different pairs within each run's members, all if there are at most n, else those of 2n draws."""
     both = members.select(run, key, F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     # all ordered pairs are twice the unordered ones
-    return cross_pairs(both, key, 2 * n, seed, run, quota).select(run, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    return cross_pairs(both, key, 2 * n, seed, run).select(run, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
 def _unit(seed: str, *parts) -> Column:

@@ -17,6 +17,11 @@ def _matrix(x: pa.Array) -> np.ndarray | None:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1) if at.min() == at.max() and at[0] and not flat.null_count else None
 
 
+def matrix(c: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one width, without nulls, as a matrix."""
+    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in c.chunks]).reshape(len(c), -1) if len(c) else np.zeros((0, 1))
+
+
 def _dots(a: pa.Array, b: pa.Array) -> pa.Array:
     p, q = _matrix(a), _matrix(b)
     if p is not None and q is not None and p.shape == q.shape:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptoria.functions.ranks import numbered
+from scriptoria.plans.lineage import cut
+
 
 def texts(spark: SparkSession, path: str, least_files: int = 0) -> DataFrame:
     """(doc, folder, text) of every */*.txt; undecodable bytes become the replacement character.
@@ -19,8 +26,6 @@ def texts(spark: SparkSession, path: str, least_files: int = 0) -> DataFrame:
 
 
 def _decoded(raw):
-    import pyarrow as pa
-
     return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
@@ -67,13 +72,47 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Texts of one leaf of a fingerprint.
+FAN = 4096
+
+
+def _leaf_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, rank, text) in order to (g, h, n): a digest of each group's texts joined by line feeds, updated text by text."""
+    now, digest, n, out = None, None, 0, []
+    for b in batches:
+        for g, text in zip(b.column(0).to_pylist(), b.column(2)):
+            raw = text.as_buffer() if text.is_valid else b"\x00"
+            if g != now:
+                if digest:
+                    out.append((now, digest.hexdigest(), n))
+                now, digest, n = g, hashlib.sha256(raw), 1
+            else:
+                digest.update(b"\n")
+                digest.update(raw)
+                n += 1
+    if digest:
+        out.append((now, digest.hexdigest(), n))
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.string(), pa.int64()))], ["g", "h", "n"])
+
+
+def _digests(ordered: DataFrame, text: str) -> DataFrame:
+    """(rank, h, n): the next level of (rank, text)."""
+    grouped = ordered.select(F.floor((F.col("rank") - 1) / FAN).alias("g"), "rank", text)
+    sorted_ = grouped.repartition("g").sortWithinPartitions("g", "rank")
+    return sorted_.mapInArrow(_leaf_digests, "g long, h string, n long").select((F.col("g") + 1).alias("rank"), "h", "n")
+
+
 def fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(n_rows, digest) of a corpus: changes with any text, key or added row.
+    """(n_rows, digest) of a corpus in the order of its keys; a null text counts as a NUL character.
 
-    Digests of rows are combined by sums, so nothing is gathered or ordered; sums wrap on purpose.
+    Of up to FAN texts it is the SHA-256 of the texts joined by line feeds. Of more, groups of FAN texts are digested so, then the
+    digests of groups, until one is left: ordered, but no task reads more than FAN texts, one at a time. An empty corpus gives no row.
     """
-    part = lambda k: F.conv(F.substring(F.sha2(F.concat_ws("\x00", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("\x01"))), 256), 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws("|", *[F.coalesce(F.sum(part(k)), F.lit(0)).cast("string") for k in range(5)]), 256).alias("digest"))
+    level = cut(_digests(numbered(df.select(key, text), F.col(key)), text), "digests")
+    total = level.agg(F.sum("n").alias("n_rows"))
+    while level.count() > 1:
+        level = cut(_digests(level.select("rank", "h"), "h"), "digests")
+    return level.join(total).select("n_rows", F.col("h").alias("digest"))
 
 
 def is_current(df: DataFrame, key: str, text: str, manifest: DataFrame) -> bool:

@@ -85,7 +85,7 @@ def test_choose_and_fill(spark):
 
 def test_resampling(spark):
     rows = spark.range(40).withColumnRenamed("id", "k")
-    lab = resample.shuffled_labels(rows, "k", 5, 3, 100, 4, "s").collect()
+    lab = resample.shuffled_labels(rows, "k", 5, 3, 4, "s").collect()
     for run in range(4):
         own = [r for r in lab if r["run"] == run]
         assert len({r["k"] for r in own}) == 40 and [sum(r["kind"] == x for r in own) for x in "abd"] == [5, 3, 32]
