@@ -61,7 +61,9 @@ def texts(seed):
 def test_token_ids(spark, monkeypatch, safe, loose):
     monkeypatch.setattr(token_ids, "SAFE", safe)
     monkeypatch.setattr(token_ids, "ANY", loose)
+    monkeypatch.setattr(token_ids, "LONG", 20 if loose < 100 else 1 << 16)
     e, own = token_ids.encoder(), texts(2)
+    own += [(t or "") + " y algo más" for t in own[:40]] + [own[3] + own[7], "algo " + own[5]]
     df = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(own)], "doc_id long, text string, key string, pos int")
     got = {r["doc_id"]: r["ids"] for r in token_ids.encoded(df, "doc_id", "text").collect()}
     assert got == {k: e.encode_ordinary(t or "") for k, t in enumerate(own)}
