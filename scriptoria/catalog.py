@@ -179,7 +179,7 @@ def _(spark, d):
 
 _PERIOD = "CASE " + " ".join(f"WHEN birth_year >= {a} AND birth_year < {b} THEN '{n}'" for a, b, n in people.PERIODS) + " ELSE 'Unknown' END"
 _COUNTRY = "CASE lower(trim(country)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in people.COUNTRIES.items()) + " ELSE trim(country) END"
-_REGION = "CASE c " + " ".join(f"WHEN '{c}' THEN '{r}'" for r, cs in people.REGIONS.items() for c in cs) + " ELSE 'Other/Unknown' END"
+_REGION = "CASE c " + " ".join(f"WHEN '{c}' THEN '{r}'" for c, r in people.REGIONS.items()) + " ELSE 'Other/Unknown' END"
 _CTE["pro"] = f"SELECT id, birth_year, c AS country, {_REGION} AS region, period FROM (SELECT id, birth_year, {_COUNTRY} AS c, {_PERIOD} AS period FROM persons_prosopography)"
 
 

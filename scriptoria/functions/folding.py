@@ -11,9 +11,23 @@ from pyspark.sql import functions as F
 from scriptoria.functions.text import BLANK
 
 
+def lower(text: pa.Array) -> pa.Array:
+    """Lower case; texts with a capital sigma go through Python, whose final form depends on place."""
+    low = pc.utf8_lower(text)
+    greek = pc.fill_null(pc.match_substring(text, "Σ"), False)
+    if pc.any(greek).as_py():
+        own = [x.lower() for x in text.filter(greek).to_pylist()]
+        low = pc.replace_with_mask(low, greek, pa.array(own, low.type))
+    return low
+
+
+def fold(text: pa.Array) -> pa.Array:
+    """Lower case, NFKD, no combining marks; null stays null."""
+    return pc.replace_substring_regex(pc.utf8_normalize(lower(text), "NFKD"), r"\p{M}+", "")
+
+
 def _folded(text: pa.Array) -> pa.Array:
-    plain = pc.replace_substring_regex(pc.utf8_normalize(pc.utf8_lower(text), "NFKD"), r"\p{M}+", "")
-    return pc.utf8_trim(pc.replace_substring_regex(plain, f"[{BLANK}]+", " "), " ")
+    return pc.utf8_trim(pc.replace_substring_regex(fold(text), f"[{BLANK}]+", " "), " ")
 
 
 def _fold_one(text: pa.Array) -> pa.Array:

@@ -25,11 +25,12 @@ COUNTRIES = {
 }
 # The region of each country; any other is Other/Unknown.
 REGIONS = {
-    "Latin America": ["Argentina", "Mexico", "Cuba", "Uruguay", "Chile", "Brazil", "Venezuela", "Peru", "Colombia"],
-    "Western Europe": ["France", "Germany", "United Kingdom", "Italy", "Spain", "Austria", "Switzerland", "Netherlands", "Belgium", "Ireland", "Portugal"],
-    "Southern Europe / Classical": ["Greece"], "North America": ["United States"],
-    "Eastern Europe": ["Russia", "Poland", "Czech Republic", "Hungary", "Romania"], "Middle East": ["Israel"], "Asia": ["Japan", "China"],
-    "Scandinavia": ["Denmark", "Sweden", "Norway"],
+    "Argentina": "Latin America", "Mexico": "Latin America", "Cuba": "Latin America", "Uruguay": "Latin America", "Chile": "Latin America", "Brazil": "Latin America",
+    "Venezuela": "Latin America", "Peru": "Latin America", "Colombia": "Latin America", "France": "Western Europe", "Germany": "Western Europe",
+    "United Kingdom": "Western Europe", "Italy": "Western Europe", "Spain": "Western Europe", "Austria": "Western Europe", "Switzerland": "Western Europe",
+    "Netherlands": "Western Europe", "Belgium": "Western Europe", "Ireland": "Western Europe", "Portugal": "Western Europe", "Greece": "Southern Europe / Classical",
+    "United States": "North America", "Russia": "Eastern Europe", "Poland": "Eastern Europe", "Czech Republic": "Eastern Europe", "Hungary": "Eastern Europe",
+    "Romania": "Eastern Europe", "Israel": "Middle East", "Japan": "Asia", "China": "Asia", "Denmark": "Scandinavia", "Sweden": "Scandinavia", "Norway": "Scandinavia",
 }
 
 
@@ -48,7 +49,7 @@ def country(raw: Column) -> Column:
 
 
 def region(name: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for r, cs in REGIONS.items() for c in cs for x in (c, r)])
+    known = F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv])
     return F.coalesce(F.try_element_at(known, name), F.lit("Other/Unknown"))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,11 +15,29 @@ from scriptoria.functions.ranks import numbered
 from scriptoria.operators.postings import frequency
 
 
+def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = b.column(1)
+        parent = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.list_flatten(lists)
+        full = flat.is_valid().to_numpy(zero_copy_only=False)
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        pair, uses = np.unique(parent[full] * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row = pair // size
+        kinds = np.bincount(row, minlength=b.num_rows)
+        cols = [b.column(0).take(pa.array(row)), pa.array(kinds[row].astype(np.int32)), coded.dictionary.take(pa.array(pair % size)), pa.array(uses.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "n_items", "item", "uses"])
+
+
 def bag_counts(df: DataFrame, key: str, items: str, name: str = "item") -> DataFrame:
-    """(key, item, uses) counted within each row's list."""
-    terms = F.array_distinct(items)
-    one = df.select(key, items, F.explode(terms).alias(name)).filter(F.col(name).isNotNull())
-    return one.select(key, name, (F.size(items) - F.size(F.array_remove(items, F.col(name)))).alias("uses"))
+    """(key, n_items, item, uses) counted within each row's list, with the number of its different items: one pass over Arrow batches.
+
+    Null items don't count; null and empty lists have no row.
+    """
+    kind = dict(df.dtypes)[key]
+    got = df.select(key, items).mapInArrow(_bag_batches, f"key {kind}, n_items int, item string, uses int")
+    return got.select(F.col("key").alias(key), "n_items", F.col("item").alias(name), "uses")
 
 
 def tfidf_scores(counts: DataFrame, key: str, n: int, name: str = "item") -> DataFrame:

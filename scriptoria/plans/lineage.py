@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,11 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: a job runs now.
 
-    What follows no longer depends on shuffle files of lost executors and isn't computed twice. The
-    tables are removed when the driver ends.
+    What follows no longer depends on shuffle files of lost executors and isn't computed twice. `replaces`, a table that `cut` wrote
+    and that nothing but `df` needs, is removed then: rounds of an iteration hold one table. Others go at the end of their `scope`, or
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/scriptoria/{name}-{uuid.uuid4().hex}"
@@ -37,20 +40,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(_remove)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(schema).parquet(path)
+    out._scriptoria_path = path
+    discard(replaces)
+    return out
 
 
-def drop(df_paths: list[str], spark: SparkSession) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in df_paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that `cut` wrote; anything else is left alone."""
+    for t in tables:
+        path = getattr(t, "_scriptoria_path", None)
+        if path in _WRITTEN:
+            drop(path, _WRITTEN.pop(path))
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are removed at the end: for queries whose result is consumed inside."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            drop(path, _WRITTEN.pop(path))
+
+
+def drop(path: str, spark: SparkSession) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            drop([path], spark)
-        except Exception:  # the session may be gone already
-            return
+            drop(path, spark)
+        except Exception:  # noqa: S112  a session that has ended can't remove its own; others still can
+            continue
