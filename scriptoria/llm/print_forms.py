@@ -2,9 +2,12 @@
 
 Texts of an Arrow batch are one array of code points. Lookup tables map a code point to what a reader sees:
 its compatibility decomposition (not of raised, circled or fraction signs, which look unlike their parts), look-alike letters of other scripts as Latin ones, every blank as a space,
-and nothing for characters without width. Gathers and expansion offsets apply the tables; marks are put in
-canonical order, blanks collapse, and base and mark compose again by a pair table, all without a call per
-text. Case, accents, letters, digits and punctuation stay as they are.
+and nothing for characters without width, but for joiners between pictures, which change what is shown. Gathers and expansion offsets
+apply the tables; marks are put in canonical order, blanks collapse, and base and mark compose again by a pair table, all without a call
+per text. Texts that no table entry touches skip all that. Case, accents, letters, digits and punctuation stay as they are.
+
+Which letters look alike is taken from the public table of confusable characters in the ICU library that Spark ships; where that
+library is missing, from the short list here.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +37,50 @@ LOOK_ALIKE = {
 UNLIKE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>")
 UNLIKE_SIGNS = "ſ℀℁℅℆№℡℻"
 _N = 0x110000
+#: Records of one stored text that one task pairs.
+SPLIT = 50_000
+
+
+def look_alikes(spark: SparkSession) -> dict[str, str]:
+    """Letter to the Latin letter it looks like, of the same case: the ICU library's confusables, beside LOOK_ALIKE.
+
+    Two letters are alike if the library gives both the same skeleton. Only cased letters without a decomposition of their own are asked
+    for, so digits, punctuation and accents are never merged; letters that stand for two Latin ones stay.
+    """
+    jvm = spark._jvm
+    try:
+        checker = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        skeleton = lambda x: checker.getSkeleton(0, x)
+        latin = {(skeleton(x), x.isupper()): x for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
+    except Exception:  # the class isn't there
+        return dict(LOOK_ALIKE)
+    found = {}
+    for c in range(0x80, 0x20000):
+        x = chr(c)
+        if unicodedata.category(x) in ("Lu", "Ll") and not unicodedata.decomposition(x):
+            to = latin.get((skeleton(x), unicodedata.category(x) == "Lu"))
+            if to:
+                found[x] = to
+    return found | LOOK_ALIKE
 
 
-def _tables() -> dict[str, np.ndarray]:
-    """Expansion start and length of each code point, the expansions, combining classes, and the pair table."""
+#: Pictures: a joiner between two of them joins what is shown. First and last code points.
+PICTURES = [(0x2190, 0x21FF), (0x2300, 0x23FF), (0x2600, 0x27BF), (0x2B00, 0x2BFF), (0x1F000, 0x1FAFF)]
+_JOINER, _KEPT = 0x200D, 0x10FFFD
+
+
+def _tables(look_alike: dict[str, str]) -> dict[str, np.ndarray]:
+    """Expansion start and length of each code point, the expansions, combining classes, the pair table, and which code points are touched."""
     own: dict[int, list[int]] = {}
     ccc = np.zeros(_N, np.uint8)
-    look = {ord(k): ord(v) for k, v in LOOK_ALIKE.items()}
+    look = {ord(k): ord(v) for k, v in look_alike.items()}
     compose: dict[int, int] = {}
     for c in range(_N):
         if 0xAC00 <= c <= 0xD7A3 or 0xD800 <= c <= 0xDFFF or 0x3400 <= c <= 0x9FFF or c >= 0x30000 and not 0xE0000 <= c < 0xE1000:
             continue  # syllables are done by rule, ideographs stay; nothing else stands there
         ch = chr(c)
         cat = unicodedata.category(ch)
-        if cat == "Cn" and not unicodedata.category(ch) == "Cf":
+        if cat == "Cn":
             continue
         ccc[c] = unicodedata.combining(ch)
         if cat in ("Zs", "Zl", "Zp") or ch in "\t\n\r":
@@ -67,17 +101,33 @@ def _tables() -> dict[str, np.ndarray]:
         pair = unicodedata.decomposition(ch)
         if pair and pair[0] != "<" and len(parts := [int(x, 16) for x in pair.split()]) == 2 and unicodedata.normalize("NFC", ch) == ch:
             compose[(parts[0] << 21) | parts[1]] = c
-    size = np.ones(_N, np.int64)
-    start = np.full(_N, -1, np.int64)
+    size = np.ones(_N, np.int32)
+    start = np.full(_N, -1, np.int32)
     flat: list[int] = []
     for c, x in own.items():
         start[c], size[c] = len(flat), len(x)
         flat += x
     keys = np.array(sorted(compose), np.int64)
-    return {"start": start, "size": size, "flat": np.array(flat, np.int64), "ccc": ccc, "pair": keys, "made": np.array([compose[k] for k in keys.tolist()], np.int64)}
+    t = {"start": start, "size": size, "flat": np.array(flat, np.int32), "ccc": ccc, "pair": keys, "made": np.array([compose[k] for k in keys.tolist()], np.int32)}
+    # the second of a pair may join what is before it; syllables' parts do
+    second = np.zeros(_N, bool)
+    second[keys & ((1 << 21) - 1)] = True
+    t["second"] = second
+    # a code point that comes out of the tables as it went in touches nothing on its own
+    touched = second | (ccc > 0)
+    touched[0x1100:0x1200] = True
+    asked = np.array(sorted(own), np.int32)
+    cp, row = canonical(asked, np.arange(len(asked)), t)
+    alone = np.bincount(row, minlength=len(asked)) == 1
+    value = np.full(len(asked), -1, np.int64)
+    value[row] = cp
+    touched[asked] |= ~alone | (value != asked)
+    touched[32] = False
+    t["touched"] = touched
+    return t
 
 
-_CACHE: dict[str, dict[str, np.ndarray]] = {}
+_CACHE: dict[tuple, dict[str, np.ndarray]] = {}
 
 
 def canonical(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +143,25 @@ def canonical(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tupl
         tail = syl & (s % 28 > 0)
         out[first[tail] + 2] = 0x11A7 + s[tail] % 28
         cp, row = out, orow
+    joiner = np.flatnonzero(cp == _JOINER)
+    if len(joiner):
+        picture = np.zeros(len(cp) + 1, bool)
+        for a, z in PICTURES:
+            picture[:-1] |= (cp >= a) & (cp <= z)
+        before, after = joiner - 1, joiner + 1
+        before = np.where((before > 0) & (cp[before] >= 0xFE00) & (cp[before] <= 0xFE0F), before - 1, before)
+        kept = (before >= 0) & picture[before] & picture[after]
+        kept[kept] = (row[before[kept]] == row[joiner[kept]]) & (row[after[kept]] == row[joiner[kept]])
+        cp = cp.copy()
+        cp[joiner[kept]] = _KEPT
     n = t["size"][cp]
-    src = np.repeat(np.arange(len(cp)), n)
-    start = t["start"][cp]
-    inside = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
-    row = row[src]
-    cp = np.where(start[src] >= 0, t["flat"][np.maximum(start[src] + inside, 0)] if len(t["flat"]) else 0, cp[src])
+    if (n != 1).any() or (t["start"][cp] >= 0).any():
+        src = np.repeat(np.arange(len(cp), dtype=np.int32), n)
+        start = t["start"][cp]
+        inside = np.arange(len(src), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+        row = row[src]
+        first = start[src]
+        cp = np.where(first >= 0, t["flat"][np.maximum(first + inside, 0)] if len(t["flat"]) else 0, cp[src])
     # collapse blanks, and drop them at the ends
     blank = cp == 32
     edge = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
@@ -115,27 +178,33 @@ def canonical(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tupl
         run = np.cumsum((ccc == 0) | np.r_[True, row[1:] != row[:-1]])
         order = np.lexsort((np.arange(len(cp)), ccc, run))
         cp, ccc = cp[order], ccc[order]
-    # compose, one mark at a time
+    # compose, one mark at a time: only where the second can join what is before it
     while len(cp) > 1:
-        l_, v = cp[:-1], cp[1:]
+        at = np.flatnonzero(t["second"][cp[1:]] | ((cp[1:] >= 0x1161) & (cp[1:] <= 0x11C2)))
+        at = at[row[at + 1] == row[at]]
+        if not len(at):
+            break
+        l_, v = cp[at].astype(np.int64), cp[at + 1].astype(np.int64)
         key = (l_ << 21) | v
-        at = np.minimum(np.searchsorted(t["pair"], key), len(t["pair"]) - 1)
-        same = row[1:] == row[:-1]
-        hit = (t["pair"][at] == key) & same
-        lv = same & (l_ >= 0x1100) & (l_ <= 0x1112) & (v >= 0x1161) & (v <= 0x1175)
-        lvt = same & (l_ >= 0xAC00) & (l_ <= 0xD7A3) & ((l_ - 0xAC00) % 28 == 0) & (v > 0x11A7) & (v <= 0x11C2)
-        hit |= lv | lvt
-        hit[1:] &= ~hit[:-1]  # left to right
-        if not hit.any():
+        place = np.minimum(np.searchsorted(t["pair"], key), len(t["pair"]) - 1)
+        lv = (l_ >= 0x1100) & (l_ <= 0x1112) & (v >= 0x1161) & (v <= 0x1175)
+        lvt = (l_ >= 0xAC00) & (l_ <= 0xD7A3) & ((l_ - 0xAC00) % 28 == 0) & (v > 0x11A7) & (v <= 0x11C2)
+        hit = (t["pair"][place] == key) | lv | lvt
+        made = np.where(lv, 0xAC00 + (l_ - 0x1100) * 588 + (v - 0x1161) * 28, np.where(lvt, l_ + v - 0x11A7, t["made"][place]))
+        at, made = at[hit], made[hit]
+        if not len(at):
             break
-        where = np.flatnonzero(hit)
-        made = np.where(lv, 0xAC00 + (l_ - 0x1100) * 588 + (v - 0x1161) * 28, np.where(lvt, l_ + v - 0x11A7, t["made"][at]))
+        # left to right: of hits in a row every second one waits
+        run = np.cumsum(np.r_[True, np.diff(at) > 1])
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        turn = (np.arange(len(at)) - first[run - 1]) % 2 == 0
+        at, made = at[turn], made[turn]
         cp = cp.copy()
-        cp[where] = made[where]
+        cp[at] = made
         keep = np.ones(len(cp), bool)
-        keep[where + 1] = False
+        keep[at + 1] = False
         cp, row = cp[keep], row[keep]
-    return cp, row
+    return np.where(cp == _KEPT, _JOINER, cp), row
 
 
 def code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,51 +220,58 @@ def code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     where = np.flatnonzero(lead)
     before = np.r_[0, np.cumsum(lead)]
     count = np.diff(before[np.asarray(at, np.int64) - at[0]]) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), count)
-    cp = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), count)
+    cp = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.int32)
     assert len(cp) == len(where)
     return cp, row
 
 
-def forms(text: pa.Array) -> pa.Array:
+def _encoded(cp: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, bytes]:
+    """Bytes of each of n texts, and all of them."""
+    wide = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
+    size = np.bincount(row, weights=wide, minlength=n).astype(np.int64)
+    return size, cp.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+
+
+def forms(text: pa.Array, look_alike: dict[str, str] = LOOK_ALIKE) -> pa.Array:
     """The one form of each text; null and empty stay."""
-    if "t" not in _CACHE:
-        _CACHE["t"] = _tables()
-    cp, row = canonical(*code_points(text), _CACHE["t"])
-    wide = np.where(cp < 0x80, 1, np.where(cp < 0x800, 2, np.where(cp < 0x10000, 3, 4)))
-    size = np.bincount(row, weights=wide, minlength=len(text)).astype(np.int64)
-    raw = cp.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    name = tuple(sorted(look_alike.items()))
+    if name not in _CACHE:
+        _CACHE[name] = _tables(look_alike)
+    t = _CACHE[name]
+    cp, row = code_points(text)
+    if not len(cp):
+        return text.cast(pa.large_string())
+    # texts that nothing touches, without blanks at the ends or in a row, are in their form
+    edge = np.r_[True, row[1:] != row[:-1]]
+    blank = cp == 32
+    odd = t["touched"][cp] | (blank & (edge | np.r_[edge[1:], True] | np.r_[False, blank[:-1]]))
+    touched = np.zeros(len(text), bool)
+    touched[row[odd]] = True
+    if not touched.any():
+        return text.cast(pa.large_string())
+    which = np.flatnonzero(touched)
+    number = np.cumsum(touched, dtype=np.int32) - 1
+    mine = touched[row]
+    size, raw = _encoded(*canonical(cp[mine], number[row[mine]], t), len(which))
     offsets = np.r_[0, np.cumsum(size)]
-    mask = None if not text.null_count else pa.array(text.is_valid().to_numpy(zero_copy_only=False))
-    out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw))
-    if mask is not None:
-        out = pa.compute.if_else(mask, out, pa.scalar(None, out.type))
-    return out
+    changed = pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw))
+    return pa.compute.replace_with_mask(text.cast(pa.large_string()), pa.array(touched), changed)
 
 
-def _form_batches(hashed: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        import pyarrow.compute  # noqa: F401
+def _form_batches(look_alike: dict[str, str]):
+    """(id, .., form) of (id, .., text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # long texts: a few at a time
-            step, at = 0, 0
-            text = b.column(1)
-            size = np.diff(np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]) if len(text) and pa.types.is_string(text.type) else np.ones(len(text))
-            ends = np.cumsum(size)
+            text = b.column(b.num_columns - 1)
+            size = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(size), 0
             while at < len(text):
                 step = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")) - at)
-                part = text.slice(at, step)
-                form = forms(part)
-                ids = b.column(0).slice(at, step)
-                if hashed:
-                    keys = [None if f is None else hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in form.to_pylist()]
-                    raws = [None if f is None else hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in part.to_pylist()]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["id", "form", "text"])
-                else:
-                    yield pa.RecordBatch.from_arrays([ids, form.cast(pa.string())], ["id", "form"])
+                rest = [c.slice(at, step) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*rest, forms(text.slice(at, step), look_alike).cast(pa.string())], [*b.schema.names[:-1], "form"])
                 at += step
 
     return run
@@ -203,30 +279,35 @@ def _form_batches(hashed: bool):
 
 def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, form): each text as a reader sees it. A null text gives null, an empty one ''."""
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_form_batches(False), "id long, form string")
+    look = look_alikes(df.sparkSession)
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(_form_batches(look), "id long, form string")
 
 
 def same_print(df: DataFrame, key: str, text: str) -> DataFrame:
     """(row_a, row_b): records whose stored texts differ but have one form; row_a < row_b.
 
     A record may be delivered repeatedly with the same text. Null texts, and texts empty as stored or as read, never
-    count. Only 128-bit digests are shuffled. Texts that are equal as stored are one class: pairs are made of
+    count. Only 128-bit digests are shuffled, made in the JVM. Texts that are equal as stored are one class: pairs are made of
     differing classes, then of their records, so a stock line held by a third of the rows pairs with its soiled
     variants only.
     """
-    blank = F.col(text).isNotNull() & (F.col(text) != "")
-    seen = df.filter(blank).select(F.col(key).cast("long"), F.col(text)).mapInArrow(_form_batches(True), "id long, form binary, text binary")
+    look = look_alikes(df.sparkSession)
+    digest = lambda c: F.unhex(F.md5(c))
+    seen = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).cast("long").alias("id"), digest(F.col(text)).alias("text"), F.col(text).alias("t"))
+    seen = seen.mapInArrow(_form_batches(look), "id long, text binary, form string").filter("form <> ''").select("id", digest(F.col("form")).alias("form"), "text")
     held = cut(seen.distinct(), "forms")
-    import hashlib
-
-    nothing = hashlib.blake2b(b"", digest_size=16).digest()
-    kinds = held.filter(F.col("form") != F.lit(bytearray(nothing))).groupBy("form", "text").agg(F.count("*").alias("n"))
+    kinds = held.groupBy("form", "text").agg(F.count("*").alias("n"))
     mixed = kinds.groupBy("form").agg(F.min("text").alias("x"), F.max("text").alias("y")).filter("x <> y").select("form")
     mine = cut(held.join(mixed, "form", "left_semi"), "mixed")
-    kind = mine.select("form", "text").distinct()
-    pairs = kind.withColumnRenamed("text", "x").join(kind.withColumnRenamed("text", "y"), "form").filter("x < y")
-    left, right = mine.select("form", F.col("text").alias("x"), F.col("id").alias("p")), mine.select("form", F.col("text").alias("y"), F.col("id").alias("q"))
-    rows = pairs.join(left, ["form", "x"]).join(right, ["form", "y"]).filter("p <> q")
+    kind = mine.groupBy("form", "text").agg(F.count("*").alias("n"))
+    # records of a class are split over parts: a stock line of many records meets each of its variants in every part
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    left = mine.join(kind.select("form", "text", parts.alias("parts")), ["form", "text"]).select("form", F.col("text").alias("x"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("p"))
+    # (form, x, part) of every class, and the records of every other class of its form
+    classes = kind.select("form", F.col("text").alias("x"), F.col("n").alias("n_x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    other = classes.join(kind.select("form", F.col("text").alias("y"), F.col("n").alias("n_y")), "form").filter("n_x > n_y OR (n_x = n_y AND x < y)")
+    right = other.join(mine.select("form", F.col("text").alias("y"), F.col("id").alias("q")), ["form", "y"]).select("form", "x", "part", "q")
+    rows = left.join(right, ["form", "x", "part"]).filter("p <> q")
     return rows.select(F.least("p", "q").alias("row_a"), F.greatest("p", "q").alias("row_b")).distinct()
 
 
