@@ -7,25 +7,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from scriptoria.functions.folding import fold, lower  # noqa: F401  the canonical spelling is the core's
+
 #: Unicode category Z, tab, line feed, carriage return; as an RE2 and Java character class.
 BLANK = r"\p{Z}\t\n\r"
 
 
-def lower(text: pa.Array) -> pa.Array:
-    """Lower case; texts with a capital sigma go through Python, whose final form depends on place."""
-    low = pc.utf8_lower(text)
-    greek = pc.fill_null(pc.match_substring(text, "Σ"), False)
-    if pc.any(greek).as_py():
-        own = [x.lower() for x in text.filter(greek).to_pylist()]
-        low = pc.replace_with_mask(low, greek, pa.array(own, low.type))
-    return low
-
-
-def fold(text: pa.Array) -> pa.Array:
-    """Lower case, NFKD, no combining marks; null stays null."""
-    return pc.replace_substring_regex(pc.utf8_normalize(lower(text), "NFKD"), r"\p{M}+", "")
-
-
 def fold_item(text: pa.Array) -> pa.Array:
     """`fold` plus trimmed and collapsed blanks."""
     s = pc.replace_substring_regex(fold(text), f"[{BLANK}]+", " ")

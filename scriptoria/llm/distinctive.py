@@ -3,9 +3,9 @@
 The number of uses of each term in each record is counted once. A term's frequency histogram is a handful of
 (uses, records) pairs however many records hold it; it gives both the number of records with the term and,
 by expectation-maximisation, a mixture of two Poisson laws: 'elite' records that are about the term, and the
-rest. `two_poisson` scores an occurrence count by the posterior probability of the elite component. Its order
-isn't that of uses x ln(N / records), so `p2_found`, whose order is fixed, ranks by the latter from the same
-histograms.
+rest. `scored` gives each occurrence count the posterior probability of the elite component, and the number of
+records of its term, which is that of the fit. The posterior's order isn't that of uses x ln(N / records), so `top_terms`,
+whose order is fixed, ranks the scored occurrences by the latter.
 """
 
 from __future__ import annotations
@@ -19,14 +19,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptoria.llm import records
+from scriptoria.operators import ranking
 from scriptoria.plans.lineage import cut
 
 
 def uses(df: DataFrame) -> DataFrame:
     """(row_id, n_items, term, uses) of (row_id, items), counted within each record: no shuffle."""
-    terms = F.array_distinct("items")
-    one = df.filter(F.size("items") > 0).select("row_id", F.size(terms).alias("n_items"), "items", F.explode(terms).alias("term"))
-    return one.select("row_id", "n_items", "term", (F.size("items") - F.size(F.array_remove("items", F.col("term")))).alias("uses"))
+    return ranking.bag_counts(df.select("row_id", "items"), "row_id", "items", "term")
 
 
 def histograms(counted: DataFrame) -> DataFrame:
@@ -94,17 +93,6 @@ def elite(u: str = "uses", share: str = "share", high: str = "high", low: str =
     return 1 / (1 + F.exp(-odds))
 
 
-def scored(counted: DataFrame, total: int) -> DataFrame:
-    """`counted` with records, tf-idf (uses x ln(total / records)) and the two-Poisson posterior.
-
-    A term held by more than total / 16 records is joined through a broadcast list, of which there are at most
-    16 x the mean number of terms of a record; the others meet in a shuffle no key of which holds more than a
-    sixteenth of the records.
-    """
-    fitted = two_poisson(counted, total)
-    return _joined(counted, fitted, total)
-
-
 def _joined(counted: DataFrame, stats: DataFrame, total: int) -> DataFrame:
     hot = stats.filter(F.col("records") * 16 > total)
     names = [r[0] for r in hot.select("term").collect()]
@@ -113,18 +101,25 @@ def _joined(counted: DataFrame, stats: DataFrame, total: int) -> DataFrame:
     return counted.filter(~is_hot).join(stats.filter(F.col("records") * 16 <= total), "term").unionByName(often)
 
 
-def top_terms(df: DataFrame, total: int, k: int = 3, min_items: int = 8, min_records: int = 2) -> DataFrame:
-    """(row_id, term, score, rank): the k terms of each record with the highest uses x ln(total / records).
+def scored(counted: DataFrame, total: int, min_items: int = 1, min_records: int = 1) -> DataFrame:
+    """(row_id, term, uses, records, elite, score) of `uses`, which is read twice: every occurrence count by its term's mixture.
 
-    Only records of at least `min_items` distinct terms and terms of at least `min_records` records; ties go to the
-    first by code point. Null or empty lists give no rows; one row_id must be one record.
+    elite is the two-Poisson posterior, score = uses x ln(total / records) with the records of the same fit. Only records of at least
+    `min_items` distinct terms and terms of at least `min_records` records. A term held by more than total / 16 records is joined
+    through a broadcast list, of which there are at most 16 x the mean number of terms of a record; the others meet in a shuffle no
+    key of which holds more than a sixteenth of the records. Null or empty lists give no rows; one row_id must be one record.
     """
-    counted = cut(uses(df), "uses")
-    stats = cut(histograms(counted).groupBy("term").agg(F.sum("records").alias("records")).filter(F.col("records") >= min_records), "terms")
-    got = _joined(counted.filter(F.col("n_items") >= min_items), stats, total)
+    fitted = cut(two_poisson(counted, total).filter(F.col("records") >= min_records), "mixtures")
+    got = _joined(counted.filter(F.col("n_items") >= min_items), fitted, total)
     score = F.col("uses") * F.log(F.lit(float(total)) / F.col("records"))
+    return got.select("row_id", "term", "uses", "records", elite().alias("elite"), score.alias("score"))
+
+
+def top_terms(df: DataFrame, total: int, k: int = 3, min_items: int = 8, min_records: int = 2) -> DataFrame:
+    """(row_id, term, score, elite, rank): the k occurrences of each record (`scored`) with the highest score, ties to the first term by
+    code point. The posterior isn't in that order: it says how likely the record is about the term."""
     best = W.partitionBy("row_id").orderBy(F.col("score").desc(), "term")
-    ranked = got.select("row_id", "term", score.alias("score")).withColumn("rank", F.row_number().over(best))
+    ranked = scored(cut(uses(df), "uses"), total, min_items, min_records).select("row_id", "term", "score", "elite", F.row_number().over(best).alias("rank"))
     return ranked.filter(F.col("rank") <= k)
 
 
@@ -134,7 +129,4 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_two_poisson(spark: SparkSession, d: str) -> DataFrame:
     """Every lemma of every record with its two-Poisson posterior."""
-    total = records.total(spark, d)
-    counted = cut(uses(records.lemmas(spark, d)), "uses")
-    fitted = cut(two_poisson(counted, total), "mixtures")
-    return _joined(counted, fitted, total).select("row_id", F.col("term").alias("lemma"), "uses", "records", elite().alias("elite"))
+    return scored(cut(uses(records.lemmas(spark, d)), "uses"), records.total(spark, d)).select("row_id", F.col("term").alias("lemma"), "uses", "records", "elite")
