@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.llm import arrow
+from scriptoria.plans.lineage import cut
 from scriptoria.sources.tables import table
 
 #: Least and most of each statistic in prose.
@@ -118,13 +119,31 @@ def text_types(voted: DataFrame) -> DataFrame:
     return voted.withColumn("prose", 1 / (1 + F.exp(odds)))
 
 
+#: Common words that are sent to every task; a longer list is refused before it is collected.
+MOST_COMMON = 1_000_000
+
+
+def common_words(words: DataFrame, word: str) -> list[str]:
+    """The different words of a list, checked to be short."""
+    kinds = words.select(word).filter(F.col(word).isNotNull()).distinct()
+    if (n := kinds.count()) > MOST_COMMON:
+        raise ValueError(f"{n} common words: more than {MOST_COMMON}")
+    return [r[0] for r in kinds.collect()]
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    common = [r[0] for r in table(spark, d, "function_words", "word").distinct().collect() if r[0] is not None]
+    common = common_words(table(spark, d, "function_words", "word"), "word")
     return statistics(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", common)
 
 
+def typed(stats: DataFrame) -> DataFrame:
+    """`stats` with votes and the posterior of prose. Statistics are written once: the fit and its use both read them."""
+    return text_types(cut(votes(stats), "votes"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return votes(_documents(spark, d)).select("doc_id", F.explode("votes").alias("stat"))
+    """The votes of the labelling functions; the posterior that `p10_types` reports comes from the same fit and changes none of them."""
+    return typed(_documents(spark, d)).select("doc_id", F.explode("votes").alias("stat"))
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -133,4 +152,4 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_types(spark: SparkSession, d: str) -> DataFrame:
     """Each document's votes and its posterior probability of being prose."""
-    return text_types(votes(_documents(spark, d))).select("doc_id", F.concat_ws(";", "votes").alias("votes"), F.round("prose", 6).alias("prose"), F.when(F.col("prose") >= 0.5, "prose").otherwise("other").alias("text_type"))
+    return typed(_documents(spark, d)).select("doc_id", F.concat_ws(";", "votes").alias("votes"), F.round("prose", 6).alias("prose"), F.when(F.col("prose") >= 0.5, "prose").otherwise("other").alias("text_type"))
