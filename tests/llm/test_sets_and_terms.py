@@ -159,6 +159,28 @@ def test_two_poisson_finds_the_mixture():
 def test_two_poisson_scores(spark):
     data = [(k, ["t"] * (8 if k % 10 == 0 else 1 if k % 3 == 0 else 0) + ["always"]) for k in range(300)]
     counted = distinctive.uses(spark.createDataFrame(data, "row_id long, items array<string>"))
-    got = distinctive.scored(counted, 300).withColumn("elite", distinctive.elite()).filter("term = 't'").groupBy("uses").agg(F.min("elite").alias("e")).collect()
+    got = distinctive.scored(counted, 300).filter("term = 't'").groupBy("uses").agg(F.min("elite").alias("e")).collect()
     e = {r["uses"]: r["e"] for r in got}
     assert e[8] > 0.99 and e[1] < 0.1
+
+
+def test_mixture_is_the_best_of_a_grid():
+    """The fit's likelihood isn't beaten by any mixture of a fine grid about it, nor by other starts."""
+    r = np.random.default_rng(3)
+    k = np.r_[r.poisson(4, 60), r.poisson(0.1, 1940)]
+    kinds, n = np.unique(k[k > 0], return_counts=True)
+    share, high, low = (float(x[0]) for x in distinctive.em(kinds[None, :].astype(float), n[None, :], 2000, rounds=2000))
+
+    def loglik(w, a, b):
+        x = np.r_[0, kinds]
+        m = np.r_[2000 - n.sum(), n]
+        return (m * np.log(w * a**x * np.exp(-a) + (1 - w) * b**x * np.exp(-b))).sum()
+
+    best = max(loglik(w, a, b) for w in np.linspace(0.005, 0.2, 60) for a in np.linspace(1, 8, 60) for b in np.linspace(0.01, 0.5, 60))
+    assert loglik(share, high, low) >= best - 1e-6 and 3 < high < 5 and 0.02 < share < 0.045
+
+
+def test_found_rows_carry_the_posterior(spark):
+    df = spark.createDataFrame([(k, [f"t{(k + j) % 12}" for j in range(9)] + ["t0"] * (k % 3)) for k in range(60)], "row_id long, items array<string>")
+    got = distinctive.top_terms(df, 60).collect()
+    assert {r["rank"] for r in got} == {1, 2, 3} and all(0 <= r["elite"] <= 1 for r in got)

@@ -80,7 +80,7 @@ def spelt(words, r):
     return "".join(r.choice([w, w.upper(), w.title(), unicodedata.normalize("NFD", w)]) + r.choice([" ", ", ", "\n", " — ", "... "]) for w in words)
 
 
-def test_leaks(spark, rows):
+def test_leaks(spark, rows, monkeypatch):
     r = random.Random(3)
     vocabulary = [f"pal{k}ábra" for k in range(200)]
     items = {k: [r.choice(vocabulary) for _ in range(r.randrange(10, 40))] for k in range(30)}
@@ -102,6 +102,25 @@ def test_leaks(spark, rows):
     assert rows(leaks.leaked(df, "doc_id", "text", ev, "item_id", "text")) == want and len(want) > 20
     assert leaks.leaked(df.limit(0), "doc_id", "text", ev, "item_id", "text").count() == 0
     assert leaks.leaked(df, "doc_id", "text", ev.limit(0), "item_id", "text").count() == 0
+    # in parts, whatever the bound
+    monkeypatch.setattr(leaks, "MOST_CHARS", 700)
+    assert rows(leaks.leaked(df, "doc_id", "text", ev, "item_id", "text")) == want
+    # every span holds leaking windows and no more; without the spans nothing leaks that did before
+    spans = leaks.leaked(df, "doc_id", "text", ev, "item_id", "text", spans=True)
+    got, text = spans.collect(), {r["doc_id"]: r["text"] for r in df.collect()}
+    split = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", regex.sub(r"\p{M}", "", unicodedata.normalize("NFKD", t.lower()))) if w]
+    plain = {i: [unicodedata.normalize("NFKD", x).replace("\u0301", "") for x in w] for i, w in items.items()}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(want)
+    for r in got:
+        own, item = split(text[r["doc_id"]][r["start"] : r["end"]]), plain[r["item_id"]]
+        windows = {tuple(item[p : p + 12]) for p in range(len(item) - 11)}
+        assert len(own) >= 12 and tuple(own[:12]) in windows and tuple(own[-12:]) in windows
+    left = leaks.cleaned(df, "doc_id", "text", spans)
+    kept = {r["doc_id"]: (r["text"], r["removed"]) for r in left.collect()}
+    assert leaks.leaked(left, "doc_id", "text", ev, "item_id", "text").count() == 0
+    leaking = {d for d, _ in want}
+    assert all(kept[d] == (t, 0) for d, t in text.items() if d not in leaking) and all(kept[d][1] > 0 for d in leaking if d in kept)
+    assert len(leaks.cleaned(df, "doc_id", "text", spans, 0.01).filter("removed > 0").collect()) == 0
 
 
 def test_leaks_are_verified(monkeypatch, spark):
@@ -144,3 +163,50 @@ def test_votes_and_types(spark):
     typed = text_quality.text_types(spark.createDataFrame(votes, "doc_id long, votes array<string>")).collect()
     assert sum((x["prose"] >= 0.5) == prose[x["doc_id"]] for x in typed) / 2000 > 0.94
     assert text_quality.text_types(spark.createDataFrame([], "doc_id long, votes array<string>")).count() == 0
+
+
+def test_types_find_planted_prose(spark):
+    """Planted truth: running prose and lists, told apart without a label."""
+    r = random.Random(9)
+    common, other = ["de", "la", "que", "y", "el", "en"], ["noche", "ventana", "escritura", "silencio", "lector", "memoria", "ciudad"]
+    sentence = lambda: " ".join(r.choice(common if r.random() < 0.45 else other) for _ in range(r.randrange(6, 15))).capitalize() + r.choice([".", ".", "?", ","])
+    entry = lambda: f"{r.choice(other).title()} {'.' * r.randrange(3, 12)} {r.randrange(1, 400)}"
+    prose = [r.random() < 0.75 for _ in range(1500)]
+    docs = [(k, "\n".join(sentence() for _ in range(r.randrange(4, 14))) if p else "\n".join(entry() for _ in range(r.randrange(4, 40)))) for k, p in enumerate(prose)]
+    got = {x["doc_id"]: x["prose"] for x in text_quality.typed(text_quality.statistics(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", common)).collect()}
+    assert sum((got[k] >= 0.5) == p for k, p in enumerate(prose)) >= 0.97 * len(prose)
+
+
+def test_public_confusables(spark):
+    look = print_forms.look_alikes(spark)
+    of = lambda x: print_forms.forms(pa.array([x]), look).to_pylist()[0]
+    for a, b in (("\u03c1", "p"), ("\u0585", "o"), ("\u13aa", "A"), ("\u0251", "a"), ("\u0430", "a"), ("\u041e", "O")):
+        assert of(a) == of(b) == b
+    # case, accents, digits and marks never merge, nor do Latin letters with each other
+    for a, b in (("\u041e", "o"), ("O", "0"), ("l", "1"), ("l", "I"), ("|", "l"), ("\u00e1", "a"), ("rn", "m"), ("c", "e"), (",", ".")):
+        assert of(a) != of(b)
+    plain = [chr(c) for c in range(32, 127)]
+    assert [of(f"x{c}x") for c in plain] == [f"x{c}x" for c in plain]
+
+
+def test_joiners_between_pictures_are_seen():
+    woman, school, heart = "\U0001f469", "\U0001f3eb", "\u2764\ufe0f"
+    assert form(f"{woman}\u200d{school}") != form(f"{woman}{school}")
+    assert form(f"{heart}\u200d{woman}") != form(f"{heart}{woman}") and form(heart) == form("\u2764")
+    assert form("a\u200db") == form("ab") and form(f"{woman}\u200d") == form(woman) and form(f"\u200d{woman}") == form(woman)
+
+
+def test_form_of_a_batch_is_that_of_each_text():
+    r = random.Random(8)
+    alphabet = ["a", "é", "e\u0301", " ", "  ", "\u00a0", "\u200b", "н", "가", "ㄱ", "\u1100\u1161\u11a8", "ﬁ", "x", "\n", "½", "ｗ", "\u0327\u0301"]
+    own = ["".join(r.choice(alphabet) for _ in range(r.randrange(0, 30))) for _ in range(300)] + ["plain", "dos palabras", None, ""]
+    assert print_forms.forms(pa.array(own)).to_pylist() == [None if t is None else form(t) for t in own]
+
+
+def test_print_pairs_of_split_classes(spark, rows, monkeypatch):
+    data = [(k, "una nota") for k in range(40)] + [(100 + k, "una\u00a0nota") for k in range(7)] + [(200 + k, "una  nota") for k in range(7)] + [(300, "otra nota")]
+    df = spark.createDataFrame(data, "row_id long, t string")
+    kind = {k: t for k, t in data if k < 300}
+    want = sorted((a, b) for a in kind for b in kind if a < b and kind[a] != kind[b])
+    monkeypatch.setattr(print_forms, "SPLIT", 6)
+    assert rows(print_forms.same_print(df, "row_id", "t")) == want
