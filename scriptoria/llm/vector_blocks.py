@@ -1,7 +1,7 @@
 """Blocked joins of vectors: which pairs of blocks can hold a pair above a similarity, and their tasks.
 
-Centres are chosen from a bounded sample (`SAMPLE` vectors) so that no two lie within the radius; only those with
-company become centres. A vector within the radius of its nearest centre is a member of that centre's cell,
+Centres are chosen from a sample so that no two lie within the radius; only those with company become centres. Their number
+grows as the root of that of the vectors, so placing n vectors and comparing them within their cells both cost n^1.5. A vector within the radius of its nearest centre is a member of that centre's cell,
 any other is an outlier. By the triangle inequality of angles a pair above the threshold lies in one cell, or
 one of the two visits the other's cell, being within radius + threshold angle of its centre, or both are
 outliers. So nothing is lost, wherever the centres lie; a poor sample only makes more outliers, which are
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that centres are chosen from, and centres at most.
-SAMPLE, CENTRES = 8192, 2048
+#: Centres at most: so many, or so many times the root of the number of vectors if that is more; and vectors of the sample for each.
+CENTRES, OF_ROOT, SAMPLE = 2048, 2, 4
 #: Vectors of a chunk of a cell; of the outliers, which are compared in full but seldom linked.
 BLOCK, FAR_BLOCK = 16384, 65536
 OUTLIERS = -1
@@ -72,20 +72,28 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def centres(vectors: DataFrame, radius: float) -> np.ndarray:
-    """At most CENTRES unit vectors, no two within `radius` (radians), from a sample of SAMPLE vectors in hash order."""
-    got = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow().column(0)
+def centres(vectors: DataFrame, radius: float, n: int) -> np.ndarray:
+    """Unit vectors, no two within `radius` (radians), from a sample in hash order of the n vectors or rows they come from.
+
+    At most max(CENTRES, OF_ROOT x root of n) centres from SAMPLE times as many vectors, which is what comes to the driver: 8,192 up to
+    a million vectors, 80,000 (20 MB) at a hundred million. Company is counted a block at a time, never as a matrix.
+    """
+    most = max(CENTRES, int(OF_ROOT * math.sqrt(n)))
+    got = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * most).select("vec").toArrow().column(0)
     m = unit32(unpacked(got))
     if len(got) == 0:
         return np.zeros((0, 1), np.float32)
-    near = np.concatenate([m[i : i + 1024] @ m.T >= math.cos(radius) for i in range(0, len(m), 1024)])
+    close = math.cos(radius)
+    company = np.concatenate([(m[i : i + 1024] @ m.T >= close).sum(1) for i in range(0, len(m), 1024)])
     free, chosen = np.ones(len(m), bool), []
-    for i in np.argsort(-near.sum(1), kind="stable"):
+    for i in np.argsort(-company, kind="stable"):
+        if company[i] < 2 or len(chosen) == most:
+            break
         if free[i]:
-            if (near[i] & free).sum() < 2 or len(chosen) == CENTRES:
-                continue
-            chosen.append(i)
-            free &= ~near[i]
+            near = m @ m[i] >= close
+            if (near & free).sum() >= 2:
+                chosen.append(i)
+                free &= ~near
     return m[chosen]
 
 
@@ -123,20 +131,21 @@ def tiled(at: DataFrame, block: int = BLOCK, far_block: int = FAR_BLOCK) -> Data
 
     Members of a cell are chunks 0..g-1; visitors of a cell are chunks of their own, compared with members only. side 1
     is the right side where i <> j; with i = j all are side 0. Chunk counts come from one count per cell, of which there
-    are at most CENTRES + 1.
+    is one more than centres.
     """
+    spark = at.sparkSession
     home = {r[0]: r[1] for r in at.groupBy("home").count().collect()}
     away = {r[0]: r[1] for r in at.select(F.explode("visits").alias("c")).groupBy("c").count().collect()}
-    g = {c: max(1, -(-n // (far_block if c == OUTLIERS else block))) for c, n in home.items()}
-    v = {c: max(1, -(-n // block)) for c, n in away.items()}
-    pick = lambda d, c: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), c) if d else F.lit(1)
+    # chunks of members and of visitors of each cell that has members: as many rows as cells, joined, not searched
+    sizes = [(c, max(1, -(-n // (far_block if c == OUTLIERS else block))), -(-away.get(c, 0) // block)) for c, n in home.items()]
+    size = F.broadcast(spark.createDataFrame(sizes, "cell int, g int, v int"))
     rest = [c for c in at.columns if c not in ("home", "visits")]
     chunk = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    members = at.select(F.col("home").alias("cell"), chunk(pick(g, F.col("home"))).alias("own"), pick(g, F.col("home")).alias("g"), F.coalesce(pick(v, F.col("home")), F.lit(0)).alias("v"), *rest)
+    members = at.withColumnRenamed("home", "cell").join(size, "cell").select("cell", chunk(F.col("g")).alias("own"), "g", "v", *rest)
     other = F.explode(F.sequence(F.lit(0), F.col("g") + F.col("v") - 1)).alias("other")
     members = members.select("cell", "own", "g", other, *rest)
     members = members.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), *rest)
-    visitors = at.select(F.explode("visits").alias("cell"), *rest)
-    visitors = visitors.select("cell", chunk(pick(v, F.col("cell"))).alias("own"), pick(g, F.col("cell")).alias("g"), *rest).filter("g IS NOT NULL")
+    visitors = at.select(F.explode("visits").alias("cell"), *rest).join(size, "cell")
+    visitors = visitors.select("cell", chunk(F.col("v")).alias("own"), "g", *rest)
     visitors = visitors.select("cell", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), (F.col("g") + F.col("own")).alias("j"), F.lit(1).alias("side"), *rest)
     return members.unionByName(visitors)

@@ -22,7 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptoria.llm import records, vector_blocks
-from scriptoria.plans.lineage import cut
+from scriptoria.operators import ranking
+from scriptoria.plans.lineage import cut, discard
 from scriptoria.sources.tables import table
 
 #: Rows and columns of a piece of a product, chosen for the processor's cache.
@@ -154,12 +155,13 @@ def _pointers(threshold: float):
 def peaks(pointers: DataFrame) -> DataFrame:
     """(id, peak) of everything that points somewhere, by pointer doubling: log2 of the longest path rounds."""
     now = cut(pointers.select("id", "to"), "pointers")
+    last = now
     while True:
-        on = now.toDF("to", "next")
-        now = cut(now.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "jumps")
+        on = now.select("id", "to").toDF("to", "next")
+        now = cut(now.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "jumps", replaces=last)
         if now.filter("moved").isEmpty():
             return now.select("id", F.col("to").alias("peak"))
-        now = now.select("id", "to")
+        last, now = now, now.select("id", "to")
 
 
 def smallest(edges: DataFrame) -> DataFrame:
@@ -175,10 +177,11 @@ def smallest(edges: DataFrame) -> DataFrame:
         step = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).select(F.col("a").alias("id"), "low"), "minima")
         # follow the minima of this round to their ends
         flat = peaks(step.filter("low < id").select("id", F.col("low").alias("to"))).select("id", F.col("peak").alias("low"))
-        label = flat if label is None else cut(_through(label, flat).unionByName(flat.join(label, "id", "left_anti")), "labels")
+        label = flat if label is None else cut(_through(label, flat).unionByName(flat.join(label, "id", "left_anti")), "labels", replaces=label)
         x, y = flat.select(F.col("id").alias("a"), F.col("low").alias("x")), flat.select(F.col("id").alias("b"), F.col("low").alias("y"))
         moved = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("p"), F.coalesce("y", "b").alias("q")).filter("p <> q")
-        edges = cut(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "links")
+        edges = cut(moved.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "links", replaces=edges)
+        discard(step)
     return label if label is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("low"))
 
 
@@ -196,7 +199,7 @@ def clusters(df: DataFrame, key: str, values: str, width: int = 64, threshold: f
     """
     angle = math.acos(threshold)
     vectors = vector_blocks.usable(df, key, values, width)
-    centre = vector_blocks.centres(vectors, angle)
+    centre = vector_blocks.centres(vectors, angle, df.count())
     at = cut(vector_blocks.placed(vectors, centre, angle, angle), "placed")
     tiles = vector_blocks.tiled(at)
     degree = tiles.groupBy("cell", "i", "j").applyInArrow(_degrees(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("density"))
@@ -238,8 +241,8 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     a, b, c = F.col("a"), F.col("n_g") - F.col("a"), F.col("n_l") - F.col("a")
     odds = F.log((a + 0.5) * (F.lit(n) - b - c - a + 0.5) / ((b + 0.5) * (c + 0.5)))
     cell = inside.join(size, "cluster_key").withColumn("odds", odds)
-    w = W.partitionBy("cluster_key")
-    cell = cell.withColumn("top", F.row_number().over(w.orderBy(F.col("a").desc(), "lemma"))).withColumn("own", F.row_number().over(w.orderBy(F.when(F.col("a") >= 3, 0).otherwise(1), F.col("odds").desc(), "lemma")))
-    said = lambda rank, keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(rank, "lemma")))), lambda x: x["lemma"]), ";")
-    words = cell.filter("top <= 10 OR own <= 10").groupBy("cluster_key").agg(said("top", F.col("top") <= 10).alias("top_lemmas"), said("own", (F.col("own") <= 10) & (F.col("a") >= 3)).alias("distinctive_lemmas"))
+    # a limit per group runs before each shuffle, so no task ranks all lemmas of a cluster
+    top = ranking.joined_list(ranking.top_per(cell, 10, ["cluster_key"], F.col("a").desc(), F.col("lemma")), ["cluster_key"], "rank", "lemma", "top_lemmas", ";")
+    own = ranking.joined_list(ranking.top_per(cell.filter("a >= 3"), 10, ["cluster_key"], F.col("odds").desc(), F.col("lemma")), ["cluster_key"], "rank", "lemma", "distinctive_lemmas", ";")
+    words = top.join(own, "cluster_key", "left").withColumn("distinctive_lemmas", F.coalesce("distinctive_lemmas", F.lit("")))
     return member.groupBy("cluster_key").agg(F.first("size").alias("size")).join(typical, "cluster_key").join(words, "cluster_key", "left").select("cluster_key", "size", "typical", "top_lemmas", "distinctive_lemmas")

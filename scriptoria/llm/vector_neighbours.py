@@ -9,7 +9,8 @@ are computed again from the floats and merged to k per query.
 Where a tile holds so many near-equal vectors that bounds can't tell them apart, it gives on its own name instead of
 its survivors, and is done again from the floats: k candidates per query, however dense it is.
 
-With a floor, `vector_blocks` rules out pairs of blocks that can't reach it; without, all chunks meet.
+With a floor, `vector_blocks` rules out pairs of blocks that can't reach it. A stated query set meets all chunks. Without either
+every chunk meets every other: exact, and quadratic.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def neighbours(df: DataFrame, key: str, values: str, k: int, floor: float | None
     elif floor is not None:
         angle = math.acos(floor)
         radius = max(angle, math.acos(0.85))
-        at = vector_blocks.placed(raw, vector_blocks.centres(raw, radius), radius, angle)
+        at = vector_blocks.placed(raw, vector_blocks.centres(raw, radius, df.count()), radius, angle)
     else:
         at = raw.select("id", "vec", F.lit(vector_blocks.OUTLIERS).alias("home"), F.array().cast("array<int>").alias("visits"))
     at = cut(at, "placed")
