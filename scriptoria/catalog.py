@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.operators import assoc, cluster, evaluation, figures, groups, inference, pairs, people, postings, probe, ranking, rankstats, resample, sampling, segment, vectors
-from scriptoria.plans.lineage import cut
-from scriptoria.sources import corpus, files
+from scriptoria.plans.lineage import cut, new_path
+from scriptoria.sources import corpus, files, markup
 from scriptoria.sources.tables import table
 from scriptoria.streaming import counts
 
@@ -148,7 +148,7 @@ def _asked():
 # --- scans and projections ----------------------------------------------------------------------------------------
 
 
-@_query("load_paragraphs__S10_K1", "SELECT row_id, issue, text_id, length(text) AS n_chars, len(persons) AS n_persons FROM par", "par")
+@_query("load_paragraphs__S10", "SELECT row_id, issue, text_id, length(text) AS n_chars, len(persons) AS n_persons FROM par", "par")
 def _(spark, d):
     return corpus.paragraphs(spark, d, "issue", "text_id", "text", "persons").select("row_id", "issue", "text_id", F.length("text").alias("n_chars"), F.size("persons").alias("n_persons"))
 
@@ -188,7 +188,7 @@ def _bucketed_people(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", "birth_year", "country", people.region(F.col("country")).alias("region"), people.period(F.col("birth_year")).alias("period"))
 
 
-@_query("prosopography__S5_S6_P6_P7_P8_J8_J9", "SELECT id, birth_year, country, region, period FROM pro", "pro")
+@_query("demographic_buckets__P7_P8_J8_J9", "SELECT id, birth_year, country, region, period FROM pro", "pro")
 def _(spark, d):
     return _bucketed_people(spark, d)
 
@@ -224,7 +224,7 @@ def _(spark, d):
     return postings.candidates(_tokens(spark, d), table(spark, d, "function_words").select(F.col("word").alias("item")).distinct(), SEEDS)
 
 
-@_query("segments__P17_S9")
+@_query("segments__P17")
 def _(spark, d):
     s = segment.segmented(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
     return s.select("doc_id", "place", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
@@ -277,12 +277,12 @@ def _(spark, d):
     return p.select("issue", F.concat(F.lit("prop_"), F.replace("issue", F.lit("-"), F.lit("_"))).alias("col"), "n")
 
 
-@_query("titles__S8_J13", "SELECT doc_id, coalesce(nullif(trim(title), ''), source) AS title FROM documents")
+@_query("titles__J13", "SELECT doc_id, coalesce(nullif(trim(title), ''), source) AS title FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), "source").alias("title"))
 
 
-@_query("note_shares__S7", "SELECT issue, count_if(has_note) AS n_notes, count(*) AS n FROM par GROUP BY ALL", "par")
+@_query("note_shares__A10", "SELECT issue, count_if(has_note) AS n_notes, count(*) AS n FROM par GROUP BY ALL", "par")
 def _(spark, d):
     return corpus.paragraphs(spark, d, "issue", "has_note").groupBy("issue").agg(F.count_if("has_note").alias("n_notes"), F.count("*").alias("n"))
 
@@ -304,6 +304,124 @@ def _(spark, d):
     return inference.vector_check(table(spark, d, "para_vectors"), "embeddings")
 
 
+# --- markup and files ---------------------------------------------------------------------------------------------
+# The tables are written as TEI documents, one per row, and read back by the scans; the SQL reads the tables.
+
+_XML_SPACE = r"[\s\x0b\x{85}\p{Z}]+"
+_LINE = lambda x: f"trim(regexp_replace(regexp_replace({x}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '{_XML_SPACE}', ' ', 'g'))"
+
+
+def _xml(x):
+    """A value as it may stand in a document: no control characters, signs of markup escaped; null is empty."""
+    out = F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def _tei(df: DataFrame, name, *body) -> DataFrame:
+    """(path, name, content): a document per row; body parts are strings or columns."""
+    parts = [F.lit(x) if isinstance(x, str) else x for x in ("<TEI xmlns='http://www.tei-c.org/ns/1.0'><text><body>", *body, "</body></text></TEI>")]
+    return df.select(F.lit("").alias("path"), name.cast("string").alias("name"), F.concat(*parts).alias("content"))
+
+
+def _attribute(name: str, x):
+    return F.when(x.isNotNull(), F.concat(F.lit(f' {name}="'), _xml(x), F.lit('"'))).otherwise("")
+
+
+def _paragraph_documents(spark, d) -> DataFrame:
+    p = table(spark, d, "paragraphs").withColumn("persons", T.clean_ids(F.col("persons")))
+    p = corpus.delivered_once(p, "row_id", "para_id", "text_id", "div_type", "text", "persons", "has_note")
+    refs = F.array_join(F.transform("persons", lambda x: F.concat(F.lit("#"), x)), " ")
+    note = F.when(F.col("has_note"), ' <note resp="#ED">nota<persName ref="#en_nota"/></note>').otherwise("")
+    outside = F.when(F.col("row_id") % 2 == 1, "<note>fuera</note>").otherwise("")
+    return _tei(
+        p, F.col("row_id"), "<div", _attribute("xml:id", F.coalesce("text_id", F.lit("sin"))), _attribute("type", F.coalesce("div_type", F.lit("texto"))), ">", outside, "<p", _attribute("xml:id", F.col("para_id")), ">",
+        _xml(F.col("text")), "<persName", _attribute("ref", refs), "/>", note, "</p></div>",
+    )
+
+
+@_query("markup_paragraphs__S1_S2_P2_P3_P4", f"SELECT row_id, para_id, coalesce(text_id, 'sin') AS text_id, coalesce(div_type, 'texto') AS div_type, array_to_string(persons, ' ') AS persons, coalesce(has_note, false) AS has_note, md5({_LINE('coalesce(text, chr(32)) || CASE WHEN has_note THEN chr(32) || chr(110) || chr(111) || chr(116) || chr(97) ELSE chr(32) END')}) AS digest FROM rec", "rec")
+def _(spark, d):
+    """Every record's paragraph as the scan reads it from its document: mentions within notes aren't cited."""
+    got = markup.extracted(_paragraph_documents(spark, d), markup.paragraph_rows)
+    return got.select(F.col("issue").cast("long").alias("row_id"), "para_id", "text_id", "div_type", F.array_join("persons", " ").alias("persons"), "has_note", F.md5("text").alias("digest"))
+
+
+@_query("markup_notes__S7", "SELECT count_if(has_note) + count_if(row_id % 2 = 1) AS n_notes, count_if(has_note) AS n_ed, count_if(has_note) AS n_ed_in_p, count_if(has_note) AS n_notes_in_p FROM rec", "rec")
+def _(spark, d):
+    return markup.note_counts(markup.extracted(_paragraph_documents(spark, d), markup.note_rows))
+
+
+@_query("markup_titles__S8", f"SELECT doc_id, coalesce(nullif({_LINE('title')}, ''), {_LINE('source')}, '') AS title FROM documents")
+def _(spark, d):
+    """The first non-empty head of two divisions of one key."""
+    div = lambda x: F.concat(F.lit("<div xml:id='t'><head>"), _xml(F.col(x)), F.lit("</head></div>"))
+    docs = _tei(table(spark, d, "documents", "doc_id", "title", "source"), F.col("doc_id"), "<div><p/></div>", div("title"), div("source"))
+    keyed = docs.withColumn("content", F.replace("content", F.lit("xml:id='t'"), F.concat(F.lit("xml:id='"), F.col("name"), F.lit("'"))))
+    got = markup.extracted(keyed, markup.title_rows).filter(F.col("text_id").try_cast("long").isNotNull())
+    return got.select(F.col("text_id").cast("long").alias("doc_id"), "title")
+
+
+@_query("markup_concepts__S3", "SELECT DISTINCT unnest(ana_gold) AS id, upper(unnest(ana_gold)) AS label FROM rec", "rec")
+def _(spark, d):
+    """The inventory of concepts; one without an id is skipped."""
+    one = F.transform("ana_gold", lambda x: F.concat(F.lit("<interp xml:id='"), _xml(x), F.lit("'> "), _xml(F.upper(x)), F.lit("\n</interp>")))
+    docs = _tei(_gold(spark, d), F.col("row_id"), "<interpGrp><interp>sin id</interp>", F.array_join(one, ""), "</interpGrp>")
+    return markup.extracted(docs, markup.concept_rows).distinct()
+
+
+_CTE["mpro"] = f"SELECT id, {_LINE('coalesce(name, chr(32))')} AS name, birth_year, death_year, c AS country, {_REGION} AS region, {_PERIOD} AS period, wikidata FROM (SELECT * EXCLUDE (country), {_COUNTRY.replace('trim(country)', 'tc')} AS c FROM (SELECT *, nullif({_LINE('country')}, '') AS tc FROM persons_prosopography))"
+
+
+@_query("markup_people__S4_S5_S6_P6", "SELECT id, name, birth_year, death_year, country, region, period FROM mpro", "mpro")
+def _(spark, d):
+    """Persons and places of documents, joined: years from dates, the place's country, its region, the year's period."""
+    p = table(spark, d, "persons_prosopography", "id", "name", "birth_year", "death_year", "country")
+    year = lambda c: F.concat(F.when(F.col(c) < 0, "-").otherwise(""), F.lpad(F.abs(c).cast("string"), 4, "0"))
+    when = lambda tag, c, more="": F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{tag}><date when='"), year(c), F.lit(f"{more}'/>"))).otherwise(f"<{tag}>")
+    has = F.col("country").isNotNull() & (F.trim(F.regexp_replace("country", r"[\s\p{Z}]+", "")) != "")
+    place = F.when(has, F.concat(F.lit("<place"), _attribute("xml:id", F.concat(F.lit("pl_"), F.col("id"))), F.lit("><location><country>"), _xml(F.col("country")), F.lit("</country></location></place>"))).otherwise("")
+    docs = _tei(
+        p, F.col("id"), "<listPlace>", place, "</listPlace><listPerson><person", _attribute("xml:id", F.col("id")), "><persName>", _xml(F.col("name")), "</persName>",
+        when("birth", "birth_year", "-10-30"), "<placeName", _attribute("ref", F.concat(F.lit("#pl_"), F.col("id"))), "/></birth>", when("death", "death_year"), "</death></person></listPerson>",
+    )
+    got = people.prosopography(markup.extracted(docs, markup.person_rows), markup.extracted(docs, markup.place_rows))
+    return got.select("id", "name", "birth_year", "death_year", "country", "region", "period")
+
+
+@_query("saved_table__K1_K2_S11", "SELECT id, name, country FROM persons_prosopography")
+def _(spark, d):
+    """A table written as Parquet, read, written as CSV and read again."""
+    one, two = new_path(spark, "saved"), new_path(spark, "csv")
+    files.write_parquet(table(spark, d, "persons_prosopography", "id", "name", "country"), one)
+    files.write_csv(spark.read.parquet(one), two)
+    return files.csv(spark, two, "id string, name string, country string")
+
+
+@_query("saved_settings__K3_S14", f"SELECT count(*) AS n_rows, '{'; '.join(SEEDS)}' AS seeds FROM concept_layer")
+def _(spark, d):
+    """Provenance written as JSON and read as settings."""
+    path = new_path(spark, "settings")
+    files.write_manifest(table(spark, d, "concept_layer").agg(F.count("*").alias("n_rows")).withColumn("seeds", F.array(*map(F.lit, SEEDS))), path)
+    return files.settings(spark, path, "n_rows long, seeds array<string>").select("n_rows", F.array_join("seeds", "; ").alias("seeds"))
+
+
+@_query("stop_words__S15", r"SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(trim(word)), '\s+')) AS word FROM function_words) WHERE regexp_full_match(word, '\p{L}+')")
+def _(spark, d):
+    path = new_path(spark, "words")
+    words = table(spark, d, "function_words", "word").select(F.col("word").alias("value")).filter("value IS NOT NULL")
+    words.union(spark.createDataFrame([("# nota",), ("",)], "value string")).write.text(path)
+    return files.stop_words(spark, path)
+
+
+@_query("open_words__P21", r"SELECT DISTINCT row_id, word FROM (SELECT row_id, unnest(list_filter(regexp_extract_all(lower(array_to_string(list_filter(terms, lambda x: x IS NOT NULL), ' ')), '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '\p{L}{3,}'))) AS word FROM concept_layer) WHERE word NOT IN (SELECT word FROM function_words WHERE word IS NOT NULL)")
+def _(spark, d):
+    """The open words of each record's terms, with accents, without stop words."""
+    got = table(spark, d, "concept_layer").select("row_id", F.explode(T.open_words(F.array_join("terms", ";"))).alias("word"))
+    return got.join(table(spark, d, "function_words", "word").distinct(), "word", "left_anti").select("row_id", "word")
+
+
 # --- postings and associations ------------------------------------------------------------------------------------
 
 
@@ -399,7 +517,7 @@ def _(spark, d):
 _CTE["itn"] = "SELECT item, issue, count(*) AS k FROM lp JOIN lf USING (item) JOIN par USING (row_id) WHERE issue IS NOT NULL GROUP BY ALL"
 
 
-@_query("dispersion__A24_A25", "SELECT item, round(max(k) / sum(k), 6) AS dispersion, (arg_max(issue, (k, issue))) AS dominant FROM itn GROUP BY item", "itn")
+@_query("dispersion__A24", "SELECT item, round(max(k) / sum(k), 6) AS dispersion, (arg_max(issue, (k, issue))) AS dominant FROM itn GROUP BY item", "itn")
 def _(spark, d):
     got = postings.frequent(_lemmas(spark, d), 10)[0].join(corpus.paragraphs(spark, d, "issue").filter("issue IS NOT NULL"), "row_id").groupBy("item", "issue").agg(F.count("*").alias("k"))
     return got.groupBy("item").agg(F.round(F.max("k") / F.sum("k"), 6).alias("dispersion"), F.max_by("issue", F.struct("k", "issue")).alias("dominant"))
@@ -729,6 +847,16 @@ def _(spark, d):
     return figures.binned_medians(_graded(spark, d), "jac", "cos", _BINS)
 
 
+_COHERENT = f"(SELECT delta FROM ({_shared_test_sql('lemmas')}) WHERE class = 'shared'), (SELECT corr(a, b) AS rho FROM (SELECT {_MID('cos')} AS a, {_MID('jac')} AS b FROM gc))"
+
+
+@_query("coherence_verdict__R18", f"SELECT CASE WHEN delta >= 0.33 THEN 'strong' WHEN delta >= 0.15 THEN 'modest' ELSE 'none' END AS strength, CASE WHEN rho >= 0.15 THEN 'tracks' WHEN rho >= 0.05 THEN 'weak' ELSE 'none' END AS graded FROM {_COHERENT}", "pr", "gc")
+def _(spark, d):
+    delta = _Q["shared_concept_test__R13"](spark, d).filter("class = 'shared'").select("delta")
+    rho = rankstats.spearman(_graded(spark, d), "cos", "jac").select("rho")
+    return delta.join(rho).select(*probe.coherence(F.col("delta"), F.col("rho")))
+
+
 # --- pair mining --------------------------------------------------------------------------------------------------
 
 _HOT = lambda name, cond, order: f"(SELECT '{name}' AS direction, i, j, round(e_cos, 4) AS e_cos, round(c_jaccard, 4) AS c_jaccard, shared_lemmas, h_shared FROM el WHERE {cond} ORDER BY el.e_cos {order}, i, j LIMIT 200)"

@@ -77,6 +77,11 @@ def words(text: Column, least: int = 4) -> Column:
     return F.array_distinct(F.filter(found, lambda w: w.rlike(rf"^\p{{L}}{{{least},}}$")))
 
 
+def open_words(text: Column) -> Column:
+    """The distinct lower-case words of three letters and more of a ';' list, with their accents. Stop words are the caller's to take out."""
+    return words(F.translate(text, ";", " "), 3)
+
+
 def excerpt(text: Column, most: int = 280) -> Column:
     """The text on one line, cut with an ellipsis."""
     line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+", " "))

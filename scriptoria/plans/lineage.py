@@ -27,6 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed with the tables of its scope."""
+    path = f"{shared_folder(spark).rstrip('/')}/scriptoria/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove)
+    _WRITTEN[path] = spark
+    return path
+
+
 def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: a job runs now.
 
@@ -35,12 +44,8 @@ def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFram
     when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/scriptoria/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    path, schema = new_path(spark, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove)
-    _WRITTEN[path] = spark
     out = spark.read.schema(schema).parquet(path)
     out._scriptoria_path = path
     discard(replaces)
