@@ -49,6 +49,8 @@ SQL = {
           FROM u JOIN df USING (item) SEMI JOIN wide USING (row_id), tot WHERE records >= 2)
     SELECT row_id, item AS lemma FROM s WHERE rk <= 3""",
     "p3_counts": f"WITH {_BOTH} SELECT field, item, uses, records FROM counts",
+    "p3_phrases": f"""WITH l AS (SELECT row_id, list_filter(list_transform(coalesce(lemmas, []), lambda u: trim(regexp_replace(strip_accents(lower(u)), '[\\p{{Z}}\\t\\n\\r]+', ' ', 'g'))), lambda x: x IS NOT NULL AND x <> '') AS a FROM concept_layer)
+    SELECT array_to_string(g, ' | ') AS terms, count(*) AS uses, count(DISTINCT row_id) AS records FROM (SELECT row_id, a[k:k + m - 1] AS g FROM (SELECT row_id, a, m, unnest(range(1, len(a) - m + 2)) AS k FROM l, (SELECT unnest([1, 2, 3]) AS m))) GROUP BY g""",
     "p3_found": f"""WITH {_BOTH}
     SELECT field, item, mark FROM (
       SELECT field, item, CASE WHEN records < CASE field WHEN 'lemmas' THEN 10 ELSE 5 END THEN 'rare'
@@ -58,6 +60,18 @@ SQL = {
     pairs AS (SELECT x.field, x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM d x JOIN d y ON x.field = y.field AND x.row_id = y.row_id AND x.item < y.item GROUP BY ALL)
     SELECT p.field, item_a, item_b FROM pairs p JOIN counts a ON a.field = p.field AND a.item = item_a JOIN counts b ON b.field = p.field AND b.item = item_b, tot
     WHERE n_ab >= CASE p.field WHEN 'lemmas' THEN 8 ELSE 5 END AND n_ab * n >= 15 * a.records * b.records""",
+    "p5_lift": f"""WITH {_BOTH},
+    d AS (SELECT DISTINCT field, row_id, item FROM both_ JOIN counts USING (field, item) WHERE records >= CASE field WHEN 'lemmas' THEN 10 ELSE 5 END),
+    pairs AS (SELECT x.field, x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM d x JOIN d y ON x.field = y.field AND x.row_id = y.row_id AND x.item < y.item GROUP BY ALL)
+    SELECT p.field, item_a, item_b, a.records AS n_a, b.records AS n_b, n_ab, n_ab * n::DOUBLE / (a.records * b.records) AS lift FROM pairs p JOIN counts a ON a.field = p.field AND a.item = item_a JOIN counts b ON b.field = p.field AND b.item = item_b, tot
+    WHERE n_ab >= CASE p.field WHEN 'lemmas' THEN 8 ELSE 5 END AND n_ab * n >= 15 * a.records * b.records""",
+    "p1_classes": f"""WITH {_BOTH},
+    s AS (SELECT field, row_id, list_sort(list_distinct(list(item))) AS items FROM both_ GROUP BY ALL HAVING count(DISTINCT item) >= CASE field WHEN 'lemmas' THEN 8 ELSE 4 END),
+    c AS (SELECT field, items, min(row_id) AS id FROM s GROUP BY ALL),
+    e AS (SELECT a.field, a.id AS p, b.id AS q FROM c a JOIN c b ON a.field = b.field AND a.id < b.id AND len(a.items) * 0.7 <= len(b.items) AND len(b.items) * 0.7 <= len(a.items)
+      WHERE len(list_intersect(a.items, b.items)) >= CASE a.field WHEN 'lemmas' THEN 0.70 ELSE 0.75 END * (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) - 1e-9),
+    n AS (SELECT field, id, count(*) AS links FROM (SELECT field, p AS id FROM e UNION ALL SELECT field, q FROM e) GROUP BY ALL)
+    SELECT s.field, s.row_id, c.id AS class_id, coalesce(links, 0) AS links FROM s JOIN c USING (field, items) LEFT JOIN n ON n.field = c.field AND n.id = c.id""",
     "p1_found": f"""WITH {_BOTH},
     s AS (SELECT field, row_id, list_sort(list_distinct(list(item))) AS items FROM both_ GROUP BY ALL HAVING count(DISTINCT item) >= CASE field WHEN 'lemmas' THEN 8 ELSE 4 END)
     SELECT a.field, a.row_id AS row_a, b.row_id AS row_b FROM s a JOIN s b ON a.field = b.field AND a.row_id < b.row_id
@@ -72,6 +86,9 @@ SQL = {
     near AS (SELECT * FROM (SELECT a.vec_id AS x, b.vec_id AS y, c, row_number() OVER (PARTITION BY a.vec_id ORDER BY c DESC, b.vec_id) AS rk
              FROM (SELECT a, b, list_dot_product(a.u, b.u) AS c FROM vec a JOIN vec b ON a.vec_id <> b.vec_id) WHERE c >= 0.98) WHERE rk <= 5)
     SELECT p.x AS vec_a, p.y AS vec_b FROM near p JOIN near q ON p.x = q.y AND p.y = q.x WHERE p.x < p.y""",
+    "p6_nearest": f"""WITH {_VECTORS}
+    SELECT vec_id, other, rank, round(c, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) AS rank FROM (
+      SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.u, b.u), 12) AS c FROM vec a JOIN vec b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 5""",
     "p9_found": r"""WITH doc AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(strip_accents(lower(text)), '\p{M}+', '', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
     item AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(strip_accents(lower(text)), '\p{M}+', '', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM eval_items WHERE text IS NOT NULL),
     dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM doc)),
@@ -81,3 +98,4 @@ SQL = {
       SELECT doc_id, unnest([CASE WHEN n < 40 OR n > 2000 THEN 'word_count' END, CASE WHEN n > 0 AND (chars / n < 3.5 OR chars / n > 8) THEN 'mean_word_length' END,
         CASE WHEN n > 0 AND odd / chars > 0.1 THEN 'symbol_ratio' END, CASE WHEN n > 0 AND ends / lines < 0.5 THEN 'line_punctuation' END, CASE WHEN n > 0 AND known / n < 0.2 THEN 'common_words' END]) AS stat FROM m) WHERE stat IS NOT NULL""",
 }
+SQL["p9_items"] = f"SELECT item_id, count(*) AS documents FROM ({SQL['p9_found']}) GROUP BY item_id"

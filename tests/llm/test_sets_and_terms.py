@@ -184,3 +184,12 @@ def test_found_rows_carry_the_posterior(spark):
     df = spark.createDataFrame([(k, [f"t{(k + j) % 12}" for j in range(9)] + ["t0"] * (k % 3)) for k in range(60)], "row_id long, items array<string>")
     got = distinctive.top_terms(df, 60).collect()
     assert {r["rank"] for r in got} == {1, 2, 3} and all(0 <= r["elite"] <= 1 for r in got)
+
+
+def test_records_of_split_classes(spark, rows, monkeypatch):
+    base = [f"t{k}" for k in range(10)]
+    own = {k: base if k < 25 else [*base[:9], "other"] if k < 33 else [f"x{k}_{j}" for j in range(9)] for k in range(40)}
+    df = spark.createDataFrame([("lemmas", k, v) for k, v in own.items()], "field string, row_id long, items array<string>")
+    want = sorted(("lemmas", a, b) for a in own for b in own if a < b and len({*own[a]} & {*own[b]}) >= 0.7 * len({*own[a]} | {*own[b]}))
+    monkeypatch.setattr(set_pairs, "SPLIT", 4)
+    assert rows(set_pairs.expanded(*set_pairs.similar_records(df, set_pairs.THRESHOLD, set_pairs.LEAST))) == want
