@@ -229,18 +229,33 @@ def similar_records(df: DataFrame, threshold: dict[str, float], least: dict[str,
     return similar_sets(sets, threshold), sets, held
 
 
+#: Records of one class that one task pairs.
+SPLIT = 20_000
+
+
 def expanded(pairs: DataFrame, sets: DataFrame, held: DataFrame) -> DataFrame:
-    """(field, row_a, row_b) of all records behind pairs of classes, and of equal sets."""
+    """(field, row_a, row_b) of all records behind pairs of classes, and of equal sets.
+
+    A class of many records, such as a stock list held by a third of the rows, falls into parts of SPLIT: what it meets, another class
+    or itself, meets each part in a task of its own. Its pairs are part of the result and are written there; nothing is gathered.
+    """
     pairs = cut(pairs, "pairs")
     copies = sets.filter("members > 1")
     wanted = pairs.select("field", F.explode(F.array("a", "b")).alias("id")).distinct()
-    single = sets.filter("members = 1").join(wanted, ["field", "id"], "left_semi").select("field", "id", F.col("id").alias("row_id"))
-    several = cut(held.join(copies.select("field", "items", "id"), ["field", "items"]).select("field", "id", "row_id"), "copies")
+    single = sets.filter("members = 1").join(wanted, ["field", "id"], "left_semi").select("field", "id", F.col("id").alias("row_id"), F.lit(1).alias("parts"))
+    parts = F.ceil(F.col("members") / SPLIT).cast("int").alias("parts")
+    several = cut(held.join(copies.select("field", "items", "id", parts), ["field", "items"]).select("field", "id", "row_id", "parts"), "copies")
     member = single.union(several)
-    x, y = member.select("field", F.col("id").alias("a"), F.col("row_id").alias("p")), member.select("field", F.col("id").alias("b"), F.col("row_id").alias("q"))
-    across = pairs.join(x, ["field", "a"]).join(y, ["field", "b"]).select("field", "p", "q")
-    x, y = several.select("field", "id", F.col("row_id").alias("p")), several.select("field", "id", F.col("row_id").alias("q"))
-    within = x.join(y, ["field", "id"]).filter("p < q").select("field", "p", "q")
+    own = F.pmod(F.xxhash64("row_id"), "parts").cast("int").alias("part")
+    size = single.select("field", "id", "parts").union(copies.select("field", "id", parts))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    # the parts of a meet the records of b
+    x = member.select("field", F.col("id").alias("a"), own, F.col("row_id").alias("p"))
+    met = pairs.join(size.select("field", F.col("id").alias("a"), "parts"), ["field", "a"]).select("field", "a", "b", every)
+    right = met.join(member.select("field", F.col("id").alias("b"), F.col("row_id").alias("q")), ["field", "b"]).select("field", "a", "part", "q")
+    across = x.join(right, ["field", "a", "part"]).select("field", "p", "q")
+    x, y = several.select("field", "id", own, F.col("row_id").alias("p")), several.select("field", "id", every, F.col("row_id").alias("q"))
+    within = x.join(y, ["field", "id", "part"]).filter("p < q").select("field", "p", "q")
     return across.union(within).select("field", F.least("p", "q").alias("row_a"), F.greatest("p", "q").alias("row_b"))
 
 
