@@ -9,7 +9,7 @@ are computed again from the floats and merged to k per query.
 Where a tile holds so many near-equal vectors that bounds can't tell them apart, it gives on its own name instead of
 its survivors, and is done again from the floats: k candidates per query, however dense it is.
 
-With a floor, `vector_blocks` rules out pairs of blocks that can't reach it. A stated query set meets all chunks. Without either
+With a floor, `vector_blocks` rules out pairs of blocks that can't reach it, and `vector_far` compares the vectors near no centre. A stated query set meets all chunks. Without either
 every chunk meets every other: exact, and quadratic.
 """
 
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptoria.llm import vector_blocks
+from scriptoria.llm import vector_blocks, vector_far
 from scriptoria.llm.vector_clusters import PIECE, _sides, _vectors
+from scriptoria.llm.vector_far import part_of
 from scriptoria.plans.lineage import cut
 
 BLOCK, FAR_BLOCK = 8192, 32768
@@ -139,6 +140,48 @@ def _closest(k: int, floor: float | None, one_way: bool):
     return run
 
 
+def _best(q: np.ndarray, r: np.ndarray, m: list[np.ndarray], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidates r of rows q, the k best of each q, ties to the smaller id; m holds the raw rows of q and r in two pieces."""
+    n = len(m[0])
+
+    def unit(at: np.ndarray) -> np.ndarray:
+        out, own = np.empty((len(at), m[0].shape[1])), at < n
+        out[own], out[~own] = m[0][at[own]], m[1][at[~own] - n]
+        return vector_blocks.unit(out)
+
+    s = np.concatenate([np.round((unit(q[i : i + 65536]) * unit(r[i : i + 65536])).sum(1), 12) for i in range(0, len(q), 65536)])
+    order = np.lexsort((ids[r], -s, q))
+    q, r = q[order], r[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], r[keep]
+
+
+def _far_pairs(k: int):
+    """(a, b) of outliers and a part of them: candidates from the floor on, of each row of a batch or the part at most about k once they are many."""
+
+    def of_part(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = part_of(shared)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                raw, own = vector_blocks.unpacked(b.column("vec")), b.column("id").to_numpy()
+                n, ids = len(own), np.concatenate([own, part.ids])
+                q, r, new, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+                for x, y, _ in part.pairs(own, vector_blocks.unit32(raw), b.column("cell").to_numpy()):
+                    new.append((np.concatenate([x, y + n]), np.concatenate([y + n, x])))
+                    held += 2 * len(x)
+                    if held > 2 * k * len(ids):
+                        q, r = _best(*(np.concatenate(z) for z in zip((q, r), *new)), [raw, part.raw], ids, k)
+                        new, held = [], len(q)
+                q, r = (np.concatenate(z) for z in zip((q, r), *new))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ids[r])], ["a", "b"])
+
+        return run
+
+    return of_part
+
+
 def _exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -175,9 +218,15 @@ def neighbours(df: DataFrame, key: str, values: str, k: int, floor: float | None
     else:
         at = raw.select("id", "vec", F.lit(vector_blocks.OUTLIERS).alias("home"), F.array().cast("array<int>").alias("visits"))
     at = cut(at, "placed")
+    far = None
+    if asks is None and floor is not None:
+        far = vector_far.met(vector_blocks.outliers(at), floor, _far_pairs(k), "a long, b long")
+        at = vector_blocks.homed(at)
     tiled = (lambda x: vector_blocks.tiled(x, BLOCK, FAR_BLOCK)) if asks is None else (lambda x: asked_tiles(x, asks, FAR_BLOCK))
     one_way = asks is not None
     got = tiled(coded(at)).groupBy("cell", "i", "j").applyInArrow(_survivors(k, floor, DENSE, one_way), "a long, b long, cell int, i int, j int")
+    if far is not None:
+        got = got.unionByName(far, allowMissingColumns=True)
     # a query's neighbours come from many tiles: each pair once
     got = cut(got.distinct(), "survivors")
     pairs, dense = got.filter("b IS NOT NULL").select("a", "b"), got.filter("b IS NULL").select("cell", "i", "j")
