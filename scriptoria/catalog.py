@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
-from scriptoria.operators import assoc, cluster, evaluation, figures, groups, inference, pairs, people, postings, probe, ranking, rankstats, resample, sampling, segment, vectors
+from scriptoria.operators import assoc, cluster, evaluation, figures, groups, held, inference, pairs, people, postings, probe, ranking, rankstats, resample, sampling, segment, vectors
 from scriptoria.plans.lineage import cut, new_path
 from scriptoria.sources import corpus, files, markup
 from scriptoria.sources.tables import table
@@ -961,41 +962,59 @@ def _null_sql(name: str, a: str, b: str) -> str:
 _LEX, _AUT, _DBL = _null_sql("lx", "FROM lexa", _fixed("in_b")), _null_sql("au", _fixed("in_a"), "FROM auta"), _null_sql("db", "FROM lexa", "FROM alla")
 
 
-def _null(spark, d, random_a: bool, random_b: bool, nearest: int) -> DataFrame:
-    """Deltas of runs in which A, B or both are the rows of matched random words or people, row by row; D is what is left, without C."""
+#: The nulls by what is drawn: A of random words, B of random people (so many nearest where none is matched), or both.
+_NULLS_OF = {"lexicon": (True, None), "authors": (False, 30), "both": (True, 0)}
+
+
+def _nulls(spark, d, *names: str) -> DataFrame:
+    """(set, run, n_ab, n_ad, delta) of the nulls: A, B or both are the rows of matched random words or people, row by row; D is what is left, without C."""
+    random_a, nearest = any(_NULLS_OF[x][0] for x in names), sorted({_NULLS_OF[x][1] for x in names} - {None})
     circle, centre = _most_cited(spark, d)
-    g = _grouped(spark, d, *(["text"] if random_a else []), *(["persons"] if random_b else []))
-    g, vec = _with_vectors(spark, d, g)
-    keep = ["row_id", "in_a", "in_b", "in_c", *(["persons"] if random_b else [])]
-    g = cut(g.select(*keep, *([T.words(F.col("text")).alias("tokens")] if random_a else [])), "grouped")
-    every = F.sequence(F.lit(0), F.lit(RUNS - 1))
-    a, b = (F.when(F.col(c), every).otherwise(F.array().cast("array<int>")) for c in ("in_a", "in_b"))
+    g = _grouped(spark, d, *(["text"] if random_a else []), *(["persons"] if nearest else []))
+    flags = ["in_a", "in_b", "in_c"]
+    g = g.select("row_id", *flags, *(["persons"] if nearest else []), *([T.words(F.col("text")).alias("tokens")] if random_a else []))
+    drawn = {}
     if random_a:
         n = cut(postings.frequency(_tokens(spark, d)).withColumnRenamed("n_rows", "n"), "tokens")
         pool = n.join(table(spark, d, "function_words").select(F.col("word").alias("item")).distinct(), "item", "left_anti").filter(~F.col("item").isin(SEEDS))
         seeds = spark.createDataFrame([(s,) for s in SEEDS], "target string").join(n.withColumnRenamed("item", "target"), "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("n"))
-        a = resample.runs_of(F.col("tokens"), resample.drawn(resample.matched_pools(seeds, pool), RUNS, "lexicon"))
-    if random_b:
+        drawn["a"] = resample.runs_of(F.col("tokens"), resample.drawn(resample.matched_pools(seeds, pool), RUNS, "lexicon"))
+    if nearest:
         n = cut(postings.frequency(_people(spark, d), "person", "n").withColumnRenamed("person", "item"), "people")
         pool = n.filter((F.col("n") >= 5) & ~F.col("item").isin([*circle, centre or ""]))
         targets = n.filter(F.col("item").isin(circle)).withColumnRenamed("item", "target")
-        b = resample.runs_of(F.col("persons"), resample.drawn(resample.matched_pools(targets, pool, nearest=nearest), RUNS, "authors"))
-    return probe.deltas(cut(resample.kinds(g, "row_id", a, b, F.col("in_c"), RUNS), "kinds"), vec, "row_id", N, "matched")
+        drawn |= {f"b_{k}": resample.runs_of(F.col("persons"), resample.drawn(resample.matched_pools(targets, pool, nearest=k), RUNS, "authors")) for k in nearest}
+    sets = {x: ("a" if a else "in_a", "in_b" if k is None else f"b_{k}") for x, (a, k) in _NULLS_OF.items() if x in names}
+    rows = g.join(corpus.raw_vectors(spark, d), "row_id").select(F.col("row_id").alias("key"), "vec", *flags, *[c.alias(k) for k, c in drawn.items()])
+    got = held.deltas(rows, sets, flags, "in_c", RUNS, N, "matched")
+    if got is not None:
+        return got
+    # vectors too many to be held are shuffled to the runs that draw them
+    every = F.sequence(F.lit(0), F.lit(RUNS - 1))
+    whole = {c: F.when(F.col(c), every).otherwise(F.array().cast("array<int>")) for c in flags}
+    g, vec = _with_vectors(spark, d, g)
+    g = cut(g.select("row_id", *flags, *[c.alias(k) for k, c in drawn.items()]), "grouped")
+    each = lambda x, a, b: probe.deltas(cut(resample.kinds(g, "row_id", whole.get(a, F.col(a)), whole.get(b, F.col(b)), F.col("in_c"), RUNS), "kinds"), vec, "row_id", N, "matched").select(F.lit(x).alias("set"), "run", "n_ab", "n_ad", "delta")
+    return reduce(DataFrame.union, [each(x, *pair) for x, pair in sets.items()])
+
+
+def _null(spark, d, name: str) -> DataFrame:
+    return _nulls(spark, d, name).drop("set")
 
 
 @_query("lexicon_null__R5_J10_O13", _LEX, "lx_c")
 def _(spark, d):
-    return _null(spark, d, True, False, 50)
+    return _null(spark, d, "lexicon")
 
 
 @_query("author_null__R6_J10", _AUT, "au_c")
 def _(spark, d):
-    return _null(spark, d, False, True, 30)
+    return _null(spark, d, "authors")
 
 
 @_query("double_random__R7", _DBL, "db_c")
 def _(spark, d):
-    return _null(spark, d, True, True, 0)
+    return _null(spark, d, "both")
 
 
 _SEEN = _delta_sql("SELECT 'probe' AS run, cos, run = 'A-B' AS is_x FROM pcos WHERE run IN ('A-B', 'A-D')")
@@ -1013,9 +1032,10 @@ _MEAN = lambda name, q: f"(SELECT avg(delta) AS {name} FROM ({q}))"  # noqa: E73
 @_query("factor_table__A31", f"SELECT delta, round(lx, 6) AS random_lexicon, round(au, 6) AS random_authors, round(db, 6) AS random_both, round(lx + au - db, 6) AS additive, round(delta - (lx + au - db), 6) AS synergy FROM ({_SEEN}), {_MEAN('lx', _LEX)}, {_MEAN('au', _AUT)}, {_MEAN('db', _DBL)}", "pcos", "lx_c", "au_c", "db_c")
 def _(spark, d):
     """Means of the three nulls beside the probe: what each factor adds, and what only both together do."""
-    m = lambda *a: F.lit(_null(spark, d, *a).agg(F.avg("delta")).first()[0])
+    of = {r[0]: r[1] for r in _nulls(spark, d, *_NULLS_OF).groupBy("set").agg(F.avg("delta")).collect()}
+    m = lambda k: F.lit(of.get(k)).cast("double")
     seen = _Q[FLAGSHIP](spark, d).select("delta")
-    both, lex, aut = m(True, True, 0), m(True, False, 50), m(False, True, 30)
+    both, lex, aut = m("both"), m("lexicon"), m("authors")
     r = lambda c, n: F.round(c, 6).alias(n)
     return seen.select("delta", r(lex, "random_lexicon"), r(aut, "random_authors"), r(both, "random_both"), r(lex + aut - both, "additive"), r(F.col("delta") - (lex + aut - both), "synergy"))
 

@@ -42,3 +42,9 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     """(vec_id, row_id, vec): usable vectors, scaled to length 1 in double precision."""
     df = table(spark, d, "para_vectors", "vec_id", "row_id", "embeddings").filter(F.size("embeddings") == WIDTH)
     return df.select("vec_id", "row_id", unit(F.col("embeddings"), WIDTH).alias("vec")).filter("vec IS NOT NULL")
+
+
+def raw_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, vec): usable vectors as they are stored, of any length."""
+    df = table(spark, d, "para_vectors", "row_id", "embeddings").filter(F.size("embeddings") == WIDTH)
+    return df.filter(unit(F.col("embeddings"), WIDTH).isNotNull()).select("row_id", F.col("embeddings").alias("vec"))
