@@ -74,3 +74,12 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("windows")) == rows(counts.tumbling(df, "ts", "k", "v")) and len(rows(spark.table("windows"))) == 2
+
+
+def test_rows_of_many_documents_are_given_on_together(spark, monkeypatch):
+    monkeypatch.setattr(markup, "BATCH", 7)
+    many = spark.range(50).select(F.lit("").alias("path"), F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") % 10 != 9, F.concat(F.lit("<TEI xmlns='http://www.tei-c.org/ns/1.0'><p>a "), "id", F.lit("</p><p/></TEI>"))).alias("content"))
+    got = markup.extracted(many, markup.paragraph_rows)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()  # not a pandas frame per document
+    want = {(f"n{k}", place, f"a {k}" if place == 0 else "") for k in range(50) if k % 10 != 9 for place in (0, 1)}
+    assert {(r["issue"], r["place"], r["text"]) for r in got.collect()} == want and got.count() == 90
