@@ -1083,8 +1083,10 @@ def _(spark, d):
     """Each layer's delta beside those of N_PERM permutations of the labels."""
     g = _labelled(spark, d)
     seen = cut(pairs.label_counts(g, "row_id", "labels"), "counts")
-    deals = resample.permuted(g, "row_id", "labels", N_PERM, "deal")
-    sums = pairs.permuted_sums(g, "row_id", deals, "labels", evaluation.mid_ranks(seen), N_PERM)
+    ranks = evaluation.mid_ranks(seen)
+    sums = pairs.shuffled_sums(g, "row_id", "labels", ranks, N_PERM, "deal")
+    if sums is None:  # more labels than bits
+        sums = pairs.permuted_sums(g, "row_id", resample.permuted(g, "row_id", "labels", N_PERM, "deal"), "labels", ranks, N_PERM)
     return evaluation.permutation_test(seen, sums)
 
 

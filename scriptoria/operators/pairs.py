@@ -7,13 +7,16 @@ lists. Nothing of quadratic size is written.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.functions import digests
+from scriptoria.plans.lineage import new_path
+
 #: Rows of a chunk of queries and of rows.
 QUERIES, ROWS = 512, 8192
 
@@ -386,6 +389,87 @@ def permuted_sums(rows: DataFrame, key: str, deals: DataFrame, labels: str, rank
     return blocks.groupBy("layer", "run").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+#: Bytes of dealt labels that are broadcast at once, and pairs of a block done at once, chosen for the processor's cache.
+DEALT, TILE = 96 << 20, 32768
+
+
+def _deals(given, seed: str):
+    """(run, deal): the labels, as bits, that each row, in the order of keys, is dealt in a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, own = given.value
+            tails = digests.decimals(ids)
+            for r in b.column(0).to_pylist():
+                deal = own[np.argsort(digests.first_bits(f"{seed}|{r}|", tails), kind="stable")]
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([deal.tobytes()], pa.binary())], ["run", "deal"])
+
+    return run
+
+
+def shuffled_sums(rows: DataFrame, key: str, labels: str, ranks: DataFrame, runs: int, seed: str, digits: int = 4, chunk: int = LABELLED) -> DataFrame | None:
+    """`permuted_sums` of the deals of `resample.permuted`, without their table; None if there are more than 64 labels.
+
+    Keys and labels are collected, two numbers a row: the work grows as the square of the rows. A block is made once for as many
+    runs as `DEALT` bytes hold.
+    """
+    spark, one = rows.sparkSession, 10**digits
+    got = rows.select(key, _hashed(labels)).orderBy(key).toArrow()
+    lists = got.column(1).combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    known = np.unique(flat)
+    if len(known) > 64 or not len(lists):
+        return None
+    ids, kind = got.column(0).to_numpy().astype(np.int64), next(t for t in (np.uint16, np.uint32, np.uint64) if len(known) <= np.iinfo(t).bits)
+    own = np.zeros(len(ids), kind)  # a bit for each label
+    np.bitwise_or.at(own, np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), np.left_shift(kind(1), np.searchsorted(known, flat).astype(kind)))
+    mid = {}
+    for r in ranks.collect():
+        mid.setdefault(r["layer"], np.zeros(4 * one + 1))[r["v"] + 2 * one] = r["mid"]
+    g = max(1, -(-len(ids) // chunk))
+    base = _blocks_of(rows.select(key, "vec", _hashed("open"), _hashed("closed"), F.array().cast("array<bigint>").alias("labels")), key, chunk)
+    base = base.repartition(min(200, g * (g + 1) // 2), "x", "y")
+    given, path = spark.sparkContext.broadcast((ids, own)), new_path(spark, "sums")
+    at_once = max(1, DEALT // own.nbytes)
+    for start in range(0, runs, at_once):
+        deals = spark.range(start, min(runs, start + at_once), 1, 24).mapInArrow(_deals(given, seed), "run long, deal binary").orderBy("run").toArrow()
+        shared = spark.sparkContext.broadcast((start, np.stack([np.frombuffer(x.as_buffer(), own.dtype) for x in deals.column("deal")]), ids, mid))
+        base.groupBy("x", "y").applyInArrow(_block_sums(shared, key, one), "layer string, run int, total double, n long").write.mode("append").parquet(path)
+        shared.destroy()
+    given.destroy()
+    sums = spark.read.schema("layer string, run int, total double, n long").parquet(path)
+    return sums.groupBy("layer", "run").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def _block_sums(shared, key: str, one: int):
+    def count(t: pa.Table) -> pa.Table:
+        start, deals, ids, mid = shared.value
+        b = _Labelled(t, one)
+        of = {name: np.where(b.met, mid[name][v + 2 * one], 0).ravel() for name, v in b.layers.items() if name in mid}
+        met, all_met, width = b.met.ravel(), b.met.all(), b.b.num_rows
+        left, right = (np.searchsorted(ids, x.column(key).to_numpy()) for x in (b.a, b.b))
+        total, n = np.zeros((len(deals), len(of))), np.zeros(len(deals), np.int64)
+        width = len(right)
+        high = max(1, TILE // max(1, width))
+        for first in range(0, len(left), high):
+            rows = left[first : first + high]
+            part = slice(first * width, (first + len(rows)) * width)
+            m = np.stack([x[part] for x in of.values()])
+            counted = None if b.met.all() else b.met.ravel()[part]
+            shape = (len(rows), width)
+            both, same, value = np.empty(shape, deals.dtype), np.empty(shape, bool), np.empty(shape)
+            for k, deal in enumerate(deals):
+                np.bitwise_and(deal[rows][:, None], deal[right][None, :], out=both)
+                np.not_equal(both, 0, out=same)
+                np.copyto(value, same)
+                total[k] += m @ value.ravel()
+                n[k] += np.count_nonzero(same if counted is None else same.ravel() & counted)
+        run = np.arange(start, start + len(deals))
+        return pa.table({"layer": pa.array([x for x in of for _ in run], pa.string()), "run": pa.array(np.tile(run, len(of)), pa.int32()), "total": pa.array(total.T.ravel(), pa.float64()), "n": pa.array(np.tile(n, len(of)), pa.int64())})
+
+    return count
+
+
 def _known_deals(t: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate([x.flatten().flatten().to_numpy(zero_copy_only=False) for x in t.column("deals").chunks] or [np.zeros(0, np.int64)]))
 

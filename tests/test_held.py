@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scriptoria.functions import digests
-from scriptoria.operators import held, probe, resample
+from scriptoria.operators import evaluation, held, pairs, probe, resample
 
 
 def test_digests_are_those_of_hashlib():
@@ -38,3 +38,21 @@ def test_held_deltas_are_the_shuffled_ones_and_no_vector_is_shuffled(spark, monk
             assert {k[1]: z for k, z in got.items() if k[0] == name} == {z["run"]: tuple(z)[1:] for z in probe.deltas(kinds, unit, "key", n, "s").collect()}
     monkeypatch.setattr(held, "HELD", 100)
     assert held.deltas(rows, sets, ["in_a", "in_b", "in_c"], "in_c", runs, 5, "s") is None
+
+
+def test_shuffled_sums_are_those_of_the_dealt_table(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(30, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    own = [sorted({f"l{x}" for x in r.integers(0, 6, size=k % 3 + 1)}) for k in range(30)]
+    sets = [[f"s{x}" for x in r.integers(0, 8, size=k % 4)] for k in range(30)]
+    rows = spark.createDataFrame([(k * 3, v[k].tolist(), sets[k], None, own[k]) for k in range(30)], "id long, vec array<double>, open array<string>, closed array<string>, l array<string>")
+    ranks = evaluation.mid_ranks(pairs.label_counts(rows, "id", "l", chunk=7))
+    of = lambda df: {(x["layer"], x["run"]): (x["total"], x["n"]) for x in df.collect()}
+    want = of(pairs.permuted_sums(rows, "id", resample.permuted(rows, "id", "l", 5, "deal"), "l", ranks, 5))
+    for chunk, held_bytes, tile in ((7, 60, 9), (100, 64 << 20, 32768)):
+        monkeypatch.setattr(pairs, "TILE", tile)
+        monkeypatch.setattr(pairs, "DEALT", held_bytes)
+        assert of(pairs.shuffled_sums(rows, "id", "l", ranks, 5, "deal", chunk=chunk)) == want and len(want) == 15
+    many = rows.withColumn("l", F.array(F.col("id").cast("string"), F.concat(F.lit("b"), "id"), F.concat(F.lit("c"), "id")))
+    assert pairs.shuffled_sums(many, "id", "l", ranks, 5, "deal") is None
